@@ -18,7 +18,6 @@ hash in the string), so it is enough to compare the surroundings of equal anchor
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 from .textops import mix, powers, prefix_hashes, slices, sliding, span_hashes
 
 KMER = 20
@@ -119,9 +118,10 @@ def _contexts(length: int):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             for i, (doc, ask) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ask").to_pylist())):
-                raw = texts[i].encode()
+                if not ask:
+                    continue
+                raw = batch.column("text")[i].as_buffer().to_pybytes()
                 pos = [a["pos"] for a in ask]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -329,20 +329,20 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
             F.collect_list(F.when(F.col("kmer").isNotNull(), F.struct("pos", "kmer"))).alias("ask"),
         )
     )
-    gc.collect()  # lets Spark drop the shuffle files behind the checkpoint
-    documents.sparkSession.sparkContext._jvm.System.gc()
-    asked = found.where(F.size("ask") > 0).select("doc_id", "mark", "ask")
+    release(documents.sparkSession)
+    keep = ["doc_id", "text", "mark", *(["was_null"] if carry else []), *carry]
+    docs = docs.select(*keep)
     spans = (
-        docs.select("doc_id", "mark", "text").join(asked, ["doc_id", "mark"])
+        docs.join(found, ["doc_id", "mark"], "left")
         .mapInArrow(_contexts(length), "kmer long, doc_id long, mark long, pos long, before binary, after binary")
         .repartition(n, "kmer")
         .mapInArrow(_compare(length), "doc_id long, mark long, lo long, hi long")
         .groupBy("doc_id", "mark")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     )
+    # both joins deal the same rows by the same key, so that Spark shuffles the texts once
     notes = found.select("doc_id", "mark", "settled").join(spans, ["doc_id", "mark"], "left")
-    keep = ["doc_id", "text", "mark", *(["was_null"] if carry else []), *carry]
-    return docs.select(*keep).join(notes, ["doc_id", "mark"], "left")
+    return docs.join(notes, ["doc_id", "mark"], "left")
 
 
 def cut(raw: bytes, settled, spans, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
