@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe
 from .common import table
+from .embedding_dedup import embedding_duplicates
+from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .suffix_dedup import suffix_digest
+from .toxicity import toxicity
+from .unigram_counts import read_pieces, token_counts
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", "n_partners", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +50,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash": op10_minhash,
 }
