@@ -1,15 +1,17 @@
 """MinHash near-duplicate detection with odd sketches.
 
-Each distinct shingle set gets ``bands * rows`` MinHash samples.  The samples are used twice: their
-bands give the buckets in which candidates meet, and folded into a 256-bit parity bitmap (an odd
-sketch) they give a cheap and, for high similarities, precise estimate: the population count of the
-XOR of two sketches grows with the number of differing samples.  Candidates whose sketches differ
-too much are dropped; the others are confirmed on the full sets.
+Each distinct shingle set gets SAMPLES MinHash samples.  They are used twice: bands of the first ones
+give the buckets in which candidates meet, and all of them, folded into a parity bitmap (an odd sketch),
+give a cheap and, for high similarities, precise estimate: the population count of the XOR of two
+sketches grows with the number of differing samples.  Candidates whose sketches differ too much are
+dropped; the others are confirmed on the full sets.
 
 No bucket is expanded into all its pairs.  First each member meets the bucket's smallest document
-(a star).  After the confirmed links have been joined into components, only buckets that still hold
-several components are looked at again, and there only documents of different components meet; the
-sketch test is part of the join condition.  So a bucket of very many copies costs one pair for each.
+(a star).  After the confirmed links have been joined into components, members outside their bucket's
+first component meet a few pivots of it.  Then only buckets that still hold several components are looked
+at again, and there only documents of different components meet; the sketch test is part of the join
+condition.  So a bucket of very many copies costs a few pairs for each, and no link is left untested that
+could join two components.
 """
 
 from __future__ import annotations
@@ -23,24 +25,28 @@ from .common import checkpointed, only_ids
 from .components import connected_components
 from .textops import lower_ascii, mix, shingle_sets, slices
 
-SKETCH_BITS = 256
+SAMPLES = 384
+SKETCH_BITS = 1024
+PIVOTS = 4
 
 
 def _fold(sets: list[np.ndarray], bands: int, rows: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (sets x bands) and odd sketches (sets x 4 words of 64 bits) of non-empty sets."""
+    """Band hashes (sets x bands) and odd sketches (sets x 16 words of 64 bits) of non-empty sets."""
     rng = np.random.default_rng(seed)
-    mult = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
-    add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    samples = max(SAMPLES, bands * rows)
+    mult = rng.integers(0, 1 << 32, samples, dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, samples, dtype=np.uint32)
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
     band = np.zeros((len(sets), bands), dtype=np.uint64)
     bits = np.zeros((len(sets), SKETCH_BITS), dtype=np.uint8)
     each = np.arange(len(sets))
-    for k in range(bands * rows):
+    for k in range(samples):
         low = np.minimum.reduceat(values * mult[k] + add[k], at)
         spread = mix(low.astype(np.uint64) + np.uint64((k + 1) << 32))
-        bits[each, (spread >> np.uint64(56)).astype(np.int64)] ^= 1
-        band[:, k // rows] = mix(band[:, k // rows] + spread)
+        bits[each, (spread % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
+        if k < bands * rows:
+            band[:, k // rows] = mix(band[:, k // rows] + spread)
     band = mix(band + np.arange(bands, dtype=np.uint64))
     return band, np.packbits(bits, axis=1).view(np.uint64)
 
@@ -87,9 +93,12 @@ def _sets(size: int):
     return run
 
 
-def sketch_bound(percent: int, samples: int) -> int:
-    """Most differing sketch bits of a candidate: what a similarity 0.2 below the threshold gives on average."""
-    differing = 2 * samples * (1 - max(percent - 20, 0) / 100)
+def sketch_bound(percent: int, samples: int = SAMPLES) -> int:
+    """Most differing sketch bits of a candidate: what a similarity 0.07 below the threshold gives on average.
+
+    That is more than three standard deviations from what a pair at the threshold gives.
+    """
+    differing = 2 * samples * (1 - max(percent - 7, 0) / 100)
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differing)) + 1
 
 
@@ -122,40 +131,56 @@ def near_duplicates(
             F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("s"),
         ).select("d1", "d2", "rep", "s.*")
     )
-    sketches = classes.select("rep", "d1", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
+    words = SKETCH_BITS // 64
+    sketches = classes.select("rep", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)])
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(members.join(heads.select("bucket", "head"), "bucket"))
 
-    bound = sketch_bound(percent, bands * rows)
-    differs = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, 4)),
-                  F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-
-    star = members.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    first = checkpointed(
-        star.join(sketches.alias("x"), F.col("a") == F.col("x.rep"))
-        .join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
-        .where(differs <= bound).select("a", "b")
+    bound = sketch_bound(percent, max(SAMPLES, bands * rows))
+    differs = sum(
+        (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, words)),
+        F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))),
     )
-    links = _confirmed(docs, classes, first, shingle_words, percent)
 
-    group = connected_components(links)
-    placed = checkpointed(
-        members.select("bucket", "rep").join(group, F.col("rep") == F.col("node"), "left")
-        .select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    )
-    split = placed.groupBy("bucket").agg(
-        F.min("component").alias("core"), F.max("component").alias("other")
-    ).where("core != other")
-    rest = placed.join(split.select("bucket", "core"), "bucket").join(sketches.drop("d1"), "rep")
+    def close(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(sketches.alias("x"), F.col("a") == F.col("x.rep"))
+            .join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
+            .where(differs <= bound).select("a", "b")
+        )
+
+    def placed(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of buckets with several components, with theirs and the bucket's first one; those buckets."""
+        at = members.select("bucket", "rep").join(connected_components(links), F.col("rep") == F.col("node"), "left")
+        at = checkpointed(at.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
+        split = at.groupBy("bucket").agg(F.min("component").alias("core"), F.max("component").alias("other"))
+        rest = checkpointed(at.join(split.where("core != other").select("bucket", "core"), "bucket"))
+        return rest, rest.where("component = core").groupBy("bucket").agg(
+            F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(PIVOTS)])).alias("pivots")
+        )
+
+    star = members.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = checkpointed(close(star))
+    links = _confirmed(docs, classes, tested, shingle_words, percent)
+
+    rest, pivots = placed(links)
+    few = rest.where("component != core").join(pivots, "bucket").select("rep", F.explode("pivots").alias("pivot"))
+    few = few.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    more = checkpointed(close(few.join(tested, ["a", "b"], "left_anti")))
+    links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
+    tested = tested.unionByName(more)
+
+    rest, _ = placed(links)
+    rest = rest.join(sketches, "rep")
     apart = (
         rest.where("component != core").alias("x")
         .join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (differs <= bound))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
     )
-    second = checkpointed(apart.join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_confirmed(docs, classes, second, shingle_words, percent))
+    more = checkpointed(apart.join(tested, ["a", "b"], "left_anti"))
+    links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
 
     group = connected_components(links)
     found = classes.select("d1", "d2", "rep").join(group, F.col("rep") == F.col("node"), "left").select(
