@@ -28,6 +28,8 @@ from .textops import lower_ascii, mix, shingle_sets, slices
 SAMPLES = 384
 SKETCH_BITS = 1024
 PIVOTS = 4
+#: Sets of at most so many shingles in all (8 bytes each, so 16 MB) are broadcast; larger ones are shuffled.
+BROADCAST_SHINGLES = 2_000_000
 
 
 def _fold(sets: list[np.ndarray], bands: int, rows: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +197,19 @@ def near_duplicates(
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full shingle sets are similar enough."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    wanted = classes.select(F.col("rep").alias("doc_id"), "d1", "n_shingles").join(ids, "doc_id", "left_semi")
+    total = wanted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    if not total:
+        return pairs.limit(0)
     sets = only_ids(docs, "doc_id", ids).mapInArrow(_sets(size), "doc_id long, d1 long, shingles array<long>")
-    sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "d1"), ["doc_id", "d1"], "left_semi")  # an id may repeat
+    sets = sets.join(wanted.select("doc_id", "d1"), ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id"])  # an id may repeat
+    if total <= BROADCAST_SHINGLES:
+        sets = checkpointed(sets)
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+    if total <= BROADCAST_SHINGLES:
+        x, y = F.broadcast(x), F.broadcast(y)
     shared = F.size(F.array_intersect("s", "t"))
     return checkpointed(
         pairs.join(y, "b").join(x, "a")
