@@ -174,10 +174,16 @@ def near_duplicates(
     tested = tested.unionByName(more)
 
     rest, _ = placed(links)
-    rest = rest.join(sketches, "rep")
+    rest = rest.join(sketches, "rep").join(classes.select("rep", "bands"), "rep")
+    # a pair comes out once: in the least bucket that it shares, from one side
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+    one_side = (F.col("y.component") == F.col("y.core")) | (F.col("x.rep") < F.col("y.rep"))
     apart = (
         rest.where("component != core").alias("x")
-        .join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (differs <= bound))
+        .join(
+            rest.alias("y"),
+            (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & one_side & (differs <= bound) & once,
+        )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
     )

@@ -35,6 +35,8 @@ IDENTITY_TERMS = (
 )
 #: Characters of the prefix features; they catch inflected and compounded forms.
 PREFIX = 5
+#: A feature counts when its share of toxic texts is so many standard deviations from the base rate.
+CLEAR = 4.0
 
 _SWAP = {t: family[(i + 1) % len(family)] for family in IDENTITY_TERMS for i, t in enumerate(family)}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -160,7 +162,7 @@ def train(
     # how far the share of toxic texts with the feature is from the base rate, in standard deviations
     rate = (p + 0.5) / (n + 1)
     strength = F.abs(F.col("q") - F.col("k") * rate) / F.sqrt(F.col("k") * F.lit(rate * (1 - rate)) + 1.0)
-    chosen = [r["token"] for r in seen.where("k >= 3").orderBy(strength.desc(), "token").limit(features).collect()]
+    chosen = [r["token"] for r in seen.where(F.col("k") >= 3).where(strength >= CLEAR).orderBy(strength.desc(), "token").limit(features).collect()]
     vocabulary = {t: i for i, t in enumerate(sorted({*chosen, *_SWAP}))}
     rows = [tuple(r) for r in sample.mapInArrow(_encode(vocabulary), "toxic int, x array<int>, swapped array<int>").collect()]
     weights, bias = fit(sorted(rows, key=repr), len(vocabulary), penalty)
