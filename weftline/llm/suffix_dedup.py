@@ -53,32 +53,41 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     return at - offs[:-1][text], text, h[at], context
 
 
+#: Anchors that a scanning task combines at a time.
+COMBINED = 400_000
+
+
+def _combined(parts: list[tuple]):
+    kmer, context, doc, mark, pos = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((doc, context, kmer))
+    k, c = kmer[order], context[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    head = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    settled = np.zeros(len(k), dtype=bool)
+    settled[order] = doc[order] > head
+    # a settled row needs no meeting: a key of its own (negative) spreads such rows
+    spread = (mix(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
+    kmer = np.where(settled, spread, kmer)
+    for at in range(0, len(kmer), 100_000):
+        to = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_pydict({"kmer": kmer[to], "place": (context[to] << 32) | pos[to], "doc_id": doc[to], "mark": mark[to]})
+
+
 def _anchor_rows(length: int):
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
-            parts = []
             for lo, hi, data, offs in slices(batch.column("text")):
                 pos, text, kmer, context = anchors(data, offs, length)
                 parts.append((kmer.view(np.int64), (context >> np.uint64(32)).astype(np.int64), ids[lo + text], marks[lo + text], pos))
-            if not parts:
-                continue
-            kmer, context, doc, mark, pos = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((doc, context, kmer))
-            k, c = kmer[order], context[order]
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            head = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            settled = np.zeros(len(k), dtype=bool)
-            settled[order] = doc[order] > head
-            # a settled row needs no meeting: a key of its own (negative) spreads such rows
-            spread = (mix(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
-            kmer = np.where(settled, spread, kmer)
-            for at in range(0, len(kmer), 100_000):
-                to = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_pydict(
-                    {"kmer": kmer[to], "place": (context[to] << 32) | pos[to], "doc_id": doc[to], "mark": mark[to]}
-                )
+                held += len(pos)
+                if held >= COMBINED:
+                    yield from _combined(parts)
+                    parts, held = [], 0
+        if held:
+            yield from _combined(parts)
 
     return run
 
@@ -264,7 +273,7 @@ def repeated_strings(kmer: np.ndarray, doc: np.ndarray, values: np.ndarray, leng
     return np.stack([row[hit], offset[hit]], axis=1)
 
 
-def _compare(length: int, chunk: int = 20_000):
+def _compare(length: int, chunk: int = 8_000):
     """Sort the contexts of a partition, whole k-mers at a time, and report covered spans."""
     left = length - KMER
 
