@@ -30,13 +30,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, times: int = 3) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
     Its cleaner acts when the driver's JVM collects garbage, which a small driver heap may put off until
     long after the disk is needed.
     """
-    for _ in range(3):
+    for _ in range(times):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only_ids
+from .common import checkpointed, only_ids, release
 from .components import connected_components
 from .textops import lower_ascii, mix, shingle_sets, slices
 
@@ -138,6 +138,7 @@ def near_duplicates(
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(members.join(heads.select("bucket", "head"), "bucket"))
+    release(documents.sparkSession)
 
     bound = sketch_bound(percent, max(SAMPLES, bands * rows))
     differs = sum(
@@ -158,6 +159,7 @@ def near_duplicates(
         at = checkpointed(at.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
         split = at.groupBy("bucket").agg(F.min("component").alias("core"), F.max("component").alias("other"))
         rest = checkpointed(at.join(split.where("core != other").select("bucket", "core"), "bucket"))
+        release(rest.sparkSession)
         return rest, rest.where("component = core").groupBy("bucket").agg(
             F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(PIVOTS)])).alias("pivots")
         )
@@ -217,8 +219,11 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     if total <= BROADCAST_SHINGLES:
         x, y = F.broadcast(x), F.broadcast(y)
     shared = F.size(F.array_intersect("s", "t"))
-    return checkpointed(
+    links = checkpointed(
         pairs.join(y, "b").join(x, "a")
         .where(shared * 100 >= (F.size("s") + F.size("t") - shared) * percent)
         .select("a", "b").distinct()
     )
+    del sets, x, y
+    release(docs.sparkSession)
+    return links
