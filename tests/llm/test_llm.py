@@ -138,6 +138,16 @@ def test_patience_and_line_dedup(docs, empty, spark):
     assert line_dedup.line_dedup(docs).count() == len(corpus()) and line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 1100])
+def test_line_dedup_at_any_size(spark, n):
+    """A verdict does not depend on how many documents hold a line."""
+    line = "one line that very many documents hold as is"
+    texts = [line] * n + [f"own start {i}\n{line}\nown end {i}" for i in range(n)]
+    rows = [(i, t, "en", None, len(t), None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: line if i == 0 else "" if i < n else f"own start {i - n}\nown end {i - n}" for i in range(2 * n)}
+
+
 def test_bpe_round_trip(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.read_ranks(path)

@@ -1,9 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare key meet: a key is a line of at least ``min_words`` words held by at most
-``rare_df`` documents, or two lines in a row, however many documents hold them (so a boilerplate line alone
-pairs nothing, while copies of any number find each other).  For each key a document meets only the smallest
-document that holds it; the line sequences of the two are aligned by patience diff, and the aligned common
+Documents that share a key meet: a key is a line of at least ``min_words`` words, or two lines in a row,
+however many documents hold it, so that no verdict depends on the size of the input.  For each key a document
+meets only the smallest document that holds it; the line sequences of the two are aligned by patience diff, and the aligned common
 blocks are deleted from the later document.
 """
 
@@ -93,7 +92,7 @@ def _align(min_words: int):
     return run
 
 
-def repeated_lines(documents: DataFrame, min_words: int = 5, rare_df: int = 1000) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, mark, n_partners, gone): for each document with deletions the positions of its deleted lines.
 
     mark is a hash of the text, so that rows that share an id but not a text keep their own findings.
@@ -120,7 +119,7 @@ def repeated_lines(documents: DataFrame, min_words: int = 5, rare_df: int = 1000
     keys = single.unionByName(double).distinct()
     heads = keys.groupBy("key", "double").agg(
         F.min(F.struct("doc_id", "mark")).alias("head"), F.count(F.lit(1)).alias("df")
-    ).where((F.col("df") > 1) & (F.col("double") | (F.col("df") <= rare_df)))
+    ).where(F.col("df") > 1)
     pairs = (
         keys.join(heads, ["key", "double"]).where(F.col("doc_id") > F.col("head.doc_id"))
         .select("doc_id", "mark", "head").distinct()
@@ -137,7 +136,7 @@ def repeated_lines(documents: DataFrame, min_words: int = 5, rare_df: int = 1000
     )
 
 
-def line_dedup(documents: DataFrame, min_words: int = 5, rare_df: int = 1000) -> DataFrame:
+def line_dedup(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """All columns of ``documents`` that a document has (doc_id, text, lang, source, n_chars), with the
     repeated blocks deleted from ``text``, and n_lines, n_deleted and n_partners.
 
@@ -146,7 +145,7 @@ def line_dedup(documents: DataFrame, min_words: int = 5, rare_df: int = 1000) ->
     very long ones included; a row without an id is left alone; documents of equal id never delete each
     other's lines; an empty table gives an empty result.
     """
-    gone = repeated_lines(documents, min_words, rare_df).withColumnRenamed("doc_id", "g_id").withColumnRenamed("mark", "g_mark")
+    gone = repeated_lines(documents, min_words).withColumnRenamed("doc_id", "g_id").withColumnRenamed("mark", "g_mark")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(*[c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in documents.columns])
     docs = docs.withColumn("_mark", F.xxhash64(text)).join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("_mark") == F.col("g_mark")), "left")
