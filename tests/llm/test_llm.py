@@ -13,6 +13,7 @@ from weftline.llm import bpe, chat_windows, line_dedup, packing, quality_rules,
 from weftline.llm.components import connected_components
 from weftline.llm.embedding_dedup import embedding_duplicates
 from weftline.llm.near_dedup import near_duplicates
+from weftline.llm import suffix_dedup as suffix
 from weftline.llm.suffix_dedup import suffix_dedup, suffix_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kmer string"
@@ -71,6 +72,23 @@ def test_suffix_dedup_equals_brute_force(docs, empty):
     assert 40 not in out and out[43] is None and out[44] == ""
 
 
+def test_suffix_dedup_cuts_no_byte_on_a_hash_alone():
+    """A context whose hash equals that of another context stays; only bytes equal to the head's go."""
+    rng = np.random.default_rng(3)
+    top = int(rng.integers(1 << 31)) << 32
+    rows = [(7, top | low, doc, 5, 100 + doc) for doc, low in ((1, 11), (2, 22), (3, 11))]  # 1 and 2 differ in the low half
+    out = list(suffix._combined([tuple(np.array([x], dtype=np.int64) for x in r) for r in rows]))
+    met = [r for b in suffix._meet(out) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["h_doc"], r["h_mark"], r["h_pos"]) for r in met if r["kmer"] is None] == [(3, 1, 5, 101)]
+    raw = bytes(rng.integers(97, 123, 200, dtype=np.uint8))
+    other = bytearray(raw[20:100])
+    assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == [(20, 100)]
+    other[55] ^= 1
+    assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == [(20, 75)]
+    other[45] ^= 1
+    assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == []
+
+
 def sets(rows, k):
     out = {}
     for d, t, *_ in rows:

@@ -8,8 +8,9 @@ hash in the string), so it is enough to compare the surroundings of equal anchor
    (all bytes that a string holding the anchor can reach) go out.  A task first combines its own rows:
    where it has seen the same context in a smaller document, the context is settled and takes no part
    in the grouping, so a passage that very many documents share does not make a hot key;
-2. anchors meet by k-mer.  A context equal to one of a smaller document is settled; heads of different
-   contexts ask for a comparison;
+2. anchors meet by k-mer.  A context equal to one of a smaller document, its head, is settled; heads of
+   different contexts ask for a comparison.  Settled contexts in a row are joined to runs, and the bytes
+   of each run are fetched from its head: only bytes found equal there are cut;
 3. the contexts asked for are laid end to end, and their suffixes are sorted by a merge sort that
    compares two suffixes through their common extension, found by binary search over prefix polynomial
    hashes.  Neighbours that look equal are verified byte by byte;
@@ -57,21 +58,36 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
 COMBINED = 400_000
 
 
-def _combined(parts: list[tuple]):
-    kmer, context, doc, mark, pos = (np.concatenate(x) for x in zip(*parts))
+def _heads(kmer: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their contexts, where a new context begins, and the row of each row's head."""
     order = np.lexsort((doc, context, kmer))
     k, c = kmer[order], context[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    head = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-    settled = np.zeros(len(k), dtype=bool)
-    settled[order] = doc[order] > head
+    head = np.empty(len(k), dtype=np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    return order, new, head
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32).astype(np.int64)
+
+
+def _combined(parts: list[tuple]):
+    """Rows of a task; a settled one has a negative kmer, its head's document as context, and its head's
+    mark and position in the upper halves of marks and place."""
+    kmer, context, doc, mark, pos = (np.concatenate(x) for x in zip(*parts))
+    head = _heads(kmer, context, doc)[2]
+    settled = doc > doc[head]
     # a settled row needs no meeting: a key of its own (negative) spreads such rows
     spread = (mix(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
     kmer = np.where(settled, spread, kmer)
+    context = np.where(settled, doc[head], context)
+    marks = np.where(settled, mark[head] << 32, 0) | (mark & 0xFFFFFFFF)
+    place = np.where(settled, pos[head] << 32, 0) | pos
     for at in range(0, len(kmer), 100_000):
         to = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_pydict({"kmer": kmer[to], "place": (context[to] << 32) | pos[to], "doc_id": doc[to], "mark": mark[to]})
+        yield pa.RecordBatch.from_pydict({"kmer": kmer[to], "context": context[to], "doc_id": doc[to], "marks": marks[to], "place": place[to]})
 
 
 def _anchor_rows(length: int):
@@ -81,7 +97,7 @@ def _anchor_rows(length: int):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             for lo, hi, data, offs in slices(batch.column("text")):
                 pos, text, kmer, context = anchors(data, offs, length)
-                parts.append((kmer.view(np.int64), (context >> np.uint64(32)).astype(np.int64), ids[lo + text], marks[lo + text], pos))
+                parts.append((kmer.view(np.int64), context.view(np.int64), ids[lo + text], marks[lo + text], pos))
                 held += len(pos)
                 if held >= COMBINED:
                     yield from _combined(parts)
@@ -93,31 +109,69 @@ def _anchor_rows(length: int):
 
 
 def _meet(batches):
-    """All anchors of a partition: settled ones with kmer null, those to compare with their k-mer."""
-    kept = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+    """All anchors of a partition: settled ones with their head and kmer null, those to compare with their k-mer."""
+    kept = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
     if not kept:
         return
-    kmer, place, doc, mark = (np.concatenate(x) for x in zip(*kept))
+    kmer, context, doc, marks, place = (np.concatenate(x) for x in zip(*kept))
     del kept
+    mark, pos = _low(marks), place & 0xFFFFFFFF
     done = kmer < 0
+    h_doc, h_mark, h_pos = context.copy(), marks >> 32, place >> 32
     rest = np.flatnonzero(~done)
-    order = rest[np.lexsort((doc[rest], place[rest] >> 32, kmer[rest]))]
-    k, c, d = kmer[order], place[order] >> 32, doc[order]
-    new_k, new = np.ones(len(k), dtype=bool), np.ones(len(k), dtype=bool)
+    order, new, head = _heads(kmer[rest], context[rest], doc[rest])
+    head, order = rest[head], rest[order]
+    h_doc[rest], h_mark[rest], h_pos[rest] = doc[head], mark[head], pos[head]
+    done[rest] = doc[rest] > doc[head]
+    k, d = kmer[order], doc[order]
+    new_k = np.ones(len(k), dtype=bool)
     new_k[1:] = k[1:] != k[:-1]
-    new[1:] = new_k[1:] | (c[1:] != c[:-1])
-    head = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-    done[order[d > head]] = True
     starts = np.flatnonzero(new_k)
     ask = np.zeros(len(kmer), dtype=bool)
     if len(starts):
         several = (np.add.reduceat(new.astype(np.int64), starts) > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
-        ask[order] = np.repeat(several, np.diff(np.append(starts, len(k)))) & (d == head)
+        ask[order] = np.repeat(several, np.diff(np.append(starts, len(k)))) & ~done[order]
     out = np.flatnonzero(done | ask)
     for at in range(0, len(out), 100_000):
         i = out[at : at + 100_000]
+        own = ~done[i]
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": doc[i], "mark": mark[i], "pos": (place[i] & 0xFFFFFFFF), "kmer": pa.array(kmer[i], mask=done[i])}
+            {
+                "doc_id": doc[i], "mark": mark[i], "pos": pos[i], "kmer": pa.array(kmer[i], mask=done[i]),
+                "h_doc": pa.array(h_doc[i], mask=own), "h_mark": pa.array(h_mark[i], mask=own), "h_pos": pa.array(h_pos[i], mask=own),
+            }
+        )
+
+
+#: A stretch [lo, hi) of a text that is taken to be equal to that at h_lo of a smaller document.
+RUN = "struct<lo: long, hi: long, h_doc: long, h_mark: long, h_lo: long>"
+
+
+def _joined(claims: pa.ListArray) -> pa.ListArray:
+    """The claims of each row, with those that touch in both texts made one."""
+    offs = claims.offsets.to_numpy()
+    values = claims.values.slice(offs[0], offs[-1] - offs[0])
+    lo, hi, doc, mark, h_lo = (values.field(c).to_numpy() for c in ("lo", "hi", "h_doc", "h_mark", "h_lo"))
+    row, shift = np.repeat(np.arange(len(claims)), np.diff(offs)), h_lo - lo
+    order = np.lexsort((lo, shift, mark, doc, row))
+    row, lo, hi, doc, mark, shift = (x[order] for x in (row, lo, hi, doc, mark, shift))
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = lo[1:] > hi[:-1]  # all claims of one kind are of one width
+    for x in (row, doc, mark, shift):
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    out = pa.StructArray.from_arrays(
+        [pa.array(x) for x in (lo[first], hi[last], doc[first], mark[first], lo[first] + shift[first])], ["lo", "hi", "h_doc", "h_mark", "h_lo"]
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(claims) + 1)).astype(np.int32)), out)
+
+
+def _runs(batches):
+    """Claims joined to runs; the other columns stay."""
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict(
+            {("runs" if c == "claims" else c): (_joined(batch.column(c)) if c == "claims" else batch.column(c)) for c in batch.schema.names}
         )
 
 
@@ -314,10 +368,11 @@ def _compare(length: int, chunk: int = 8_000):
 
 
 def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each row of ``documents`` as (doc_id, text, was_null, mark, settled, spans) and the columns to carry.
+    """Each row of ``documents`` as (doc_id, text, was_null, mark, proofs, spans) and the columns to carry.
 
-    ``settled`` lists anchors whose whole context is repeated, ``spans`` further covered spans; mark is
-    a hash of the text, so that rows that share an id but not a text keep their own findings.
+    ``proofs`` lists stretches of smaller documents and where they should be found in the text, ``spans``
+    further covered spans; mark is a hash of the text, so that rows that share an id but not a text keep
+    their own findings.
     """
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -328,15 +383,21 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = (
         docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-        .mapInArrow(_anchor_rows(length), "kmer long, place long, doc_id long, mark long")
+        .mapInArrow(_anchor_rows(length), "kmer long, context long, doc_id long, marks long, place long")
         .repartition(n, "kmer")
-        .mapInArrow(_meet, "doc_id long, mark long, pos long, kmer long")
+        .mapInArrow(_meet, "doc_id long, mark long, pos long, kmer long, h_doc long, h_mark long, h_pos long")
+    )
+    # a context that ends with its text ends with its head's text too: both stretches end there
+    claim = F.struct(
+        (F.col("pos") - (length - KMER)).alias("lo"), (F.col("pos") + length).alias("hi"),
+        "h_doc", "h_mark", (F.col("h_pos") - (length - KMER)).alias("h_lo"),
     )
     found = checkpointed(
         found.groupBy("doc_id", "mark").agg(
-            F.collect_list(F.when(F.col("kmer").isNull(), F.col("pos").cast("int"))).alias("settled"),
+            F.collect_list(F.when(F.col("kmer").isNull(), claim)).alias("claims"),
             F.collect_list(F.when(F.col("kmer").isNotNull(), F.struct("pos", "kmer"))).alias("ask"),
         )
+        .mapInArrow(_runs, f"doc_id long, mark long, runs array<{RUN}>, ask array<struct<pos: long, kmer: long>>")
     )
     release(documents.sparkSession)
     keep = ["doc_id", "text", "mark", *(["was_null"] if carry else []), *carry]
@@ -349,36 +410,48 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
         .groupBy("doc_id", "mark")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     )
-    # both joins deal the same rows by the same key, so that Spark shuffles the texts once
-    notes = found.select("doc_id", "mark", "settled").join(spans, ["doc_id", "mark"], "left")
-    return docs.join(notes, ["doc_id", "mark"], "left")
+    # all joins deal the same rows by the same key, so that Spark shuffles the texts once
+    runs = found.select(F.col("doc_id").alias("to_doc"), F.col("mark").alias("to_mark"), F.explode("runs").alias("r")).select("to_doc", "to_mark", "r.*")
+    front = F.greatest(-F.col("lo"), F.lit(0))
+    stretch = F.substring(F.encode("text", "UTF-8"), F.col("h_lo") + front + 1, F.col("hi") - F.col("lo") - front)
+    proofs = (
+        docs.join(runs, (F.col("doc_id") == F.col("h_doc")) & (F.col("mark") == F.col("h_mark")))
+        .select(F.col("to_doc").alias("doc_id"), F.col("to_mark").alias("mark"), F.struct((F.col("lo") + front).alias("lo"), stretch.alias("bytes")).alias("proof"))
+        .groupBy("doc_id", "mark").agg(F.collect_list("proof").alias("proofs"))
+    )
+    return docs.join(spans, ["doc_id", "mark"], "left").join(proofs, ["doc_id", "mark"], "left")
 
 
-def cut(raw: bytes, settled, spans, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The bytes that stay and the maximal removed runs."""
+def cut(raw: bytes, proofs, spans, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The bytes that stay and the maximal removed runs; of a proof only equal bytes, ``length`` in a row, go."""
     size = len(raw)
+    own = np.frombuffer(raw, np.uint8)
     step = np.zeros(size + 1, dtype=np.int32)
-    if settled is not None and len(settled):
-        at = np.asarray(settled, dtype=np.int64)
-        np.add.at(step, np.maximum(at - (length - KMER), 0), 1)
-        np.add.at(step, np.minimum(at + length, size), -1)
+    for p in proofs or ():
+        lo, other = p["lo"], p["bytes"]
+        same = np.concatenate([[False], own[lo : lo + len(other)] == np.frombuffer(other, np.uint8)[: max(size - lo, 0)], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in zip(edge[::2], edge[1::2]):
+            if b - a >= length:
+                step[lo + a] += 1
+                step[lo + b] -= 1
     for s in spans or ():
         step[s["lo"]] += 1
         step[s["hi"]] -= 1
     gone = np.cumsum(step[:-1]) > 0
     edges = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
     runs = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
-    return np.frombuffer(raw, np.uint8)[~gone], runs
+    return own[~gone], runs
 
 
 def _digest(length: int):
     def run(batches):
         for batch in batches:
             out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, settled, spans in zip(batch.column("text"), batch.column("settled"), batch.column("spans")):
+            for text, proofs, spans in zip(batch.column("text"), batch.column("proofs"), batch.column("spans")):
                 raw = text.as_buffer().to_pybytes()
-                settled, spans = settled.values.to_numpy() if settled.is_valid else None, spans.as_py()
-                kept, runs = cut(raw, settled, spans, length) if settled is not None else (raw, [])
+                proofs, spans = proofs.as_py(), spans.as_py()
+                kept, runs = cut(raw, proofs, spans, length) if proofs or spans else (raw, [])
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(len(raw) - len(kept))
                 out["n_spans"].append(len(runs))
@@ -404,11 +477,12 @@ def _rewrite(length: int):
     def run(batches):
         for batch in batches:
             texts, sizes = [], []
-            for text, chars, settled, spans in zip(
-                batch.column("text"), batch.column("n_chars"), batch.column("settled"), batch.column("spans")
+            for text, chars, proofs, spans in zip(
+                batch.column("text"), batch.column("n_chars"), batch.column("proofs"), batch.column("spans")
             ):
                 raw = text.as_buffer().to_pybytes()
-                runs = cut(raw, settled.values.to_numpy(), spans.as_py(), length)[1] if settled.is_valid else []
+                proofs, spans = proofs.as_py(), spans.as_py()
+                runs = cut(raw, proofs, spans, length)[1] if proofs or spans else []
                 kept, last = bytearray(), 0
                 for lo, hi in runs:
                     # a character whose bytes are only partly repeated stays whole
