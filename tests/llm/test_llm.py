@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def test_suffix_dedup_cuts_no_byte_on_a_hash_alone():
     top = int(rng.integers(1 << 31)) << 32
     rows = [(7, top | low, doc, 5, 100 + doc) for doc, low in ((1, 11), (2, 22), (3, 11))]  # 1 and 2 differ in the low half
     out = list(suffix._combined([tuple(np.array([x], dtype=np.int64) for x in r) for r in rows]))
-    met = [r for b in suffix._meet(out) for r in b.to_pylist()]
+    met = [r for b in suffix._meet(iter(out), suffix.HOT) for r in b.to_pylist()]
     assert [(r["doc_id"], r["h_doc"], r["h_mark"], r["h_pos"]) for r in met if r["kmer"] is None] == [(3, 1, 5, 101)]
     raw = bytes(rng.integers(97, 123, 200, dtype=np.uint8))
     other = bytearray(raw[20:100])
@@ -89,6 +90,22 @@ def test_suffix_dedup_cuts_no_byte_on_a_hash_alone():
     assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == []
 
 
+def test_suffix_dedup_splits_hot_kmers(spark, docs, monkeypatch):
+    """A k-mer of too many different contexts gives the same result, and its contexts are never sorted together."""
+    passage = prose(30)
+    rows = [(i, f"{prose(12)} {passage} {prose(12)}", "en", "s", 1, "") for i in range(60)]
+    many = docs.unionByName(spark.createDataFrame([(1000 + r[0], *r[1:]) for r in rows], DOCS))
+    want = sorted(map(tuple, suffix_digest(many).collect()), key=str)
+    assert sum(r[2] for r in want if r[0] and r[0] > 1000) >= 59 * len(passage.encode())
+    for most in (0, 5):
+        monkeypatch.setattr(suffix, "HOT", most)
+        assert sorted(map(tuple, suffix_digest(many).collect()), key=str) == want
+    n = [pa.array([x] * 12, pa.int64()) for x in (9, 5, 200)]
+    batch = pa.RecordBatch.from_arrays([n[0], pa.array(range(12)), pa.array(range(12)), n[1], n[2]], ["kmer", "context", "doc_id", "marks", "place"])
+    assert all(r["hot"] for b in suffix._meet(iter([batch]), 11) for r in b.to_pylist())
+    assert not any(r["hot"] for b in suffix._meet(iter([batch]), 12) for r in b.to_pylist())
+
+
 def sets(rows, k):
     out = {}
     for d, t, *_ in rows:

@@ -10,7 +10,9 @@ hash in the string), so it is enough to compare the surroundings of equal anchor
    in the grouping, so a passage that very many documents share does not make a hot key;
 2. anchors meet by k-mer.  A context equal to one of a smaller document, its head, is settled; heads of
    different contexts ask for a comparison.  Settled contexts in a row are joined to runs, and the bytes
-   of each run are fetched from its head: only bytes found equal there are cut;
+   of each run are fetched from its head: only bytes found equal there are cut.  A k-mer with more than
+   ``HOT`` different contexts asks in smaller groups: each of its strings meets equal strings only, by
+   hash, and what is repeated is joined to runs and compared with its head like a settled context;
 3. the contexts asked for are laid end to end, and their suffixes are sorted by a merge sort that
    compares two suffixes through their common extension, found by binary search over prefix polynomial
    hashes.  Neighbours that look equal are verified byte by byte;
@@ -108,7 +110,11 @@ def _anchor_rows(length: int):
     return run
 
 
-def _meet(batches):
+#: The most different contexts of one k-mer that are sorted together.
+HOT = 2_000
+
+
+def _meet(batches, most: int):
     """All anchors of a partition: settled ones with their head and kmer null, those to compare with their k-mer."""
     kept = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
     if not kept:
@@ -127,9 +133,11 @@ def _meet(batches):
     new_k = np.ones(len(k), dtype=bool)
     new_k[1:] = k[1:] != k[:-1]
     starts = np.flatnonzero(new_k)
-    ask = np.zeros(len(kmer), dtype=bool)
+    ask, hot = np.zeros(len(kmer), dtype=bool), np.zeros(len(kmer), dtype=bool)
     if len(starts):
-        several = (np.add.reduceat(new.astype(np.int64), starts) > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
+        contexts = np.add.reduceat(new.astype(np.int64), starts)
+        hot[order] = np.repeat(contexts > most, np.diff(np.append(starts, len(k))))
+        several = (contexts > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
         ask[order] = np.repeat(several, np.diff(np.append(starts, len(k)))) & ~done[order]
     out = np.flatnonzero(done | ask)
     for at in range(0, len(out), 100_000):
@@ -137,7 +145,7 @@ def _meet(batches):
         own = ~done[i]
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": doc[i], "mark": mark[i], "pos": pos[i], "kmer": pa.array(kmer[i], mask=done[i]),
+                "doc_id": doc[i], "mark": mark[i], "pos": pos[i], "kmer": pa.array(kmer[i], mask=done[i]), "hot": hot[i],
                 "h_doc": pa.array(h_doc[i], mask=own), "h_mark": pa.array(h_mark[i], mask=own), "h_pos": pa.array(h_pos[i], mask=own),
             }
         )
@@ -175,6 +183,43 @@ def _runs(batches):
         )
 
 
+def _strings(length: int):
+    """For each anchor of a hot k-mer the strings that hold it, as hashes."""
+    left = length - KMER
+
+    def run(batches):
+        for batch in batches:
+            for i, (doc, mark, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "hot")))):
+                data = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
+                prefix, pos = prefix_hashes(data), np.array([a["pos"] for a in hot])
+                lo = (pos[:, None] - np.arange(left + 1)).ravel()
+                kmer = np.repeat(np.array([a["kmer"] for a in hot]), left + 1)
+                ok = (lo >= 0) & (lo + length <= len(data))
+                lo, kmer = lo[ok], kmer[ok]
+                string = mix(span_hashes(prefix, lo, lo + length)).view(np.int64)
+                for at in range(0, len(lo), 100_000):
+                    to = slice(at, at + 100_000)
+                    n = len(lo[to])
+                    yield pa.RecordBatch.from_pydict(
+                        {"kmer": kmer[to], "string": string[to], "doc_id": np.full(n, doc), "mark": np.full(n, mark), "lo": lo[to]}
+                    )
+
+    return run
+
+
+def _hot_runs(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated strings at hot k-mers: a string is claimed from the smallest document that has it."""
+    strings = docs.join(found.where(F.size("hot") > 0).select("doc_id", "mark", "hot"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "hot")
+    strings = strings.mapInArrow(_strings(length), "kmer long, string long, doc_id long, mark long, lo long")
+    heads = strings.groupBy("kmer", "string").agg(F.min(F.struct("doc_id", "mark", "lo")).alias("h"), F.max("doc_id").alias("most"))
+    heads = heads.where("most > h.doc_id").drop("most")
+    claim = F.struct(
+        "lo", (F.col("lo") + length).alias("hi"), F.col("h.doc_id").alias("h_doc"), F.col("h.mark").alias("h_mark"), F.col("h.lo").alias("h_lo")
+    )
+    claims = strings.join(heads, ["kmer", "string"]).where("doc_id > h.doc_id").groupBy("doc_id", "mark").agg(F.collect_list(claim).alias("claims"))
+    return claims.mapInArrow(_runs, f"doc_id long, mark long, runs array<{RUN}>")
+
+
 def _contexts(length: int):
     """Bytes around each anchor asked for: fixed width, missing bytes as value 0, others as byte + 1."""
     left = length - KMER
@@ -381,11 +426,12 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
         *carry,
     ).withColumn("mark", F.hash("text").cast("long"))
     n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    most = HOT
     found = (
         docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
         .mapInArrow(_anchor_rows(length), "kmer long, context long, doc_id long, marks long, place long")
         .repartition(n, "kmer")
-        .mapInArrow(_meet, "doc_id long, mark long, pos long, kmer long, h_doc long, h_mark long, h_pos long")
+        .mapInArrow(lambda batches: _meet(batches, most), "doc_id long, mark long, pos long, kmer long, hot boolean, h_doc long, h_mark long, h_pos long")
     )
     # a context that ends with its text ends with its head's text too: both stretches end there
     claim = F.struct(
@@ -395,15 +441,16 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     found = checkpointed(
         found.groupBy("doc_id", "mark").agg(
             F.collect_list(F.when(F.col("kmer").isNull(), claim)).alias("claims"),
-            F.collect_list(F.when(F.col("kmer").isNotNull(), F.struct("pos", "kmer"))).alias("ask"),
+            F.collect_list(F.when(F.col("kmer").isNotNull() & ~F.col("hot"), F.struct("pos", "kmer"))).alias("ask"),
+            F.collect_list(F.when(F.col("kmer").isNotNull() & F.col("hot"), F.struct("pos", "kmer"))).alias("hot"),
         )
-        .mapInArrow(_runs, f"doc_id long, mark long, runs array<{RUN}>, ask array<struct<pos: long, kmer: long>>")
+        .mapInArrow(_runs, f"doc_id long, mark long, runs array<{RUN}>, ask array<struct<pos: long, kmer: long>>, hot array<struct<pos: long, kmer: long>>")
     )
     release(documents.sparkSession)
     keep = ["doc_id", "text", "mark", *(["was_null"] if carry else []), *carry]
     docs = docs.select(*keep)
     spans = (
-        docs.join(found, ["doc_id", "mark"], "left")
+        docs.join(found.select("doc_id", "mark", "ask"), ["doc_id", "mark"], "left")
         .mapInArrow(_contexts(length), "kmer long, doc_id long, mark long, pos long, before binary, after binary")
         .repartition(n, "kmer")
         .mapInArrow(_compare(length), "doc_id long, mark long, lo long, hi long")
@@ -411,7 +458,10 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
         .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     )
     # all joins deal the same rows by the same key, so that Spark shuffles the texts once
-    runs = found.select(F.col("doc_id").alias("to_doc"), F.col("mark").alias("to_mark"), F.explode("runs").alias("r")).select("to_doc", "to_mark", "r.*")
+    claimed = found.select("doc_id", "mark", "runs")
+    if not found.where(F.size("hot") > 0).isEmpty():
+        claimed = claimed.unionByName(_hot_runs(docs, found, length))
+    runs = claimed.select(F.col("doc_id").alias("to_doc"), F.col("mark").alias("to_mark"), F.explode("runs").alias("r")).select("to_doc", "to_mark", "r.*")
     front = F.greatest(-F.col("lo"), F.lit(0))
     stretch = F.substring(F.encode("text", "UTF-8"), F.col("h_lo") + front + 1, F.col("hi") - F.col("lo") - front)
     proofs = (
