@@ -183,6 +183,21 @@ def test_line_dedup_at_any_size(spark, n):
     assert got == {i: line if i == 0 else "" if i < n else f"own start {i - n}\nown end {i - n}" for i in range(2 * n)}
 
 
+def test_patience_without_unique_lines():
+    """Regions in which no common line is unique are aligned by a longest common subsequence."""
+    assert line_dedup.common_blocks(list("yLLz"), list("LLx"), [1] * 4, 5) == [1, 2]
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        pairs = line_dedup.longest_common(a, b)[::-1]
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 def test_bpe_round_trip(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.read_ranks(path)

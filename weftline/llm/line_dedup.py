@@ -17,8 +17,33 @@ from pyspark.sql import functions as F
 from .common import SEPARATOR_PATTERN, checkpointed
 
 
+def longest_common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, last first; a bit of a row is 0 where its length grows."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for x in a:
+        both = rows[-1] & where.get(x, 0)
+        rows.append(((rows[-1] + both) | (rows[-1] - both)) & full)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned index pairs of two sequences of hashable lines, in order."""
+    """Aligned index pairs of two sequences of hashable lines, in order.
+
+    A region in which no line is unique on both sides is aligned by a longest common subsequence.
+    """
     out, stack = [], [(0, len(a), 0, len(b))]
     while stack:
         al, ah, bl, bh = stack.pop()
@@ -46,6 +71,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             chain.append(common[k])
             k = back[k]
         if not chain:
+            out += [(al + i, bl + j) for i, j in longest_common(a[al:ah], b[bl:bh])]
             continue
         chain.reverse()
         last_a, last_b = al, bl
