@@ -39,6 +39,12 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(map(plain, want.select(*[f'"{c}"' for c in columns]).fetchall()), key=str)
 
 
+def test_whole_joins_keep_every_customer(spark):
+    keys = {r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    for name in ("join_left_whole", "join_full_whole", "lookup_full_whole"):
+        assert {r.id for r in catalogue.QUERIES[name](spark, SF).collect()} >= keys
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -197,6 +197,14 @@ for _kind in ("inner", "left", "right", "full"):
         combine.lookup_join(table(spark, d, "customer").where("c_custkey % 2 = 0"), table(spark, d, "orders"), ["c_custkey"], ["o_custkey"], k, match="all"), _PICK)
     ORACLES[f"join_{_kind}_all"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {_kind.upper()} JOIN orders ON c_custkey = o_custkey"
 
+    QUERIES[f"join_{_kind}_whole"] = lambda spark, d, k=_kind: combine.project(
+        combine.lookup_join(table(spark, d, "customer"), table(spark, d, "orders"), ["c_custkey"], ["o_custkey"], k, match="all"), _PICK)
+    ORACLES[f"join_{_kind}_whole"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer {_kind.upper()} JOIN orders ON c_custkey = o_custkey"
+
+QUERIES["lookup_full_whole"] = lambda spark, d: combine.project(
+    combine.lookup_join(table(spark, d, "customer"), table(spark, d, "orders"), ["c_custkey"], ["o_custkey"], "full", order_by=["o_orderdate", "o_orderkey"]), _PICK)
+ORACLES["lookup_full_whole"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer FULL JOIN ({_LAST}) ON c_custkey = o_custkey"
+
 
 @query("join_cross", "SELECT r_name AS region, n_name AS nation FROM region CROSS JOIN nation")
 def _(spark, d):
