@@ -49,8 +49,7 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_suffix_dedup_equals_brute_force(docs, empty):
-    rows = corpus()
+def removed_strings(rows):
     first = {}
     for d, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         b = (t or "").encode()
@@ -66,44 +65,68 @@ def test_suffix_dedup_equals_brute_force(docs, empty):
         runs = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want.append((d, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
-    assert sorted(map(tuple, suffix_digest(docs).collect()), key=str) == sorted(want, key=str)
+    return sorted(want, key=str)
+
+
+def passages():
+    """Many documents that share a passage between words of their own: its edges are hot k-mers."""
+    passage = prose(30)
+    rows = [(1000 + i, f"{prose(12)} {passage} {prose(12)}", "en", "s", 1, "") for i in range(60)]
+    return passage, [*corpus(), *rows]
+
+
+def test_suffix_dedup_equals_brute_force(docs, empty):
+    want = removed_strings(corpus())
+    assert sorted(map(tuple, suffix_digest(docs).collect()), key=str) == want
     assert sum(w[2] for w in want) > 100
     assert suffix_digest(empty).count() == 0
     out = {r.doc_id: r.text for r in suffix_dedup(docs).collect()}
     assert 40 not in out and out[43] is None and out[44] == ""
 
 
-def test_suffix_dedup_cuts_no_byte_on_a_hash_alone():
-    """A context whose hash equals that of another context stays; only bytes equal to the head's go."""
+@pytest.mark.parametrize("bits", [4, 9])
+def test_suffix_dedup_with_colliding_hashes(docs, bits):
+    """With hashes of a few bits nearly all contexts and extensions collide: no byte goes, or stays, for that."""
+    assert sorted(map(tuple, suffix_digest(docs, bits=bits).collect()), key=str) == removed_strings(corpus())
     rng = np.random.default_rng(3)
-    top = int(rng.integers(1 << 31)) << 32
-    rows = [(7, top | low, doc, 5, 100 + doc) for doc, low in ((1, 11), (2, 22), (3, 11))]  # 1 and 2 differ in the low half
-    out = list(suffix._combined([tuple(np.array([x], dtype=np.int64) for x in r) for r in rows]))
-    met = [r for b in suffix._meet(iter(out), suffix.HOT) for r in b.to_pylist()]
-    assert [(r["doc_id"], r["h_doc"], r["h_mark"], r["h_pos"]) for r in met if r["kmer"] is None] == [(3, 1, 5, 101)]
-    raw = bytes(rng.integers(97, 123, 200, dtype=np.uint8))
-    other = bytearray(raw[20:100])
-    assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == [(20, 100)]
-    other[55] ^= 1
-    assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == [(20, 75)]
-    other[45] ^= 1
-    assert suffix.cut(raw, [{"lo": 20, "bytes": bytes(other)}], None, 50)[1] == []
-
-
-def test_suffix_dedup_splits_hot_kmers(spark, docs, monkeypatch):
-    """A k-mer of too many different contexts gives the same result, and its contexts are never sorted together."""
-    passage = prose(30)
-    rows = [(i, f"{prose(12)} {passage} {prose(12)}", "en", "s", 1, "") for i in range(60)]
-    many = docs.unionByName(spark.createDataFrame([(1000 + r[0], *r[1:]) for r in rows], DOCS))
-    want = sorted(map(tuple, suffix_digest(many).collect()), key=str)
+    values = rng.integers(1, 4, (400, 40)).astype(np.uint16)
+    values[200:] = values[rng.integers(0, 200, 200)]
+    segment = np.sort(rng.integers(0, 7, 400))
+    perm, common = suffix.suffix_array(values, segment, bits)
+    assert (segment[perm] == segment).all() and sorted(perm) == list(range(400))
+    for i, (a, b) in enumerate(zip(perm, perm[1:])):
+        x, y = values[a].tolist(), values[b].tolist()
+        agree = next((k for k in range(40) if x[k] != y[k]), 40)
+        assert common[i] == (agree if segment[i] == segment[i + 1] else -1) and (segment[i] != segment[i + 1] or x <= y)
+
+
+def test_suffix_dedup_splits_hot_kmers(spark, monkeypatch):
+    """A k-mer of too many contexts gives the same result, and its contexts are never sorted together."""
+    passage, rows = passages()
+    many = spark.createDataFrame(rows, DOCS).repartition(5)
+    want = removed_strings(rows)
     assert sum(r[2] for r in want if r[0] and r[0] > 1000) >= 59 * len(passage.encode())
-    for most in (0, 5):
+    for most, combined in ((4_000, 200), (0, 1_000_000), (5, 200)):
         monkeypatch.setattr(suffix, "HOT", most)
+        monkeypatch.setattr(suffix, "COMBINED", combined)
         assert sorted(map(tuple, suffix_digest(many).collect()), key=str) == want
-    n = [pa.array([x] * 12, pa.int64()) for x in (9, 5, 200)]
-    batch = pa.RecordBatch.from_arrays([n[0], pa.array(range(12)), pa.array(range(12)), n[1], n[2]], ["kmer", "context", "doc_id", "marks", "place"])
-    assert all(r["hot"] for b in suffix._meet(iter([batch]), 11) for r in b.to_pylist())
-    assert not any(r["hot"] for b in suffix._meet(iter([batch]), 12) for r in b.to_pylist())
+
+
+def test_suffix_dedup_very_hot_kmer():
+    """100,000 contexts of one k-mer: one witness a block meets, and they are dealt by their strings."""
+    rng, kmer = np.random.default_rng(1), b"twenty bytes as kmer"
+    n = 100_000
+    noise = rng.integers(97, 123, (n, 2, 30), dtype=np.uint8)
+    text = [bytes(x[0]) + kmer + bytes(x[1]) for x in noise]
+    asks = pa.array([[{"pos": 30, "kmer": 7, "hot": True}]] * n, pa.list_(pa.struct([("pos", pa.int32()), ("kmer", pa.int64()), ("hot", pa.bool_())])))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "mark": pa.array(range(n)), "text": text, "asks": asks})
+    segments = [x for b in suffix._contexts(50)(iter([batch])) for x in b.column("segment").to_pylist()]
+    assert max(np.unique(segments, return_counts=True)[1]) == 1
+    rows = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(3)), "mark": pa.array(range(3)), "pos": pa.array([60_000, 50_000, 9], pa.int32()), "kmer": pa.array([7] * 3), "stop": pa.array([suffix.WITNESS] * 2 + [0], pa.int32()),
+    })
+    met = [r for b in suffix._meet(4_000)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["kmer"], r["stop"]) for r in met] == [(2, 7, suffix.SURE), (None, 7, None)]
 
 
 def sets(rows, k):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: Fixed value: a word is a maximal run of anything but these separators.
 SEPARATOR_PATTERN = r"[\x20\x09-\x0D]+"
 
+#: Spark's own setting to delete the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The most ids that are ever broadcast (8 bytes each, so 8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -30,6 +34,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: it cuts the lineage, and a lost executor loses none of it.
+
+    Spark deletes the shuffle files of the write as soon as the table stands.
+    """
+    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession, times: int = 3) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 

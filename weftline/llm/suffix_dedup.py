@@ -4,19 +4,20 @@ A byte is removed when a string of ``length`` bytes that covers it also starts i
 smaller id.  Two equal strings of that length share their content-defined anchor (the k-mer of least
 hash in the string), so it is enough to compare the surroundings of equal anchors:
 
-1. every text is scanned for its anchors; for each, the k-mer's hash and a hash of the whole context
-   (all bytes that a string holding the anchor can reach) go out.  A task first combines its own rows:
-   where it has seen the same context in a smaller document, the context is settled and takes no part
-   in the grouping, so a passage that very many documents share does not make a hot key;
-2. anchors meet by k-mer.  A context equal to one of a smaller document, its head, is settled; heads of
-   different contexts ask for a comparison.  Settled contexts in a row are joined to runs, and the bytes
-   of each run are fetched from its head: only bytes found equal there are cut.  A k-mer with more than
-   ``HOT`` different contexts asks in smaller groups: each of its strings meets equal strings only, by
-   hash, and what is repeated is joined to runs and compared with its head like a settled context;
-3. the contexts asked for are laid end to end, and their suffixes are sorted by a merge sort that
-   compares two suffixes through their common extension, found by binary search over prefix polynomial
-   hashes.  Neighbours that look equal are verified byte by byte;
+1. every text is scanned for its anchors.  A task first combines its own: an anchor whose whole context
+   (all bytes that a string holding it can reach) a smaller document of the task has too, found by hash and
+   compared byte by byte, is covered and goes no further, so a passage that very many documents share
+   makes no hot key.  Of a k-mer that the task has in several documents one witness meets the other tasks;
+2. anchors meet by k-mer, as bare numbers; those of a k-mer with a second document ask for a comparison;
+3. the contexts asked for are laid end to end, and their suffixes, and those of their mirror images, are
+   sorted by a merge sort that compares two suffixes through their common extension, found by binary
+   search over prefix polynomial hashes.  The extensions of neighbours are verified byte by byte, and so is
+   their order; a segment in which a hash misled is sorted by its bytes.  Contexts that agree before and
+   after the anchor far enough hold equal strings, which the smallest document keeps.  A k-mer with more
+   than ``HOT`` contexts is split: each of its strings is a segment of its own, combined in the task first;
 4. the covered bytes of each document are united and cut from its text.
+
+No byte is cut on a hash alone, and no hash collision hides a repeated string.
 """
 
 from __future__ import annotations
@@ -28,255 +29,296 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import stored
 from .textops import mix, powers, prefix_hashes, slices, sliding, span_hashes
 
 KMER = 20
+#: The most contexts of one k-mer that are sorted together.
+HOT = 4_000
+#: Anchors that a task combines at a time, and rows that it compares at a time.
+COMBINED = 1_000_000
+CHUNK = 8_000
+#: Text bytes whose anchors meet in one task, and contexts that are compared in one task.
+MEET_BYTES = 16 << 20
+COMPARED = 200_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+#: Kinds of rows, in place of the end of a span: an anchor, one that is known to be repeated, a witness of such.
+PLAIN, SURE, WITNESS = 0, -1, -2
+ROW = "doc_id long, mark long, pos int, kmer long, stop int"
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Position, text, k-mer hash and context hash of each anchor of the texts in a slice."""
-    n, width = len(data), length - KMER + 1
-    empty = np.zeros(0, dtype=np.int64)
-    if n < length:
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+
+def kmer_hashes(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hashes, the hash of the k-mer at each byte, and the least of the string at each byte (0: no string)."""
+    n = len(data)
     prefix = prefix_hashes(data)
     h = mix((prefix[KMER:] - prefix[:-KMER]) * powers(n)[1][: n - KMER + 1]) >> np.uint64(1)
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    room = offs[1:][text] - np.arange(n)
+    room = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)
     h[room[: len(h)] < KMER] = _TOP
-    least = sliding(h, width, np.minimum)
+    least = sliding(h, length - KMER + 1, np.minimum)
     least[room[: len(least)] < length] = 0
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    text = text[at]
-    lo, hi = np.maximum(at - (length - KMER), offs[:-1][text]), np.minimum(at + length, offs[1:][text])
-    context = mix(span_hashes(prefix, lo, hi) + ((at - lo) * 4096 + hi - at).astype(np.uint64))
-    return at - offs[:-1][text], text, h[at], context
-
-
-#: Anchors that a scanning task combines at a time.
-COMBINED = 400_000
-
-
-def _heads(kmer: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of their contexts, where a new context begins, and the row of each row's head."""
-    order = np.lexsort((doc, context, kmer))
-    k, c = kmer[order], context[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    head = np.empty(len(k), dtype=np.int64)
-    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-    return order, new, head
+    return prefix, h, least
 
 
-def _low(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.int32).astype(np.int64)
+def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte, text, k-mer hash and context hash of each anchor of the texts in a slice."""
+    empty = np.zeros(0, dtype=np.int64)
+    if len(data) < length:
+        return empty, empty, empty, empty
+    prefix, h, least = kmer_hashes(data, offs, length)
+    edge = np.zeros(length - KMER, dtype=np.uint64)
+    at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), length - KMER + 1, np.maximum) == h)
+    text = np.searchsorted(offs, at, side="right") - 1
+    lo, hi = np.maximum(at - (length - KMER), offs[:-1][text]), np.minimum(at + length, offs[1:][text])
+    context = mix(span_hashes(prefix, lo, hi) + ((at - lo) * 4096 + hi - at).astype(np.uint64))
+    return at, text, h[at].view(np.int64), context.view(np.int64)
 
 
-def _combined(parts: list[tuple]):
-    """Rows of a task; a settled one has a negative kmer, its head's document as context, and its head's
-    mark and position in the upper halves of marks and place."""
-    kmer, context, doc, mark, pos = (np.concatenate(x) for x in zip(*parts))
-    head = _heads(kmer, context, doc)[2]
-    settled = doc > doc[head]
-    # a settled row needs no meeting: a key of its own (negative) spreads such rows
-    spread = (mix(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
-    kmer = np.where(settled, spread, kmer)
-    context = np.where(settled, doc[head], context)
-    marks = np.where(settled, mark[head] << 32, 0) | (mark & 0xFFFFFFFF)
-    place = np.where(settled, pos[head] << 32, 0) | pos
-    for at in range(0, len(kmer), 100_000):
-        to = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_pydict({"kmer": kmer[to], "context": context[to], "doc_id": doc[to], "marks": marks[to], "place": place[to]})
+def windows(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """The bytes data[lo:hi] around each ``at``, which stands at column ``length - KMER``; 0 outside, others + 1."""
+    left = length - KMER
+    padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, left + length)[at].astype(np.uint16) + 1
+    out[np.arange(left + length) < (left - (at - lo))[:, None]] = 0
+    out[np.arange(left + length) >= (left + (hi - at))[:, None]] = 0
+    return out
+
+
+def earlier(key: np.ndarray, doc: np.ndarray, same) -> np.ndarray:
+    """Which rows repeat a row of equal key and a smaller document; ``same(rows, heads)`` compares their bytes."""
+    if not len(key):
+        return np.zeros(0, dtype=bool)
+    order = np.argsort(key)
+    alike = key[order][1:] == key[order][:-1]
+    some = order[np.append(alike, False) | np.insert(alike, 0, False)]
+    some = some[np.lexsort((doc[some], key[some]))]
+    out = np.zeros(len(key), dtype=bool)
+    if not len(some):
+        return out
+    new = np.append(True, key[some][1:] != key[some][:-1])
+    head = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    later = np.flatnonzero(doc[some] > doc[head])
+    for at in range(0, len(later), 20_000):
+        i = later[at : at + 20_000]
+        out[some[i]] = same(some[i], head[i])
+    return out
+
+
+def united(doc, mark, lo, hi) -> tuple[np.ndarray, ...]:
+    """Spans of the same text that touch or overlap made one."""
+    order = np.lexsort((lo, doc * 0x9E3779B1 ^ mark))
+    doc, mark, lo, hi = doc[order], mark[order], lo[order], hi[order]
+    new = np.ones(len(doc), dtype=bool)
+    # spans of one origin are about equally wide, so the one before reaches furthest; others stay apart, harmlessly
+    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], mark[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi
+
+
+def _emit(columns: dict, size: int = 100_000):
+    n = len(next(iter(columns.values())))
+    for at in range(0, n, size):
+        yield pa.RecordBatch.from_pydict({k: pa.array(v[at : at + size]) for k, v in columns.items()})
+
+
+class _Block:
+    """Anchors of some slices of a task."""
+
+    def __init__(self, length: int, bits: int):
+        self.length, self.shift, self.parts, self.data, self.held, self.size = length, 64 - bits, [], [], 0, 0
+
+    def add(self, data, offs, ids, marks) -> None:
+        at, text, kmer, context = anchors(data, offs, self.length)
+        lo, hi = offs[:-1][text], offs[1:][text]
+        self.parts.append((at + self.size, lo + self.size, hi + self.size, kmer, context >> self.shift, ids[text], marks[text]))
+        self.data.append(data)
+        self.held += len(at)
+        self.size += len(data)
+
+    def rows(self):
+        at, start, end, kmer, context, doc, mark = (np.concatenate(x) for x in zip(*self.parts))
+        data, length = np.concatenate(self.data), self.length
+        self.parts, self.data, self.held, self.size = [], [], 0, 0
+        lo, hi = np.maximum(at - (length - KMER), start), np.minimum(at + length, end)
+
+        def same(i, j):
+            return (windows(data, at[i], lo[i], hi[i], length) == windows(data, at[j], lo[j], hi[j], length)).all(axis=1)
+
+        gone = earlier(context, doc, same)
+        wide = hi - lo >= length
+        d, m, a, b = united(doc[gone & wide], mark[gone & wide], (lo - start)[gone & wide], (hi - start)[gone & wide])
+        yield from _emit({"doc_id": d, "mark": m, "pos": a.astype(np.int32), "kmer": np.zeros(len(d), np.int64), "stop": b.astype(np.int32)})
+        kmer, doc, mark, pos = kmer[~gone], doc[~gone], mark[~gone], (at - start)[~gone].astype(np.int32)
+        order = np.argsort(kmer)
+        kmer, doc, mark, pos = kmer[order], doc[order], mark[order], pos[order]
+        first = np.flatnonzero(np.append(True, kmer[1:] != kmer[:-1]))
+        if not len(kmer):
+            return
+        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        sizes = np.diff(np.append(first, len(kmer)))
+        stop = np.where(np.repeat(several, sizes), SURE, PLAIN).astype(np.int32)
+        yield from _emit({"doc_id": doc, "mark": mark, "pos": pos, "kmer": kmer, "stop": stop})
+        w = first[several]  # a witness counts, in place of a position, the contexts that it stands for
+        yield from _emit({"doc_id": doc[w], "mark": mark[w], "pos": sizes[several].astype(np.int32), "kmer": kmer[w], "stop": np.full(len(w), WITNESS, np.int32)})
 
 
-def _anchor_rows(length: int):
+def _anchor_rows(length: int, bits: int = 64):
     def run(batches):
-        parts, held = [], 0
+        block = _Block(length, bits)
         for batch in batches:
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             for lo, hi, data, offs in slices(batch.column("text")):
-                pos, text, kmer, context = anchors(data, offs, length)
-                parts.append((kmer.view(np.int64), context.view(np.int64), ids[lo + text], marks[lo + text], pos))
-                held += len(pos)
-                if held >= COMBINED:
-                    yield from _combined(parts)
-                    parts, held = [], 0
-        if held:
-            yield from _combined(parts)
+                block.add(data, offs, ids[lo:hi], marks[lo:hi])
+                if block.held >= COMBINED:
+                    yield from block.rows()
+        if block.held:
+            yield from block.rows()
 
     return run
 
 
-#: The most different contexts of one k-mer that are sorted together.
-HOT = 2_000
-
-
-def _meet(batches, most: int):
-    """All anchors of a partition: settled ones with their head and kmer null, those to compare with their k-mer."""
-    kept = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
-    if not kept:
-        return
-    kmer, context, doc, marks, place = (np.concatenate(x) for x in zip(*kept))
-    del kept
-    mark, pos = _low(marks), place & 0xFFFFFFFF
-    done = kmer < 0
-    h_doc, h_mark, h_pos = context.copy(), marks >> 32, place >> 32
-    rest = np.flatnonzero(~done)
-    order, new, head = _heads(kmer[rest], context[rest], doc[rest])
-    head, order = rest[head], rest[order]
-    h_doc[rest], h_mark[rest], h_pos[rest] = doc[head], mark[head], pos[head]
-    done[rest] = doc[rest] > doc[head]
-    k, d = kmer[order], doc[order]
-    new_k = np.ones(len(k), dtype=bool)
-    new_k[1:] = k[1:] != k[:-1]
-    starts = np.flatnonzero(new_k)
-    ask, hot = np.zeros(len(kmer), dtype=bool), np.zeros(len(kmer), dtype=bool)
-    if len(starts):
-        contexts = np.add.reduceat(new.astype(np.int64), starts)
-        hot[order] = np.repeat(contexts > most, np.diff(np.append(starts, len(k))))
-        several = (contexts > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
-        ask[order] = np.repeat(several, np.diff(np.append(starts, len(k)))) & ~done[order]
-    out = np.flatnonzero(done | ask)
-    for at in range(0, len(out), 100_000):
-        i = out[at : at + 100_000]
-        own = ~done[i]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": doc[i], "mark": mark[i], "pos": pos[i], "kmer": pa.array(kmer[i], mask=done[i]), "hot": hot[i],
-                "h_doc": pa.array(h_doc[i], mask=own), "h_mark": pa.array(h_mark[i], mask=own), "h_pos": pa.array(h_pos[i], mask=own),
-            }
-        )
-
-
-#: A stretch [lo, hi) of a text that is taken to be equal to that at h_lo of a smaller document.
-RUN = "struct<lo: long, hi: long, h_doc: long, h_mark: long, h_lo: long>"
-
-
-def _joined(claims: pa.ListArray) -> pa.ListArray:
-    """The claims of each row, with those that touch in both texts made one."""
-    offs = claims.offsets.to_numpy()
-    values = claims.values.slice(offs[0], offs[-1] - offs[0])
-    lo, hi, doc, mark, h_lo = (values.field(c).to_numpy() for c in ("lo", "hi", "h_doc", "h_mark", "h_lo"))
-    row, shift = np.repeat(np.arange(len(claims)), np.diff(offs)), h_lo - lo
-    order = np.lexsort((lo, shift, mark, doc, row))
-    row, lo, hi, doc, mark, shift = (x[order] for x in (row, lo, hi, doc, mark, shift))
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = lo[1:] > hi[:-1]  # all claims of one kind are of one width
-    for x in (row, doc, mark, shift):
-        new[1:] |= x[1:] != x[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row))[: len(first)] - 1
-    out = pa.StructArray.from_arrays(
-        [pa.array(x) for x in (lo[first], hi[last], doc[first], mark[first], lo[first] + shift[first])], ["lo", "hi", "h_doc", "h_mark", "h_lo"]
-    )
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(claims) + 1)).astype(np.int32)), out)
-
-
-def _runs(batches):
-    """Claims joined to runs; the other columns stay."""
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict(
-            {("runs" if c == "claims" else c): (_joined(batch.column(c)) if c == "claims" else batch.column(c)) for c in batch.schema.names}
-        )
-
-
-def _strings(length: int):
-    """For each anchor of a hot k-mer the strings that hold it, as hashes."""
-    left = length - KMER
+def _meet(most: int):
+    """Spans and the anchors to compare; for a k-mer of more than ``most`` contexts also a row without a document."""
 
     def run(batches):
+        kept = []
         for batch in batches:
-            for i, (doc, mark, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "hot")))):
-                data = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
-                prefix, pos = prefix_hashes(data), np.array([a["pos"] for a in hot])
-                lo = (pos[:, None] - np.arange(left + 1)).ravel()
-                kmer = np.repeat(np.array([a["kmer"] for a in hot]), left + 1)
-                ok = (lo >= 0) & (lo + length <= len(data))
-                lo, kmer = lo[ok], kmer[ok]
-                string = mix(span_hashes(prefix, lo, lo + length)).view(np.int64)
-                for at in range(0, len(lo), 100_000):
-                    to = slice(at, at + 100_000)
-                    n = len(lo[to])
-                    yield pa.RecordBatch.from_pydict(
-                        {"kmer": kmer[to], "string": string[to], "doc_id": np.full(n, doc), "mark": np.full(n, mark), "lo": lo[to]}
-                    )
+            stop = batch.column("stop").to_numpy()
+            passed = (stop > 0) | (stop == SURE)
+            yield batch.filter(pa.array(passed))
+            part = batch.filter(pa.array(~passed))
+            kept.append([part.column(i).to_numpy() for i in range(5)])
+        if not kept:
+            return
+        doc, mark, pos, kmer, stop = (np.concatenate(x) for x in zip(*kept))
+        order = np.argsort(kmer)
+        k = kmer[order]
+        alike = k[1:] == k[:-1]
+        order = order[np.append(alike, False) | np.insert(alike, 0, False) | (stop[order] == WITNESS)]
+        if not len(order):
+            return
+        doc, mark, pos, kmer, stop = doc[order], mark[order], pos[order], kmer[order], stop[order]
+        first = np.flatnonzero(np.append(True, kmer[1:] != kmer[:-1]))
+        sizes = np.diff(np.append(first, len(kmer)))
+        told = stop == WITNESS
+        ask = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        ask = np.repeat(ask | np.logical_or.reduceat(told, first), sizes) & ~told
+        yield from _emit({"doc_id": doc[ask], "mark": mark[ask], "pos": pos[ask], "kmer": kmer[ask], "stop": np.full(ask.sum(), SURE, np.int32)})
+        hot = kmer[first[np.add.reduceat(np.where(told, pos, ask), first) > most]]
+        if len(hot):
+            none = pa.nulls(len(hot), pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "mark": none, "pos": none.cast(pa.int32()), "kmer": hot, "stop": none.cast(pa.int32())})
 
     return run
 
 
-def _hot_runs(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated strings at hot k-mers: a string is claimed from the smallest document that has it."""
-    strings = docs.join(found.where(F.size("hot") > 0).select("doc_id", "mark", "hot"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "hot")
-    strings = strings.mapInArrow(_strings(length), "kmer long, string long, doc_id long, mark long, lo long")
-    heads = strings.groupBy("kmer", "string").agg(F.min(F.struct("doc_id", "mark", "lo")).alias("h"), F.max("doc_id").alias("most"))
-    heads = heads.where("most > h.doc_id").drop("most")
-    claim = F.struct(
-        "lo", (F.col("lo") + length).alias("hi"), F.col("h.doc_id").alias("h_doc"), F.col("h.mark").alias("h_mark"), F.col("h.lo").alias("h_lo")
-    )
-    claims = strings.join(heads, ["kmer", "string"]).where("doc_id > h.doc_id").groupBy("doc_id", "mark").agg(F.collect_list(claim).alias("claims"))
-    return claims.mapInArrow(_runs, f"doc_id long, mark long, runs array<{RUN}>")
+NO_ASKS = "cast(array() as array<struct<pos: int, kmer: long, hot: boolean>>)"
+CONTEXT = "segment long, doc_id long, mark long, pos int, before int, after int, bytes binary"
 
 
 def _contexts(length: int):
-    """Bytes around each anchor asked for: fixed width, missing bytes as value 0, others as byte + 1."""
+    """The bytes around each anchor asked for, by k-mer; those of hot k-mers string by string.
+
+    Rows without bytes are spans [pos, after) already found covered.
+    """
     left = length - KMER
 
+    def rows(data, at, start, end, kmer, hot, doc, mark, least, h):
+        lo, hi, segment = np.maximum(at - left, start), np.minimum(at + length, end), kmer.copy()
+        if hot.any():
+            # strings whose least k-mer is at the anchor
+            i = np.repeat(np.flatnonzero(hot), left + 1)
+            p = at[i] - np.tile(np.arange(left + 1), int(hot.sum()))
+            ok = (p >= start[i]) & (p + length <= end[i])
+            ok[ok] = least[p[ok]] == h[at[i[ok]]]
+            i, p = i[ok], p[ok]
+            string = mix(span_hashes(prefix_hashes(data), p, p + length)).view(np.int64)
+            cold = np.flatnonzero(~hot)
+            n = len(cold)
+            i, lo, hi = np.append(cold, i), np.append(lo[cold], p), np.append(hi[cold], p + length)
+            segment = np.append(kmer[cold], string)
+            at, start, doc, mark = at[i], start[i], doc[i], mark[i]
+            gone = np.zeros(len(i), dtype=bool)
+            gone[n:] = earlier(string, doc[n:], lambda a, b: (
+                windows(data, at[a + n], lo[a + n], hi[a + n], length) == windows(data, at[b + n], lo[b + n], hi[b + n], length)
+            ).all(axis=1))
+            d, m, a, b = united(doc[gone], mark[gone], (lo - start)[gone], (hi - start)[gone])
+            none = pa.nulls(len(d), pa.binary())
+            yield pa.RecordBatch.from_pydict(
+                {"segment": mix(d.view(np.uint64)).view(np.int64), "doc_id": d, "mark": m, "pos": a.astype(np.int32), "before": a.astype(np.int32), "after": b.astype(np.int32), "bytes": none}
+            )
+            at, start, lo, hi, segment, doc, mark = (x[~gone] for x in (at, start, lo, hi, segment, doc, mark))
+        padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, left + length)
+        for k in range(0, len(at), 50_000):
+            to = slice(k, k + 50_000)
+            n = len(at[to])
+            raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * (left + length)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view[at[to]]))])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "segment": segment[to], "doc_id": doc[to], "mark": mark[to], "pos": (at - start)[to].astype(np.int32),
+                    "before": (at - lo)[to].astype(np.int32), "after": (hi - at)[to].astype(np.int32), "bytes": raw,
+                }
+            )
+
     def run(batches):
         for batch in batches:
-            for i, (doc, ask) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ask").to_pylist())):
-                if not ask:
+            asks = batch.column("asks")
+            first = asks.offsets.to_numpy()
+            ask = asks.values
+            pos, kmer, hot = ask.field("pos").to_numpy(), ask.field("kmer").to_numpy(), ask.field("hot").to_numpy(zero_copy_only=False)
+            # a row without an id asks for nothing
+            ids, marks = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("mark").to_numpy()
+            for lo, hi, data, offs in slices(batch.column("text"), 8 << 20):
+                sizes = np.diff(first[lo : hi + 1])
+                text, part = np.repeat(np.arange(hi - lo), sizes), slice(first[lo], first[hi])
+                if not len(text):
                     continue
-                raw = batch.column("text")[i].as_buffer().to_pybytes()
-                pos = [a["pos"] for a in ask]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "kmer": pa.array([a["kmer"] for a in ask], pa.int64()),
-                        "doc_id": pa.array([doc] * len(ask), pa.int64()),
-                        "mark": pa.array([batch.column("mark")[i].as_py()] * len(ask), pa.int64()),
-                        "pos": pa.array(pos, pa.int64()),
-                        "before": pa.array([raw[max(p - left, 0) : p] for p in pos], pa.binary()),
-                        "after": pa.array([raw[p : p + length] for p in pos], pa.binary()),
-                    }
-                )
+                _, h, least = kmer_hashes(data, offs, length) if hot[part].any() else (None, None, None)
+                yield from rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], kmer[part], hot[part], ids[lo + text], marks[lo + text], least, h)
 
     return run
 
 
 class SuffixSorter:
-    """Merge sort of suffixes inside segments; ``values`` are the symbols of all contexts end to end."""
+    """Merge sort of suffixes inside segments: one suffix a row of ``values``, from its first column on."""
 
-    def __init__(self, values: np.ndarray, longest: int):
-        self.values, self.longest = values, longest
-        up, self.down = powers(len(values))
-        self.prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.prefix[1:])
+    def __init__(self, values: np.ndarray, bits: int = 64):
+        self.values, self.longest, self.shift = values, values.shape[1], np.uint64(64 - bits)
+        flat = np.append(values.ravel(), np.zeros(self.longest, values.dtype))
+        up, self.down = powers(len(flat))
+        self.prefix = np.zeros(len(flat) + 1, dtype=np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=self.prefix[1:])
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at a and b, up to ``longest``."""
-        lo, hi = np.zeros(len(a), dtype=np.int64), np.full(len(a), self.longest)
-        for _ in range(int(self.longest).bit_length()):
+        """Length of the longest common prefix of the suffixes in rows a and b, by binary search over hashes."""
+        out = np.full(len(a), self.longest)
+        x, y = a * self.longest, b * self.longest
+        i = np.flatnonzero(~self._same(x, y, self.longest))  # most are equal, or differ early
+        lo, hi, x, y = np.zeros(len(i), dtype=np.int64), np.full(len(i), self.longest - 1), x[i], y[i]
+        while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = (self.prefix[a + mid] - self.prefix[a]) * self.down[a] == (self.prefix[b + mid] - self.prefix[b]) * self.down[b]
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-            hi = np.maximum(lo, hi)
-        return lo
+            same = self._same(x, y, mid)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, np.maximum(mid - 1, lo))
+        out[i] = lo
+        return out
+
+    def _same(self, x: np.ndarray, y: np.ndarray, size) -> np.ndarray:
+        one = (self.prefix[x + size] - self.prefix[x]) * self.down[x]
+        other = (self.prefix[y + size] - self.prefix[y]) * self.down[y]
+        return one == other if not self.shift else mix(one) >> self.shift == mix(other) >> self.shift
 
     def order(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 as the suffix at a is less than, equal to or greater than that at b."""
+        """-1, 0 or 1 as the suffix in row a is less than, equal to or greater than that in row b."""
         common = self.extension(a, b)
         at = np.minimum(common, self.longest - 1)
-        return np.where(common >= self.longest, 0, np.sign(self.values[a + at].astype(np.int64) - self.values[b + at].astype(np.int64)))
+        return np.where(common >= self.longest, 0, np.sign(self.values[a, at].astype(np.int64) - self.values[b, at].astype(np.int64)))
 
-    def sort(self, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Order of the suffixes ``starts`` (grouped by ``segment``) that sorts each segment."""
-        n = len(starts)
+    def sort(self, segment: np.ndarray) -> np.ndarray:
+        """The order of the rows (grouped by ``segment``) that sorts each segment."""
+        n = len(segment)
         perm = np.arange(n)
-        if not n:
-            return perm
-        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
         sizes = np.diff(np.append(first, n))
         base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
         width = 1
@@ -286,281 +328,244 @@ class SuffixSorter:
             run = local // width
             sib = run ^ 1
             lo, hi = np.minimum(sib * width, size[slot]), np.minimum((sib + 1) * width, size[slot])
-            from_, end, mine = lo.copy(), hi, starts[perm[slot]]
-            right = (run & 1).astype(bool)
+            from_, mine, right = lo.copy(), perm[slot], (run & 1).astype(bool)
             while (open_ := np.flatnonzero(lo < hi)).size:
                 mid = (lo[open_] + hi[open_]) >> 1
-                sign = self.order(starts[perm[base[slot[open_]] + mid]], mine[open_])
+                sign = self.order(perm[base[slot[open_]] + mid], mine[open_])
                 below = (sign < 0) | ((sign == 0) & right[open_])
                 lo[open_] = np.where(below, mid + 1, lo[open_])
                 hi[open_] = np.where(below, hi[open_], mid)
-            del end
-            target = base[slot] + (run & ~1) * width + (local - run * width) + (lo - from_)
             moved = perm.copy()
-            moved[target] = perm[slot]
+            moved[base[slot] + (run & ~1) * width + (local - run * width) + (lo - from_)] = mine
             perm = moved
             width *= 2
         return perm
 
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Byte-by-byte verification that the suffixes at a and b agree over ``longest``."""
-        out = np.ones(len(a), dtype=bool)
-        for i in range(self.longest):
-            out &= self.values[a + i] == self.values[b + i]
-        return out
 
-
-def _nearest(values: np.ndarray, start: int, longest: int, segment: np.ndarray) -> np.ndarray:
-    """For each row of ``values`` its longest extension from column ``start`` with any other of its segment."""
-    n, stride = values.shape
-    sorter = SuffixSorter(np.append(values.ravel(), np.zeros(longest, values.dtype)), longest)
-    starts = np.arange(n) * stride + start
-    perm = sorter.sort(starts, segment)
-    near = np.zeros(n, dtype=np.int64)
-    same = segment[perm[1:]] == segment[perm[:-1]]
+def _true_extensions(values: np.ndarray, perm: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common bytes of neighbours in the order ``perm`` and whether they are in order; neighbours not ``same``: 0, true."""
+    n, width = values.shape
+    out, sorted_ = np.zeros(max(n - 1, 0), dtype=np.int64), np.ones(max(n - 1, 0), dtype=bool)
     i = np.flatnonzero(same)
-    common = sorter.extension(starts[perm[i]], starts[perm[i + 1]])
-    np.maximum.at(near, perm[i], common)
-    np.maximum.at(near, perm[i + 1], common)
-    return near
+    x, y = values[perm[i]], values[perm[i + 1]]
+    differ = x != y
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    at = np.minimum(common, width - 1)
+    row = np.arange(len(i))
+    out[i], sorted_[i] = common, (common == width) | (x[row, at] < y[row, at])
+    return out, sorted_
+
+
+def suffix_array(values: np.ndarray, segment: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts the rows of each segment, and the verified common extension of neighbours (-1: other segment)."""
+    perm = SuffixSorter(values, bits).sort(segment)
+    same = segment[1:] == segment[:-1]  # the order stays inside segments
+    common, sorted_ = _true_extensions(values, perm, same)
+    if not sorted_.all():  # a hash misled: sort those segments by their bytes
+        for s in np.unique(segment[1:][~sorted_]):
+            own = np.flatnonzero(segment == s)
+            perm[own] = own[np.lexsort(values[own].T[::-1])]
+        common, _ = _true_extensions(values, perm, same)
+    return perm, np.where(same, common, -1)
 
 
-def repeated_strings(kmer: np.ndarray, doc: np.ndarray, values: np.ndarray, length: int) -> np.ndarray:
+def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
     """(row, offset) pairs: the string of ``length`` that starts ``offset`` before the row's anchor is repeated.
 
-    ``values`` has one context a row with the anchor at column ``length - KMER``; rows come sorted by k-mer.
+    ``values`` has one context a row with the anchor at column ``length - KMER``; rows come sorted by segment.
     """
-    left = length - KMER
-    none = np.zeros((0, 2), dtype=np.int64)
-    if len(kmer) < 2:
-        return none
-    after = _nearest(values, left, length, kmer)
-    before = _nearest(np.ascontiguousarray(values[:, ::-1]), values.shape[1] - left, left, kmer) if left else np.zeros(len(kmer), np.int64)
+    left, n = length - KMER, len(segment)
+    if n < 2:
+        return np.zeros((0, 2), dtype=np.int64)
+    sides = []
+    for part in (np.ascontiguousarray(values[:, left:]), np.ascontiguousarray(values[:, left - 1 :: -1])):
+        perm, common = suffix_array(part, segment, bits)
+        longest = np.zeros(n, dtype=np.int64)
+        np.maximum.at(longest, perm[1:], common)
+        np.maximum.at(longest, perm[:-1], common)
+        sides.append((perm, common, longest, (part > 0).sum(axis=1)))
+    (after, a_common, a_longest, a_room), (before, b_common, b_longest, b_room) = sides
     rows, offsets = [], []
     for offset in range(left + 1):
+        rest = length - offset
         # both sides must be shared with some other context, and no byte may be missing
-        ok = np.flatnonzero((before >= offset) & (after >= length - offset) & (values[:, left - offset] > 0) & (values[:, left - offset + length - 1] > 0))
-        rows.append(ok)
-        offsets.append(np.full(len(ok), offset))
-    row, offset = np.concatenate(rows), np.concatenate(offsets)
-    if not len(row):
-        return none
-    order = np.lexsort((kmer[row], offset))
-    row, offset = row[order], offset[order]
-    segment = np.cumsum(np.r_[True, (kmer[row][1:] != kmer[row][:-1]) | (offset[1:] != offset[:-1])])
-    stride = values.shape[1]
-    sorter = SuffixSorter(np.append(values.ravel(), np.zeros(length, values.dtype)), length)
-    starts = row * stride + left - offset
-    perm = sorter.sort(starts, segment)
-    a, b = perm[:-1], perm[1:]
-    same = segment[a] == segment[b]
-    i = np.flatnonzero(same)
-    alike = sorter.extension(starts[a[i]], starts[b[i]]) >= length
-    verified = alike & sorter.equal(starts[a[i]], starts[b[i]])
-    if (alike & ~verified).any():  # a hash collision: sort those segments by their bytes
-        for s in np.unique(segment[a[i[alike & ~verified]]]):
-            own = np.flatnonzero(segment == s)
-            perm[own] = own[np.lexsort([values.ravel()[starts[own] + j] for j in range(length - 1, -1, -1)])]
-        a, b = perm[:-1], perm[1:]
-        verified = sorter.equal(starts[a[i]], starts[b[i]])
-    joined = np.zeros(len(perm), dtype=bool)
-    joined[1:][i[verified]] = True
-    first = np.flatnonzero(~joined)
-    owner = np.minimum.reduceat(doc[row[perm]], first)
-    later = doc[row[perm]] > np.repeat(owner, np.diff(np.append(first, len(perm))))
-    hit = perm[later]
-    return np.stack([row[hit], offset[hit]], axis=1)
-
-
-def _compare(length: int, chunk: int = 8_000):
-    """Sort the contexts of a partition, whole k-mers at a time, and report covered spans."""
+        ok = np.flatnonzero((b_longest >= offset) & (a_longest >= rest) & (b_room >= offset) & (a_room >= rest))
+        if len(ok) < 2:
+            continue
+        # contexts between which every extension is long enough are a class, on either side
+        group = np.empty(n, dtype=np.int64)
+        group[after] = np.cumsum(np.append(0, a_common < rest))
+        other = np.empty(n, dtype=np.int64)
+        other[before] = np.cumsum(np.append(0, b_common < offset))
+        key = group[ok] * n + other[ok]
+        order = np.argsort(key)
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        owner = np.minimum.reduceat(doc[ok[order]], first)
+        hit = ok[order][doc[ok[order]] > np.repeat(owner, np.diff(np.append(first, len(order))))]
+        rows.append(hit)
+        offsets.append(np.full(len(hit), offset))
+    if not rows:
+        return np.zeros((0, 2), dtype=np.int64)
+    return np.stack([np.concatenate(rows), np.concatenate(offsets)], axis=1)
+
+
+def _compare(length: int, bits: int = 64):
+    """Sort the contexts of a partition, whole segments at a time, and report covered spans."""
     left = length - KMER
 
     def run(batches):
         kept = [b for b in batches if b.num_rows]
         if not kept:
             return
-        t = pa.Table.from_batches(kept).combine_chunks().sort_by("kmer")
-        kmers = t["kmer"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, kmers[1:] != kmers[:-1]])
+        t = pa.Table.from_batches(kept)
+        del kept
+        found = t.filter(t["bytes"].is_null())
+        t = t.filter(t["bytes"].is_valid()).sort_by("segment").combine_chunks()
+        yield from found.select(["doc_id", "mark", "pos", "after"]).rename_columns(["doc_id", "mark", "lo", "hi"]).to_batches()
+        segments = t["segment"].to_numpy()
+        if not len(segments):
+            return
+        wide = t["bytes"].combine_chunks()
+        wide = pa.concat_arrays(wide.chunks) if isinstance(wide, pa.ChunkedArray) else wide
+        first = np.frombuffer(wide.buffers()[1], np.int32)[wide.offset]
+        starts = np.flatnonzero(np.append(True, segments[1:] != segments[:-1]))
         bounds = [0]
-        for s in starts[1:]:
-            if s - bounds[-1] >= chunk:
-                bounds.append(int(s))
-        bounds.append(len(kmers))
+        while bounds[-1] < len(segments):
+            k = np.searchsorted(starts, bounds[-1] + CHUNK)
+            bounds.append(int(starts[k]) if k < len(starts) else len(segments))
         for lo, hi in zip(bounds, bounds[1:]):
             part = t.slice(lo, hi - lo)
-            before, after = part["before"].to_pylist(), part["after"].to_pylist()
-            wide = np.frombuffer(b"".join(x.rjust(left, b"\0") + y.ljust(length, b"\0") for x, y in zip(before, after)), np.uint8)
-            wide = wide.reshape(hi - lo, left + length).astype(np.uint16) + 1
-            cols = np.arange(left + length)
-            sizes = np.array([len(x) for x in before]), np.array([len(x) for x in after])
-            wide[(cols < left - sizes[0][:, None]) | (cols >= left + sizes[1][:, None])] = 0
-            doc, pos = part["doc_id"].to_numpy(), part["pos"].to_numpy()
-            hits = repeated_strings(kmers[lo:hi], doc, wide, length)
-            if not len(hits):
-                continue
-            # all offsets of one row form spans around its anchor
-            hits = hits[np.lexsort((-hits[:, 1], hits[:, 0]))]
+            raw = np.frombuffer(wide.buffers()[2], np.uint8)[first + lo * (left + length) : first + hi * (left + length)].reshape(hi - lo, left + length)
+            before, after = part["before"].to_numpy(), part["after"].to_numpy()
+            values, cols = raw.astype(np.uint16) + 1, np.arange(left + length)
+            values[(cols < (left - before)[:, None]) | (cols >= (left + after)[:, None])] = 0
+            doc, mark, pos = (part[c].to_numpy() for c in ("doc_id", "mark", "pos"))
+            hits = repeated_strings(segments[lo:hi], doc, values, length, bits)
             row, at = hits[:, 0], pos[hits[:, 0]] - hits[:, 1]
-            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + length)])
-            last = np.append(new[1:], len(row)) - 1
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": doc[row[new]], "mark": part["mark"].to_numpy()[row[new]], "lo": at[new], "hi": at[last] + length}
-            )
+            d, m, a, b = united(doc[row], mark[row], at, at + length)
+            yield from _emit({"doc_id": d, "mark": m, "lo": a.astype(np.int32), "hi": b.astype(np.int32)})
 
     return run
 
 
-def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each row of ``documents`` as (doc_id, text, was_null, mark, proofs, spans) and the columns to carry.
+def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
+    """Each row of ``documents`` as (doc_id, text, mark, spans) and the columns to carry, with was_null.
 
-    ``proofs`` lists stretches of smaller documents and where they should be found in the text, ``spans``
-    further covered spans; mark is a hash of the text, so that rows that share an id but not a text keep
-    their own findings.
+    ``spans`` lists the covered bytes, which may overlap; mark is a hash of the text, so that rows that share
+    an id but not a text keep their own findings.  ``bits`` of the hashes are used; fewer only cost time.
     """
+    spark = documents.sparkSession
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.col("text").isNull().alias("was_null"),
-        *carry,
-    ).withColumn("mark", F.hash("text").cast("long"))
-    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        *([F.col("text").isNull().alias("was_null"), *carry] if carry else []),
+    ).withColumn("mark", F.xxhash64("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // MEET_BYTES + 1)
     most = HOT
-    found = (
-        docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-        .mapInArrow(_anchor_rows(length), "kmer long, context long, doc_id long, marks long, place long")
-        .repartition(n, "kmer")
-        .mapInArrow(lambda batches: _meet(batches, most), "doc_id long, mark long, pos long, kmer long, hot boolean, h_doc long, h_mark long, h_pos long")
-    )
-    # a context that ends with its text ends with its head's text too: both stretches end there
-    claim = F.struct(
-        (F.col("pos") - (length - KMER)).alias("lo"), (F.col("pos") + length).alias("hi"),
-        "h_doc", "h_mark", (F.col("h_pos") - (length - KMER)).alias("h_lo"),
+    key = F.when(F.col("stop").isin(PLAIN, WITNESS), F.col("kmer")).otherwise(F.xxhash64("doc_id", "pos"))
+    rows = stored(
+        docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "mark")
+        .mapInArrow(_anchor_rows(length, bits), ROW).repartition(n, key).mapInArrow(_meet(most), ROW)
     )
-    found = checkpointed(
-        found.groupBy("doc_id", "mark").agg(
-            F.collect_list(F.when(F.col("kmer").isNull(), claim)).alias("claims"),
-            F.collect_list(F.when(F.col("kmer").isNotNull() & ~F.col("hot"), F.struct("pos", "kmer"))).alias("ask"),
-            F.collect_list(F.when(F.col("kmer").isNotNull() & F.col("hot"), F.struct("pos", "kmer"))).alias("hot"),
-        )
-        .mapInArrow(_runs, f"doc_id long, mark long, runs array<{RUN}>, ask array<struct<pos: long, kmer: long>>, hot array<struct<pos: long, kmer: long>>")
-    )
-    release(documents.sparkSession)
-    keep = ["doc_id", "text", "mark", *(["was_null"] if carry else []), *carry]
-    docs = docs.select(*keep)
+    asked = rows.where(F.col("stop") == SURE).select("doc_id", "mark", "pos", "kmer")
+    hot = rows.where("doc_id is null").select("kmer", F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        asked = asked.withColumn("hot", F.lit(False))
+    else:
+        asked = asked.join(hot, "kmer", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asks = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("pos", "kmer", "hot")).alias("asks"))
+    # both joins deal the same rows by the same key, so that Spark shuffles the texts once
+    m = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // COMPARED + 1)
     spans = (
-        docs.join(found.select("doc_id", "mark", "ask"), ["doc_id", "mark"], "left")
-        .mapInArrow(_contexts(length), "kmer long, doc_id long, mark long, pos long, before binary, after binary")
-        .repartition(n, "kmer")
-        .mapInArrow(_compare(length), "doc_id long, mark long, lo long, hi long")
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    )
-    # all joins deal the same rows by the same key, so that Spark shuffles the texts once
-    claimed = found.select("doc_id", "mark", "runs")
-    if not found.where(F.size("hot") > 0).isEmpty():
-        claimed = claimed.unionByName(_hot_runs(docs, found, length))
-    runs = claimed.select(F.col("doc_id").alias("to_doc"), F.col("mark").alias("to_mark"), F.explode("runs").alias("r")).select("to_doc", "to_mark", "r.*")
-    front = F.greatest(-F.col("lo"), F.lit(0))
-    stretch = F.substring(F.encode("text", "UTF-8"), F.col("h_lo") + front + 1, F.col("hi") - F.col("lo") - front)
-    proofs = (
-        docs.join(runs, (F.col("doc_id") == F.col("h_doc")) & (F.col("mark") == F.col("h_mark")))
-        .select(F.col("to_doc").alias("doc_id"), F.col("to_mark").alias("mark"), F.struct((F.col("lo") + front).alias("lo"), stretch.alias("bytes")).alias("proof"))
-        .groupBy("doc_id", "mark").agg(F.collect_list("proof").alias("proofs"))
+        docs.join(asks, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", F.coalesce("asks", F.expr(NO_ASKS)).alias("asks"))
+        .mapInArrow(_contexts(length), CONTEXT).repartition(m, "segment")
+        .mapInArrow(_compare(length, bits), "doc_id long, mark long, lo int, hi int")
+        .unionByName(rows.where("stop > 0").select("doc_id", "mark", F.col("pos").alias("lo"), F.col("stop").alias("hi")))
+        .groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     )
-    return docs.join(spans, ["doc_id", "mark"], "left").join(proofs, ["doc_id", "mark"], "left")
+    return docs.join(spans, ["doc_id", "mark"], "left")
 
 
-def cut(raw: bytes, proofs, spans, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The bytes that stay and the maximal removed runs; of a proof only equal bytes, ``length`` in a row, go."""
-    size = len(raw)
-    own = np.frombuffer(raw, np.uint8)
+def runs_of(size: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that the spans cover."""
     step = np.zeros(size + 1, dtype=np.int32)
-    for p in proofs or ():
-        lo, other = p["lo"], p["bytes"]
-        same = np.concatenate([[False], own[lo : lo + len(other)] == np.frombuffer(other, np.uint8)[: max(size - lo, 0)], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        for a, b in zip(edge[::2], edge[1::2]):
-            if b - a >= length:
-                step[lo + a] += 1
-                step[lo + b] -= 1
-    for s in spans or ():
-        step[s["lo"]] += 1
-        step[s["hi"]] -= 1
-    gone = np.cumsum(step[:-1]) > 0
-    edges = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-    runs = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
-    return own[~gone], runs
-
-
-def _digest(length: int):
-    def run(batches):
-        for batch in batches:
-            out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, proofs, spans in zip(batch.column("text"), batch.column("proofs"), batch.column("spans")):
-                raw = text.as_buffer().to_pybytes()
-                proofs, spans = proofs.as_py(), spans.as_py()
-                kept, runs = cut(raw, proofs, spans, length) if proofs or spans else (raw, [])
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(len(raw) - len(kept))
-                out["n_spans"].append(len(runs))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_pydict(out)
+    np.add.at(step, lo, 1)
+    np.add.at(step, hi, -1)
+    gone = (np.cumsum(step[:-1]) > 0).view(np.int8)
+    edges = np.diff(np.concatenate([[0], gone, [0]]))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _texts(batch):
+    """(bytes, run starts, run ends) of each row."""
+    spans = batch.column("spans")
+    first, lo, hi = spans.offsets.to_numpy(), spans.values.field("lo").to_numpy(), spans.values.field("hi").to_numpy()
+    none = np.zeros(0, dtype=np.int64)
+    for i, text in enumerate(batch.column("text")):
+        raw = text.as_buffer().to_pybytes()
+        a, b = first[i], first[i + 1]
+        yield (raw, *(runs_of(len(raw), lo[a:b], hi[a:b]) if b > a and spans[i].is_valid else (none, none)))
 
-    return run
 
+def _digest(batches):
+    for batch in batches:
+        removed, n_spans, size, digest = [], [], [], []
+        for raw, starts, ends in _texts(batch):
+            h, last = hashlib.sha256(), 0
+            for lo, hi in zip(starts.tolist(), ends.tolist()):
+                h.update(raw[last:lo])
+                last = hi
+            h.update(raw[last:])
+            size.append(len(raw))
+            removed.append(int((ends - starts).sum()))
+            n_spans.append(len(starts))
+            digest.append(h.hexdigest())
+        yield pa.RecordBatch.from_pydict(
+            {"doc_id": batch.column("doc_id"), "n_bytes": size, "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": digest}
+        )
 
-def suffix_digest(documents: DataFrame, length: int = 50) -> DataFrame:
+
+def suffix_digest(documents: DataFrame, length: int = 50, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``documents``.
 
     Null texts count as empty; texts shorter than ``length`` bytes lose nothing; a row without a doc_id
     is neither a source nor changed; rows of equal id never repeat each other, and an empty table gives
     an empty result.  Other columns are ignored.
     """
-    return repeated_spans(documents, length).mapInArrow(
-        _digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    spans = repeated_spans(documents, length, bits=bits)
+    return spans.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _rewrite(length: int):
-    def run(batches):
-        for batch in batches:
-            texts, sizes = [], []
-            for text, chars, proofs, spans in zip(
-                batch.column("text"), batch.column("n_chars"), batch.column("proofs"), batch.column("spans")
-            ):
-                raw = text.as_buffer().to_pybytes()
-                proofs, spans = proofs.as_py(), spans.as_py()
-                runs = cut(raw, proofs, spans, length)[1] if proofs or spans else []
-                kept, last = bytearray(), 0
-                for lo, hi in runs:
-                    # a character whose bytes are only partly repeated stays whole
-                    while lo < hi and raw[lo] & 0xC0 == 0x80:
-                        lo += 1
-                    while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
-                        hi -= 1
-                    kept += raw[last:lo]
-                    last = hi
-                new = (bytes(kept) + raw[last:]).decode()
-                gone = bool(runs) and not new.strip()
-                texts.append(None if gone else new)
-                sizes.append(len(new) if runs else chars.as_py())
-            columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-            yield pa.RecordBatch.from_pydict(
-                {c: columns[c] if c in columns else batch.column(c) for c in ("doc_id", "text", "lang", "source", "n_chars", "was_null")}
-            )
-
-    return run
+def _rewrite(batches):
+    for batch in batches:
+        texts, sizes = [], []
+        for (raw, starts, ends), chars in zip(_texts(batch), batch.column("n_chars").to_pylist()):
+            kept, last = bytearray(), 0
+            for lo, hi in zip(starts.tolist(), ends.tolist()):
+                # a character whose bytes are only partly repeated stays whole
+                while lo < hi and raw[lo] & 0xC0 == 0x80:
+                    lo += 1
+                while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                    hi -= 1
+                kept += raw[last:lo]
+                last = hi
+            new = (bytes(kept) + raw[last:]).decode()
+            texts.append(None if len(starts) and not new.strip() else new)
+            sizes.append(len(new) if len(starts) else chars)
+        columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+        yield pa.RecordBatch.from_pydict(
+            {c: columns[c] if c in columns else batch.column(c) for c in ("doc_id", "text", "lang", "source", "n_chars", "was_null")}
+        )
 
 
 def suffix_dedup(documents: DataFrame, length: int = 50) -> DataFrame:
     """``documents`` (doc_id, text, lang, source, n_chars) with repeated strings cut from the later documents.
 
     Cuts end at whole characters.  A document of which nothing but white space is left goes; documents
-    without a cut, null and empty texts included, stay as they are.
+    without a cut, null and empty texts included, stay as they are, and so do repeated rows of one id.
     """
     spans = repeated_spans(documents, length, ("lang", "source", "n_chars"))
     columns = "doc_id long, text string, lang string, source string, n_chars long, was_null boolean"
-    cuts = spans.mapInArrow(_rewrite(length), columns).where("text is not null")
+    cuts = spans.mapInArrow(_rewrite, columns).where("text is not null")
     return cuts.withColumn("text", F.when(~F.col("was_null"), F.col("text"))).drop("was_null")
