@@ -16,6 +16,7 @@ from weftline.llm.embedding_dedup import embedding_duplicates
 from weftline.llm.near_dedup import near_duplicates
 from weftline.llm import suffix_dedup as suffix
 from weftline.llm.suffix_dedup import suffix_dedup, suffix_digest
+from weftline.llm.textops import deal, dealt
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kmer string"
 R = random.Random(5)
@@ -106,7 +107,7 @@ def test_suffix_dedup_splits_hot_kmers(spark, monkeypatch):
     many = spark.createDataFrame(rows, DOCS).repartition(5)
     want = removed_strings(rows)
     assert sum(r[2] for r in want if r[0] and r[0] > 1000) >= 59 * len(passage.encode())
-    for most, combined in ((4_000, 200), (0, 1_000_000), (5, 200)):
+    for most, combined in ((20_000, 200), (0, 400_000), (5, 200)):
         monkeypatch.setattr(suffix, "HOT", most)
         monkeypatch.setattr(suffix, "COMBINED", combined)
         assert sorted(map(tuple, suffix_digest(many).collect()), key=str) == want
@@ -114,19 +115,19 @@ def test_suffix_dedup_splits_hot_kmers(spark, monkeypatch):
 
 def test_suffix_dedup_very_hot_kmer():
     """100,000 contexts of one k-mer: one witness a block meets, and they are dealt by their strings."""
-    rng, kmer = np.random.default_rng(1), b"twenty bytes as kmer"
-    n = 100_000
+    rng, n = np.random.default_rng(1), 100_000
+    data = rng.integers(97, 123, n, dtype=np.uint8)
+    at = int(suffix.kmer_hashes(data, np.array([0, n]), 50)[1].argmin())  # a k-mer of least hash is an anchor wherever it stands
+    kmer = bytes(data[at : at + 20])
     noise = rng.integers(97, 123, (n, 2, 30), dtype=np.uint8)
     text = [bytes(x[0]) + kmer + bytes(x[1]) for x in noise]
-    asks = pa.array([[{"pos": 30, "kmer": 7, "hot": True}]] * n, pa.list_(pa.struct([("pos", pa.int32()), ("kmer", pa.int64()), ("hot", pa.bool_())])))
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "mark": pa.array(range(n)), "text": text, "asks": asks})
-    segments = [x for b in suffix._contexts(50)(iter([batch])) for x in b.column("segment").to_pylist()]
-    assert max(np.unique(segments, return_counts=True)[1]) == 1
-    rows = pa.RecordBatch.from_pydict({
-        "doc_id": pa.array(range(3)), "mark": pa.array(range(3)), "pos": pa.array([60_000, 50_000, 9], pa.int32()), "kmer": pa.array([7] * 3), "stop": pa.array([suffix.WITNESS] * 2 + [0], pa.int32()),
-    })
-    met = [r for b in suffix._meet(4_000)(iter([rows])) for r in b.to_pylist()]
-    assert [(r["doc_id"], r["kmer"], r["stop"]) for r in met] == [(2, 7, suffix.SURE), (None, 7, None)]
+    asks = pa.array([[{"pos": 30, "hot": True}]] * n, pa.list_(pa.struct([("pos", pa.int32()), ("hot", pa.bool_())])))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "key": pa.array(range(n)), "text": text, "asks": asks})
+    segments = np.concatenate([x.column("segment").to_numpy() for x in dealt(suffix._contexts(50, 64)(iter([batch])))])
+    assert len(segments) > n and max(np.unique(segments, return_counts=True)[1]) == 1
+    columns = {"key": np.arange(3), "pos": np.array([60_000, 50_000, 9], np.int32), "kmer": np.full(3, 7), "kind": np.array([suffix.WITNESS] * 2 + [suffix.PLAIN], np.int8)}
+    met = [r for b in suffix._meet(20_000)(iter([deal(columns, columns["kmer"], 4)])) for r in b.to_pylist()]
+    assert [(r["key"], r["kmer"], r["hot"]) for r in met] == [(2, None, True), (None, 7, None)]
 
 
 def sets(rows, k):

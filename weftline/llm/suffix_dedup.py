@@ -26,26 +26,31 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .textops import mix, powers, prefix_hashes, slices, sliding, span_hashes
+from .common import BROADCAST_IDS, stored
+from .textops import deal, dealt, mix, powers, prefix_hashes, slices, sliding, span_hashes
 
 KMER = 20
 #: The most contexts of one k-mer that are sorted together.
-HOT = 4_000
+HOT = 20_000
 #: Anchors that a task combines at a time, and rows that it compares at a time.
-COMBINED = 1_000_000
+COMBINED = 400_000
 CHUNK = 8_000
 #: Text bytes whose anchors meet in one task, and contexts that are compared in one task.
 MEET_BYTES = 16 << 20
 COMPARED = 200_000
+#: Packed batches for each task of a shuffle: so many even out.
+SPREAD = 16
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-#: Kinds of rows, in place of the end of a span: an anchor, one that is known to be repeated, a witness of such.
-PLAIN, SURE, WITNESS = 0, -1, -2
-ROW = "doc_id long, mark long, pos int, kmer long, stop int"
+#: Kinds of scanned rows: an anchor, one that is known to be repeated, a witness of such, a covered span.
+PLAIN, SURE, WITNESS, SPAN = range(4)
+#: A row of a text, by its key: a span [pos, hi), else an anchor to compare, hot or not or (with its kmer) not
+#: known; without a key a hot k-mer.
+FOUND = "key long, pos int, hi int, kmer long, hot boolean"
 
 
 def kmer_hashes(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,39 +109,38 @@ def earlier(key: np.ndarray, doc: np.ndarray, same) -> np.ndarray:
     return out
 
 
-def united(doc, mark, lo, hi) -> tuple[np.ndarray, ...]:
+def united(key, lo, hi) -> tuple[np.ndarray, ...]:
     """Spans of the same text that touch or overlap made one."""
-    order = np.lexsort((lo, doc * 0x9E3779B1 ^ mark))
-    doc, mark, lo, hi = doc[order], mark[order], lo[order], hi[order]
-    new = np.ones(len(doc), dtype=bool)
+    order = np.lexsort((lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
+    new = np.ones(len(key), dtype=bool)
     # spans of one origin are about equally wide, so the one before reaches furthest; others stay apart, harmlessly
-    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (lo[1:] > hi[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] > hi[:-1])
     first = np.flatnonzero(new)
-    return doc[first], mark[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi
+    return key[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi
 
 
-def _emit(columns: dict, size: int = 100_000):
-    n = len(next(iter(columns.values())))
-    for at in range(0, n, size):
-        yield pa.RecordBatch.from_pydict({k: pa.array(v[at : at + size]) for k, v in columns.items()})
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=np.int64)
 
 
 class _Block:
     """Anchors of some slices of a task."""
 
-    def __init__(self, length: int, bits: int):
-        self.length, self.shift, self.parts, self.data, self.held, self.size = length, 64 - bits, [], [], 0, 0
+    def __init__(self, length: int, bits: int, parts: int):
+        self.length, self.shift, self.n, self.parts, self.data, self.held, self.size = length, 64 - bits, parts, [], [], 0, 0
 
-    def add(self, data, offs, ids, marks) -> None:
+    def add(self, data, offs, ids, keys) -> None:
         at, text, kmer, context = anchors(data, offs, self.length)
         lo, hi = offs[:-1][text], offs[1:][text]
-        self.parts.append((at + self.size, lo + self.size, hi + self.size, kmer, context >> self.shift, ids[text], marks[text]))
+        self.parts.append((at + self.size, lo + self.size, hi + self.size, kmer, context >> self.shift, ids[text], keys[text]))
         self.data.append(data)
         self.held += len(at)
         self.size += len(data)
 
     def rows(self):
-        at, start, end, kmer, context, doc, mark = (np.concatenate(x) for x in zip(*self.parts))
+        at, start, end, kmer, context, doc, key = (np.concatenate(x) for x in zip(*self.parts))
         data, length = np.concatenate(self.data), self.length
         self.parts, self.data, self.held, self.size = [], [], 0, 0
         lo, hi = np.maximum(at - (length - KMER), start), np.minimum(at + length, end)
@@ -145,30 +149,38 @@ class _Block:
             return (windows(data, at[i], lo[i], hi[i], length) == windows(data, at[j], lo[j], hi[j], length)).all(axis=1)
 
         gone = earlier(context, doc, same)
-        wide = hi - lo >= length
-        d, m, a, b = united(doc[gone & wide], mark[gone & wide], (lo - start)[gone & wide], (hi - start)[gone & wide])
-        yield from _emit({"doc_id": d, "mark": m, "pos": a.astype(np.int32), "kmer": np.zeros(len(d), np.int64), "stop": b.astype(np.int32)})
-        kmer, doc, mark, pos = kmer[~gone], doc[~gone], mark[~gone], (at - start)[~gone].astype(np.int32)
+        wide = gone & (hi - lo >= length)
+        s_key, s_lo, s_hi = united(key[wide], (lo - start)[wide], (hi - start)[wide])
+        kmer, doc, key, pos = kmer[~gone], doc[~gone], key[~gone], (at - start)[~gone]
         order = np.argsort(kmer)
-        kmer, doc, mark, pos = kmer[order], doc[order], mark[order], pos[order]
-        first = np.flatnonzero(np.append(True, kmer[1:] != kmer[:-1]))
-        if not len(kmer):
-            return
-        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        sizes = np.diff(np.append(first, len(kmer)))
-        stop = np.where(np.repeat(several, sizes), SURE, PLAIN).astype(np.int32)
-        yield from _emit({"doc_id": doc, "mark": mark, "pos": pos, "kmer": kmer, "stop": stop})
-        w = first[several]  # a witness counts, in place of a position, the contexts that it stands for
-        yield from _emit({"doc_id": doc[w], "mark": mark[w], "pos": sizes[several].astype(np.int32), "kmer": kmer[w], "stop": np.full(len(w), WITNESS, np.int32)})
-
-
-def _anchor_rows(length: int, bits: int = 64):
+        first = _firsts(kmer[order])
+        kind = np.zeros(len(kmer), dtype=np.int8)
+        w, count = first, first
+        if len(first):
+            several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+            sizes = np.diff(np.append(first, len(kmer)))
+            kind[order] = np.where(np.repeat(several, sizes), SURE, PLAIN)
+            w, count = order[first[several]], sizes[several]
+        # a witness has, in place of a position, the number of contexts that it stands for; a span ends at its kmer
+        columns = {
+            "key": np.concatenate([key, key[w], s_key]), "pos": np.concatenate([pos, count, s_lo]).astype(np.int32),
+            "kmer": np.concatenate([kmer, kmer[w], s_hi]),
+            "kind": np.concatenate([kind, np.full(len(w), WITNESS, np.int8), np.full(len(s_key), SPAN, np.int8)]),
+        }
+        meets = (columns["kind"] == PLAIN) | (columns["kind"] == WITNESS)
+        yield deal(columns, np.where(meets, columns["kmer"], columns["key"] + columns["pos"]), self.n)
+
+
+def _anchor_rows(length: int, bits: int, parts: int):
     def run(batches):
-        block = _Block(length, bits)
+        block, seen = _Block(length, bits, parts), set()
         for batch in batches:
-            ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+            keys = batch.column("key").to_pylist()
+            new = [k not in seen and not seen.add(k) for k in keys]  # repeated rows
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
             for lo, hi, data, offs in slices(batch.column("text")):
-                block.add(data, offs, ids[lo:hi], marks[lo:hi])
+                block.add(data, offs, ids[lo:hi], keys[lo:hi])
                 if block.held >= COMBINED:
                     yield from block.rows()
         if block.held:
@@ -177,105 +189,114 @@ def _anchor_rows(length: int, bits: int = 64):
     return run
 
 
+def _found(key, pos, hi=None, kmer=None, hot=None) -> pa.RecordBatch:
+    n = len(pos) if key is None else len(key)
+    none = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_pydict(
+        {
+            "key": none if key is None else key, "pos": pa.array(pos, pa.int32()), "hi": none.cast(pa.int32()) if hi is None else pa.array(hi).cast(pa.int32()),
+            "kmer": none if kmer is None else kmer, "hot": pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot),
+        }
+    )
+
+
 def _meet(most: int):
-    """Spans and the anchors to compare; for a k-mer of more than ``most`` contexts also a row without a document."""
+    """Spans, the anchors to compare, and the k-mers of more than ``most`` contexts."""
 
     def run(batches):
         kept = []
-        for batch in batches:
-            stop = batch.column("stop").to_numpy()
-            passed = (stop > 0) | (stop == SURE)
-            yield batch.filter(pa.array(passed))
-            part = batch.filter(pa.array(~passed))
-            kept.append([part.column(i).to_numpy() for i in range(5)])
+        for rows in dealt(batches):
+            kind = rows.column("kind").to_numpy()
+            key, pos, kmer = (rows.column(c).to_numpy() for c in ("key", "pos", "kmer"))
+            if (i := np.flatnonzero(kind == SPAN)).size:
+                yield _found(key[i], pos[i], hi=kmer[i])
+            if (i := np.flatnonzero(kind == SURE)).size:
+                yield _found(key[i], pos[i], kmer=kmer[i])
+            i = np.flatnonzero((kind == PLAIN) | (kind == WITNESS))
+            kept.append((key[i], pos[i], kmer[i], kind[i] == WITNESS))
         if not kept:
             return
-        doc, mark, pos, kmer, stop = (np.concatenate(x) for x in zip(*kept))
+        key, pos, kmer, told = (np.concatenate(x) for x in zip(*kept))
+        del kept
         order = np.argsort(kmer)
-        k = kmer[order]
-        alike = k[1:] == k[:-1]
-        order = order[np.append(alike, False) | np.insert(alike, 0, False) | (stop[order] == WITNESS)]
+        alike = kmer[order][1:] == kmer[order][:-1]
+        order = order[np.append(alike, False) | np.insert(alike, 0, False) | told[order]] if len(order) else order
         if not len(order):
             return
-        doc, mark, pos, kmer, stop = doc[order], mark[order], pos[order], kmer[order], stop[order]
-        first = np.flatnonzero(np.append(True, kmer[1:] != kmer[:-1]))
+        key, pos, kmer, told = key[order], pos[order], kmer[order], told[order]
+        first = _firsts(kmer)
         sizes = np.diff(np.append(first, len(kmer)))
-        told = stop == WITNESS
-        ask = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        ask = np.repeat(ask | np.logical_or.reduceat(told, first), sizes) & ~told
-        yield from _emit({"doc_id": doc[ask], "mark": mark[ask], "pos": pos[ask], "kmer": kmer[ask], "stop": np.full(ask.sum(), SURE, np.int32)})
-        hot = kmer[first[np.add.reduceat(np.where(told, pos, ask), first) > most]]
-        if len(hot):
-            none = pa.nulls(len(hot), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "mark": none, "pos": none.cast(pa.int32()), "kmer": hot, "stop": none.cast(pa.int32())})
+        several = (np.minimum.reduceat(key, first) < np.maximum.reduceat(key, first)) | np.logical_or.reduceat(told, first)
+        hot = np.add.reduceat(np.where(told, pos, 1), first) > most
+        ask = np.flatnonzero(np.repeat(several, sizes) & ~told)
+        for at in range(0, len(ask), 100_000):
+            i = ask[at : at + 100_000]
+            yield _found(key[i], pos[i], hot=np.repeat(hot, sizes)[i])
+        yield _found(None, pa.nulls(int(hot.sum()), pa.int32()), kmer=kmer[first[hot]])
 
     return run
 
 
-NO_ASKS = "cast(array() as array<struct<pos: int, kmer: long, hot: boolean>>)"
-CONTEXT = "segment long, doc_id long, mark long, pos int, before int, after int, bytes binary"
+NO_ASKS = "cast(array() as array<struct<pos: int, hot: boolean>>)"
 
 
-def _contexts(length: int):
-    """The bytes around each anchor asked for, by k-mer; those of hot k-mers string by string.
+def _contexts(length: int, parts: int):
+    """The bytes around each anchor asked for, packed by k-mer; those of hot k-mers string by string.
 
-    Rows without bytes are spans [pos, after) already found covered.
+    Rows of no width are spans [pos, after) that the task has found covered.
     """
     left = length - KMER
 
-    def rows(data, at, start, end, kmer, hot, doc, mark, least, h):
-        lo, hi, segment = np.maximum(at - left, start), np.minimum(at + length, end), kmer.copy()
+    def rows(data, at, start, end, hot, doc, key, hashes):
+        prefix, h, least = hashes
+        lo, hi, segment = np.maximum(at - left, start), np.minimum(at + length, end), h[at].view(np.int64)
+        s_key = s_lo = s_hi = np.zeros(0, dtype=np.int64)
         if hot.any():
             # strings whose least k-mer is at the anchor
             i = np.repeat(np.flatnonzero(hot), left + 1)
             p = at[i] - np.tile(np.arange(left + 1), int(hot.sum()))
             ok = (p >= start[i]) & (p + length <= end[i])
             ok[ok] = least[p[ok]] == h[at[i[ok]]]
-            i, p = i[ok], p[ok]
-            string = mix(span_hashes(prefix_hashes(data), p, p + length)).view(np.int64)
-            cold = np.flatnonzero(~hot)
+            i, p, cold = i[ok], p[ok], np.flatnonzero(~hot)
+            string = mix(span_hashes(prefix, p, p + length)).view(np.int64)
             n = len(cold)
             i, lo, hi = np.append(cold, i), np.append(lo[cold], p), np.append(hi[cold], p + length)
-            segment = np.append(kmer[cold], string)
-            at, start, doc, mark = at[i], start[i], doc[i], mark[i]
+            segment = np.append(segment[cold], string)
+            at, start, doc, key = at[i], start[i], doc[i], key[i]
             gone = np.zeros(len(i), dtype=bool)
             gone[n:] = earlier(string, doc[n:], lambda a, b: (
                 windows(data, at[a + n], lo[a + n], hi[a + n], length) == windows(data, at[b + n], lo[b + n], hi[b + n], length)
             ).all(axis=1))
-            d, m, a, b = united(doc[gone], mark[gone], (lo - start)[gone], (hi - start)[gone])
-            none = pa.nulls(len(d), pa.binary())
-            yield pa.RecordBatch.from_pydict(
-                {"segment": mix(d.view(np.uint64)).view(np.int64), "doc_id": d, "mark": m, "pos": a.astype(np.int32), "before": a.astype(np.int32), "after": b.astype(np.int32), "bytes": none}
-            )
-            at, start, lo, hi, segment, doc, mark = (x[~gone] for x in (at, start, lo, hi, segment, doc, mark))
+            s_key, s_lo, s_hi = united(key[gone], (lo - start)[gone], (hi - start)[gone])
+            at, start, lo, hi, segment, doc, key = (x[~gone] for x in (at, start, lo, hi, segment, doc, key))
         padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
-        view = np.lib.stride_tricks.sliding_window_view(padded, left + length)
-        for k in range(0, len(at), 50_000):
-            to = slice(k, k + 50_000)
-            n = len(at[to])
-            raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * (left + length)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view[at[to]]))])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "segment": segment[to], "doc_id": doc[to], "mark": mark[to], "pos": (at - start)[to].astype(np.int32),
-                    "before": (at - lo)[to].astype(np.int32), "after": (hi - at)[to].astype(np.int32), "bytes": raw,
-                }
-            )
+        view, n, m = np.lib.stride_tricks.sliding_window_view(padded, left + length), len(at), len(s_key)
+        ends = np.append(np.arange(n + 1) * (left + length), np.full(m, n * (left + length)))
+        columns = {
+            "segment": np.append(segment, s_key), "doc_id": np.append(doc, s_key), "key": np.append(key, s_key),
+            "pos": np.append(at - start, s_lo).astype(np.int32), "before": np.append(at - lo, s_lo).astype(np.int32), "after": np.append(hi - at, s_hi).astype(np.int32),
+            "bytes": pa.Array.from_buffers(pa.binary(), n + m, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view[at]))]),
+        }
+        yield deal(columns, columns["segment"], parts)
 
     def run(batches):
+        last = None
         for batch in batches:
             asks = batch.column("asks")
-            first = asks.offsets.to_numpy()
-            ask = asks.values
-            pos, kmer, hot = ask.field("pos").to_numpy(), ask.field("kmer").to_numpy(), ask.field("hot").to_numpy(zero_copy_only=False)
-            # a row without an id asks for nothing
-            ids, marks = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("mark").to_numpy()
+            first, ask = asks.offsets.to_numpy(), asks.values
+            pos, hot = ask.field("pos").to_numpy(), ask.field("hot").to_numpy(zero_copy_only=False)
+            # a row without an id asks for nothing; rows come sorted by key, so repeated ones follow each other
+            ids, keys = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("key").to_numpy()
+            new = np.append(len(keys) > 0 and keys[0] != last, keys[1:] != keys[:-1])[: len(keys)]
+            last = keys[-1] if len(keys) else last
             for lo, hi, data, offs in slices(batch.column("text"), 8 << 20):
-                sizes = np.diff(first[lo : hi + 1])
-                text, part = np.repeat(np.arange(hi - lo), sizes), slice(first[lo], first[hi])
-                if not len(text):
+                text = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
+                own = np.flatnonzero(new[lo + text]) if len(text) else text
+                if not len(own):
                     continue
-                _, h, least = kmer_hashes(data, offs, length) if hot[part].any() else (None, None, None)
-                yield from rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], kmer[part], hot[part], ids[lo + text], marks[lo + text], least, h)
+                part, text = first[lo] + own, text[own]
+                hashes = kmer_hashes(data, offs, length)
+                yield from rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], hot[part].astype(bool), ids[lo + text], keys[lo + text], hashes)
 
     return run
 
@@ -409,49 +430,51 @@ def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, l
     return np.stack([np.concatenate(rows), np.concatenate(offsets)], axis=1)
 
 
-def _compare(length: int, bits: int = 64):
+def _compare(length: int, bits: int):
     """Sort the contexts of a partition, whole segments at a time, and report covered spans."""
     left = length - KMER
+    width = left + length
+
+    def spans(key, lo, hi):
+        return pa.RecordBatch.from_pydict({"key": key, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
     def run(batches):
-        kept = [b for b in batches if b.num_rows]
+        kept = []
+        for rows in dealt(batches):
+            wide = pa.compute.binary_length(rows.column("bytes")).to_numpy() > 0
+            if not wide.all():
+                known = rows.filter(pa.array(~wide))
+                yield spans(*(known.column(c).to_numpy() for c in ("key", "pos", "after")))
+                rows = rows.filter(pa.array(wide))
+            kept.append(rows)
         if not kept:
             return
-        t = pa.Table.from_batches(kept)
+        segment = np.concatenate([b.column("segment").to_numpy() for b in kept])
+        doc, key, pos, before, after = (np.concatenate([b.column(c).to_numpy() for b in kept]) for c in ("doc_id", "key", "pos", "before", "after"))
+        raw = np.concatenate([np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8) for b in kept]).reshape(len(segment), width)
         del kept
-        found = t.filter(t["bytes"].is_null())
-        t = t.filter(t["bytes"].is_valid()).sort_by("segment").combine_chunks()
-        yield from found.select(["doc_id", "mark", "pos", "after"]).rename_columns(["doc_id", "mark", "lo", "hi"]).to_batches()
-        segments = t["segment"].to_numpy()
-        if not len(segments):
-            return
-        wide = t["bytes"].combine_chunks()
-        wide = pa.concat_arrays(wide.chunks) if isinstance(wide, pa.ChunkedArray) else wide
-        first = np.frombuffer(wide.buffers()[1], np.int32)[wide.offset]
-        starts = np.flatnonzero(np.append(True, segments[1:] != segments[:-1]))
+        order, cols = np.argsort(segment, kind="stable"), np.arange(width)
+        starts = _firsts(segment[order])
         bounds = [0]
-        while bounds[-1] < len(segments):
+        while bounds[-1] < len(segment):
             k = np.searchsorted(starts, bounds[-1] + CHUNK)
-            bounds.append(int(starts[k]) if k < len(starts) else len(segments))
+            bounds.append(int(starts[k]) if k < len(starts) else len(segment))
         for lo, hi in zip(bounds, bounds[1:]):
-            part = t.slice(lo, hi - lo)
-            raw = np.frombuffer(wide.buffers()[2], np.uint8)[first + lo * (left + length) : first + hi * (left + length)].reshape(hi - lo, left + length)
-            before, after = part["before"].to_numpy(), part["after"].to_numpy()
-            values, cols = raw.astype(np.uint16) + 1, np.arange(left + length)
-            values[(cols < (left - before)[:, None]) | (cols >= (left + after)[:, None])] = 0
-            doc, mark, pos = (part[c].to_numpy() for c in ("doc_id", "mark", "pos"))
-            hits = repeated_strings(segments[lo:hi], doc, values, length, bits)
-            row, at = hits[:, 0], pos[hits[:, 0]] - hits[:, 1]
-            d, m, a, b = united(doc[row], mark[row], at, at + length)
-            yield from _emit({"doc_id": d, "mark": m, "lo": a.astype(np.int32), "hi": b.astype(np.int32)})
+            i = order[lo:hi]
+            values = raw[i].astype(np.uint16) + 1
+            values[(cols < (left - before[i])[:, None]) | (cols >= (left + after[i])[:, None])] = 0
+            hits = repeated_strings(segment[i], doc[i], values, length, bits)
+            row = i[hits[:, 0]]
+            at = pos[row] - hits[:, 1]
+            yield spans(*united(key[row], at, at + length))
 
     return run
 
 
 def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
-    """Each row of ``documents`` as (doc_id, text, mark, spans) and the columns to carry, with was_null.
+    """Each row of ``documents`` as (doc_id, text, key, spans) and the columns to carry, with was_null.
 
-    ``spans`` lists the covered bytes, which may overlap; mark is a hash of the text, so that rows that share
+    ``spans`` lists the covered bytes, which may overlap; key is a hash of id and text, so that rows that share
     an id but not a text keep their own findings.  ``bits`` of the hashes are used; fewer only cost time.
     """
     spark = documents.sparkSession
@@ -459,32 +482,30 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         *([F.col("text").isNull().alias("was_null"), *carry] if carry else []),
-    ).withColumn("mark", F.xxhash64("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // MEET_BYTES + 1)
-    most = HOT
-    key = F.when(F.col("stop").isin(PLAIN, WITNESS), F.col("kmer")).otherwise(F.xxhash64("doc_id", "pos"))
-    rows = stored(
-        docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "mark")
-        .mapInArrow(_anchor_rows(length, bits), ROW).repartition(n, key).mapInArrow(_meet(most), ROW)
+    ).withColumn("key", F.xxhash64("doc_id", "text"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // MEET_BYTES + 1)
+    found = stored(
+        docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "key")
+        .mapInArrow(_anchor_rows(length, bits, n * SPREAD), "part int, rows binary").repartition(n, "part").mapInArrow(_meet(HOT), FOUND)
     )
-    asked = rows.where(F.col("stop") == SURE).select("doc_id", "mark", "pos", "kmer")
-    hot = rows.where("doc_id is null").select("kmer", F.lit(True).alias("hot"))
-    if hot.isEmpty():
-        asked = asked.withColumn("hot", F.lit(False))
-    else:
-        asked = asked.join(hot, "kmer", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    asks = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("pos", "kmer", "hot")).alias("asks"))
+    asked = found.where("key is not null and hi is null")
+    hot = found.where("key is null").select("kmer").distinct()
+    many = hot.count()
+    if many:
+        hot = hot.withColumn("known", F.lit(True))
+        asked = asked.join(F.broadcast(hot) if many <= BROADCAST_IDS else hot, "kmer", "left").withColumn("hot", F.coalesce("hot", "known"))
+    asks = asked.groupBy("key").agg(F.collect_list(F.struct("pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
+    m = max(least, found.count() // COMPARED + 1)
     # both joins deal the same rows by the same key, so that Spark shuffles the texts once
-    m = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // COMPARED + 1)
     spans = (
-        docs.join(asks, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", F.coalesce("asks", F.expr(NO_ASKS)).alias("asks"))
-        .mapInArrow(_contexts(length), CONTEXT).repartition(m, "segment")
-        .mapInArrow(_compare(length, bits), "doc_id long, mark long, lo int, hi int")
-        .unionByName(rows.where("stop > 0").select("doc_id", "mark", F.col("pos").alias("lo"), F.col("stop").alias("hi")))
-        .groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        docs.join(asks, "key", "left").select("key", "doc_id", "text", F.coalesce("asks", F.expr(NO_ASKS)).alias("asks"))
+        .mapInArrow(_contexts(length, m * SPREAD), "part int, rows binary").repartition(m, "part")
+        .mapInArrow(_compare(length, bits), "key long, lo int, hi int")
+        .unionByName(found.where("hi is not null").select("key", F.col("pos").alias("lo"), "hi"))
+        .groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     )
-    return docs.join(spans, ["doc_id", "mark"], "left")
+    return docs.join(spans, "key", "left")
 
 
 def runs_of(size: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

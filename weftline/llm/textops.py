@@ -138,3 +138,30 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
         have *= 2
     rest = width - have
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def deal(columns: dict, key: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows packed as (part, rows): one compressed Arrow batch for each part that a 64-bit key is dealt to.
+
+    A shuffle of such batches moves columns, not single rows, which is several times cheaper.
+    """
+    part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    table = pa.RecordBatch.from_pydict(columns).take(pa.array(order))
+    part = part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else order
+    options, out = pa.ipc.IpcWriteOptions(compression="zstd"), []
+    for lo, hi in zip(first, [*first[1:], len(part)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=options) as stream:
+            stream.write_batch(table.slice(lo, hi - lo))
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[first], pa.int32()), "rows": pa.array(out, pa.binary())})
+
+
+def dealt(batches) -> Iterator[pa.RecordBatch]:
+    """The rows that ``deal`` packed."""
+    for batch in batches:
+        for rows in batch.column("rows"):
+            with pa.ipc.open_stream(rows.as_buffer()) as stream:
+                yield from stream
