@@ -26,7 +26,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,7 +242,7 @@ NO_ASKS = "cast(array() as array<struct<pos: int, hot: boolean>>)"
 def _contexts(length: int, parts: int):
     """The bytes around each anchor asked for, packed by k-mer; those of hot k-mers string by string.
 
-    Rows of no width are spans [pos, after) that the task has found covered.
+    Rows whose ``before`` is -1 are spans [pos, after) that the task has found covered.
     """
     left = length - KMER
 
@@ -270,17 +269,22 @@ def _contexts(length: int, parts: int):
             s_key, s_lo, s_hi = united(key[gone], (lo - start)[gone], (hi - start)[gone])
             at, start, lo, hi, segment, doc, key = (x[~gone] for x in (at, start, lo, hi, segment, doc, key))
         padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
-        view, n, m = np.lib.stride_tricks.sliding_window_view(padded, left + length), len(at), len(s_key)
-        ends = np.append(np.arange(n + 1) * (left + length), np.full(m, n * (left + length)))
-        columns = {
-            "segment": np.append(segment, s_key), "doc_id": np.append(doc, s_key), "key": np.append(key, s_key),
-            "pos": np.append(at - start, s_lo).astype(np.int32), "before": np.append(at - lo, s_lo).astype(np.int32), "after": np.append(hi - at, s_hi).astype(np.int32),
-            "bytes": pa.Array.from_buffers(pa.binary(), n + m, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view[at]))]),
-        }
-        yield deal(columns, columns["segment"], parts)
+        raw = np.lib.stride_tricks.sliding_window_view(padded, left + length)[at]
+        none = np.zeros((len(s_key), left + length), np.uint8)
+        return (
+            np.append(segment, s_key), np.append(doc, s_key), np.append(key, s_key), np.append(at - start, s_lo).astype(np.int32),
+            np.append(at - lo, np.full(len(s_key), -1)).astype(np.int32), np.append(hi - at, s_hi).astype(np.int32), np.concatenate([raw, none]),
+        )
+
+    def packed(held):
+        *columns, raw = (np.concatenate(x) for x in zip(*held))
+        ends = np.arange(len(raw) + 1, dtype=np.int32) * (left + length)
+        columns = dict(zip(("segment", "doc_id", "key", "pos", "before", "after"), columns))
+        columns["bytes"] = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        return deal(columns, columns["segment"], parts)
 
     def run(batches):
-        last = None
+        last, held, size = None, [], 0
         for batch in batches:
             asks = batch.column("asks")
             first, ask = asks.offsets.to_numpy(), asks.values
@@ -289,14 +293,20 @@ def _contexts(length: int, parts: int):
             ids, keys = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("key").to_numpy()
             new = np.append(len(keys) > 0 and keys[0] != last, keys[1:] != keys[:-1])[: len(keys)]
             last = keys[-1] if len(keys) else last
-            for lo, hi, data, offs in slices(batch.column("text"), 8 << 20):
+            for lo, hi, data, offs in slices(batch.column("text")):
                 text = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
                 own = np.flatnonzero(new[lo + text]) if len(text) else text
                 if not len(own):
                     continue
                 part, text = first[lo] + own, text[own]
                 hashes = kmer_hashes(data, offs, length)
-                yield from rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], hot[part].astype(bool), ids[lo + text], keys[lo + text], hashes)
+                held.append(rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], hot[part].astype(bool), ids[lo + text], keys[lo + text], hashes))
+                size += len(held[-1][0])
+                if size >= COMPARED:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
@@ -441,7 +451,7 @@ def _compare(length: int, bits: int):
     def run(batches):
         kept = []
         for rows in dealt(batches):
-            wide = pa.compute.binary_length(rows.column("bytes")).to_numpy() > 0
+            wide = rows.column("before").to_numpy() >= 0
             if not wide.all():
                 known = rows.filter(pa.array(~wide))
                 yield spans(*(known.column(c).to_numpy() for c in ("key", "pos", "after")))
