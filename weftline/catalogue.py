@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ source("sql_source_window_frame", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice
 source("sql_source_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 source("sql_source_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 source("sql_source_range_join", "SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal - 10 AND s_acctbal + 10 GROUP BY s_suppkey")
-source("sql_source_theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+source("sql_source_theta_join", "SELECT a.l_orderkey AS k, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice")
 source("sql_source_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 source("sql_source_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
 source("sql_source_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders")
@@ -86,17 +87,24 @@ def _(spark, d):
     return sql.infer_schema(spark, "SELECT * FROM orders;")
 
 
-@query("list_tables_catalog")
+@query("list_tables_catalog", " UNION ALL ".join(f"SELECT '' AS schema, 'catalog_{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES))
 def _(spark, d):
     for t in TABLES:
         table(spark, d, t).createOrReplaceTempView(f"catalog_{t}")
-    return sql.list_tables(spark, like="catalog_*")
+    sizes = reduce(DataFrame.unionByName, [table(spark, d, t).agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(f"catalog_{t}")) for t in TABLES])
+    return sql.list_tables(spark, like="catalog_*").join(sizes, "name").select("schema", "name", "rows")
 
 
-@query("list_columns_catalog")
+_LINEITEM = "l_orderkey bigint,l_partkey bigint,l_suppkey bigint,l_linenumber int,l_quantity double,l_extendedprice double,l_discount double,l_tax double,l_returnflag string,l_linestatus string,l_shipdate timestamp_ntz"
+
+
+@query("list_columns_catalog", " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{n}' AS name, '{t}' AS type, true AS nullable, {str(n in ('l_orderkey', 'l_linenumber')).lower()} AS is_primary, count(*) AS rows, count({n}) AS filled FROM lineitem"
+    for i, (n, t) in enumerate((x.split() for x in _LINEITEM.split(",")), 1)))
 def _(spark, d):
     table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    return sql.list_columns(spark, "lineitem", keys=("l_orderkey", "l_linenumber"))
+    columns = sql.list_columns(spark, "lineitem", keys=("l_orderkey", "l_linenumber"))
+    return columns.join(sql.filled(table(spark, d, "lineitem")), "name").select("ordinal", "name", "type", "nullable", "is_primary", "rows", "filled")
 
 
 # ---- map nodes with one input
@@ -124,8 +132,8 @@ map_query("map_upper_add", "supplier", [col("u", kind="upper", args=["A.s_name"]
           "SELECT upper(s_name) AS u, (s_suppkey + s_nationkey)::BIGINT AS s FROM supplier")
 map_query("map_expr", "lineitem", [col("k", "A.l_orderkey"), col("n", "A.l_linenumber"), col("net", kind="expr", sql="A.l_extendedprice * (1 - A.l_discount)", type="float64")],
           "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
-map_query("map_null_default", "region", [col("k", "A.r_regionkey"), col("nothing", kind="mystery", type="int64")],
-          "SELECT r_regionkey AS k, NULL::BIGINT AS nothing FROM region")
+map_query("map_null_default", "part", [col("k", "A.p_partkey"), col("nothing", kind="mystery", type="int64")],
+          "SELECT p_partkey AS k, NULL::BIGINT AS nothing FROM part")
 map_query("map_try_cast", "customer", [col("k", "A.c_custkey"), col("n", "A.c_mktsegment", type="int64")],
           "SELECT c_custkey AS k, TRY_CAST(c_mktsegment AS BIGINT) AS n FROM customer")
 
@@ -153,9 +161,9 @@ def _(spark, d):
     return mapped(c, auto_match({"A": c}, target))
 
 
-@query("map_conform", "SELECT n_name, n_nationkey::BIGINT AS n_nationkey, NULL::DOUBLE AS score FROM nation")
+@query("map_conform", "SELECT c_name, c_nationkey::BIGINT AS c_nationkey, NULL::DOUBLE AS score FROM customer")
 def _(spark, d):
-    return conform(table(spark, d, "nation"), spark.createDataFrame([], "n_name string, n_nationkey long, score double").schema)
+    return conform(table(spark, d, "customer"), spark.createDataFrame([], "c_name string, c_nationkey long, score double").schema)
 
 
 @query("map_dedupe_names", "SELECT c_custkey AS id, c_nationkey::BIGINT AS id2, c_name AS id3 FROM customer")
@@ -163,9 +171,11 @@ def _(spark, d):
     return dedupe_names(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("id"), F.col("c_name").alias("id")))
 
 
-@query("map_add_all_columns", "SELECT * FROM nation")
+@query("map_add_all_columns", "SELECT c_custkey AS id, c_name, c_nationkey, upper(c_mktsegment) AS c_mktsegment, c_custkey, c_acctbal FROM customer")
 def _(spark, d):
-    return table(spark, d, "nation").alias("A").select("A.*")
+    c = table(spark, d, "customer")
+    columns = [col("id", "A.c_custkey"), col("c_name", "A.c_name"), col("c_nationkey", "A.c_nationkey"), col("C_MKTSEGMENT", kind="upper", args=["A.c_mktsegment"])]
+    return mapped(c, combine.add_all_columns(c, "A", columns)).withColumnRenamed("C_MKTSEGMENT", "c_mktsegment")
 
 
 # ---- map nodes with two inputs
@@ -180,7 +190,7 @@ def _lookup(kind):
         if kind == "right":  # the build side is the left one: the last order of each customer
             j = combine.lookup_join(o, c, ["o_custkey"], ["c_custkey"], "right", order_by=["o_orderdate", "o_orderkey"], names=("B", "A"))
         elif kind == "full":
-            j = combine.lookup_join(c, o.where("o_custkey % 3 > 0"), ["c_custkey"], ["o_custkey"], "full", order_by=["o_orderdate", "o_orderkey"])
+            j = combine.lookup_join(c, o, ["c_custkey"], ["o_custkey"], "full", order_by=["o_orderdate", "o_orderkey"])
         else:
             j = combine.lookup_join(c, o, ["c_custkey"], ["o_custkey"], kind, order_by=["o_orderdate", "o_orderkey"])
         return combine.project(j, _PICK)
@@ -190,26 +200,21 @@ def _lookup(kind):
 
 for _kind in ("inner", "left", "right", "full"):
     QUERIES[f"lookup_{_kind}_last"] = _lookup(_kind)
-    _from = _LAST if _kind != "full" else f"SELECT * FROM ({_LAST}) WHERE o_custkey % 3 > 0"
     _join = {"right": "LEFT"}.get(_kind, _kind.upper())
-    ORACLES[f"lookup_{_kind}_last"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer {_join} JOIN ({_from}) ON c_custkey = o_custkey"
+    ORACLES[f"lookup_{_kind}_last"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer {_join} JOIN ({_LAST}) ON c_custkey = o_custkey"
     QUERIES[f"join_{_kind}_all"] = lambda spark, d, k=_kind: combine.project(
-        combine.lookup_join(table(spark, d, "customer").where("c_custkey % 2 = 0"), table(spark, d, "orders"), ["c_custkey"], ["o_custkey"], k, match="all"), _PICK)
-    ORACLES[f"join_{_kind}_all"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {_kind.upper()} JOIN orders ON c_custkey = o_custkey"
-
-    QUERIES[f"join_{_kind}_whole"] = lambda spark, d, k=_kind: combine.project(
         combine.lookup_join(table(spark, d, "customer"), table(spark, d, "orders"), ["c_custkey"], ["o_custkey"], k, match="all"), _PICK)
-    ORACLES[f"join_{_kind}_whole"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer {_kind.upper()} JOIN orders ON c_custkey = o_custkey"
+    ORACLES[f"join_{_kind}_all"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer {_kind.upper()} JOIN orders ON c_custkey = o_custkey"
 
-QUERIES["lookup_full_whole"] = lambda spark, d: combine.project(
-    combine.lookup_join(table(spark, d, "customer"), table(spark, d, "orders"), ["c_custkey"], ["o_custkey"], "full", order_by=["o_orderdate", "o_orderkey"]), _PICK)
-ORACLES["lookup_full_whole"] = f"SELECT c_custkey AS id, c_name AS name, o_orderkey AS order_id, o_totalprice AS total FROM customer FULL JOIN ({_LAST}) ON c_custkey = o_custkey"
+for _kind in ("inner", "left", "right", "full"):  # names kept from when the queries above held part of the keys
+    QUERIES[f"join_{_kind}_whole"], ORACLES[f"join_{_kind}_whole"] = QUERIES[f"join_{_kind}_all"], ORACLES[f"join_{_kind}_all"]
+QUERIES["lookup_full_whole"], ORACLES["lookup_full_whole"] = QUERIES["lookup_full_last"], ORACLES["lookup_full_last"]
 
 
-@query("join_cross", "SELECT r_name AS region, n_name AS nation FROM region CROSS JOIN nation")
+@query("join_cross", "SELECT s_name AS supplier, n_name AS nation FROM supplier CROSS JOIN nation")
 def _(spark, d):
-    j = combine.cross_join(table(spark, d, "region"), table(spark, d, "nation"))
-    return combine.project(j, [col("region", "A.r_name"), col("nation", "B.n_name")])
+    j = combine.cross_join(table(spark, d, "supplier"), table(spark, d, "nation"))
+    return combine.project(j, [col("supplier", "A.s_name"), col("nation", "B.n_name")])
 
 
 @query("join_composite_key", "SELECT a.l_orderkey AS k, a.l_linenumber AS n, b.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1")
@@ -259,10 +264,10 @@ def _(spark, d):
     return combine.union_by_lineage(table(spark, d, "customer"), table(spark, d, "supplier"), columns)
 
 
-@query("union_by_name", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")
+@query("union_by_name", "SELECT c_custkey AS k, c_name AS name, c_nationkey AS n FROM customer UNION ALL SELECT p_partkey, p_brand, NULL FROM part")
 def _(spark, d):
-    n = table(spark, d, "nation").toDF("k", "name", "r")
-    return combine.union_shared(n, table(spark, d, "region").toDF("k", "name"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
+    return combine.union_shared(c, table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("k")))
 
 
 # ---- rules
@@ -291,6 +296,8 @@ rule_query("rule_all_any", [{"all": [{"field": "value", "op": "gt", "value": 10}
            "value > 10 AND event_type IN ('click', 'view')")
 rule_query("rule_multi", [{"all": [{"field": "value", "op": "gt", "value": 10}]}, {"any": [{"field": "user_id", "op": "lt", "value": 20}]}], "value > 10 AND user_id < 20")
 rule_query("rule_none", [], "true")
+rule_query("rule_regex_letters", [{"all": [{"field": "event_type", "op": "regex", "value": r"^\p{L}+$"}]}], r"regexp_matches(event_type, '^\p{L}+$')")
+rule_query("rule_regex_named", [{"all": [{"field": "event_type", "op": "regex", "value": "(?P<what>view|click)"}]}], "regexp_matches(event_type, 'view|click')")
 
 
 # ---- incremental reads, messages
@@ -362,8 +369,12 @@ def _(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder of the session, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder under the shared checkpoint folder of the session, or, in local mode only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -486,3 +497,92 @@ def _(spark, d):
     feed.run_feed(stream, _PURCHASES, [], f"{folder}/audit", f"{folder}/checkpoint").awaitTermination()
     audit = feed.recent(feed.read_audit(spark, f"{folder}/audit"), 100)
     return audit.groupBy("status").agg(F.sum("events").alias("events"), F.sum("matched").alias("matched"))
+
+
+@query("audit_recent", "SELECT poll, 'completed' AS status, count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase' AND value > 10) AS matched FROM (SELECT *, event_id % 4 AS poll FROM events) WHERE poll >= 2 GROUP BY poll")
+def _(spark, d):
+    """The latest two of four polls."""
+    folder, events = _folder(spark), table(spark, d, "events")
+    for i in range(4):  # files come in the order of their writing
+        events.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    feed.run_feed(feed.watch_folder(spark, f"{folder}/in", events.schema), _PURCHASES, [], f"{folder}/audit", f"{folder}/checkpoint").awaitTermination()
+    return feed.recent(feed.read_audit(spark, f"{folder}/audit"), 2).select("poll", "status", "events", "matched")
+
+
+_EVENT_JOB = _job("SELECT * FROM events", [col("event_id", "A.event_id"), col("label", kind="concat", sep=":", args=["A.event_type", "A.user_id"])], {"type": "db_output", "config": {"table": "fired", "mode": "insert"}})
+
+
+@query("stream_spec_job", "SELECT event_id, concat_ws(':', event_type, user_id) AS label FROM events WHERE event_type = 'purchase' AND value > 10")
+def _(spark, d):
+    folder, stream = _split_events(spark, d)
+    job = feed.spec_job(_EVENT_JOB, "i", lambda rows, name, number: rows.write.mode("overwrite").parquet(f"{folder}/out/poll={number}"))
+    feed.run_feed(stream, _PURCHASES, [(1, job)], f"{folder}/audit", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("poll")
+
+
+@query("stream_poll_table", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 10")
+def _(spark, d):
+    """A table polled past its watermark until nothing is new, in four polls or so."""
+    folder, events = _folder(spark), table(spark, d, "events")
+    job = lambda hit, n: hit.select("event_id", "user_id").write.mode("overwrite").parquet(f"{folder}/out/poll={n}")
+    first, count = events.agg(F.min("event_id"), F.count(F.lit(1))).first()
+    poll = {"column": "event_id", "kind": "int", "rules": _PURCHASES, "jobs": [(1, job)], "state_path": folder, "batch": count // 4 + 1, "start": str(first - 1)}
+    while feed.poll_table(lambda: events, **poll):
+        pass
+    return spark.read.parquet(f"{folder}/out").drop("poll")
+
+
+@query("stream_from_now", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'purchase') AND value > 10")
+def _(spark, d):
+    """A feed that starts at a watermark: events after the last purchase."""
+    events = table(spark, d, "events")
+    start = sql.initial_watermark(events.where("event_type = 'purchase'"), "event_id").first()[0]
+    folder, stream = _split_events(spark, d)
+    job = lambda hit, n: hit.select("event_id").write.mode("overwrite").parquet(f"{folder}/out/poll={n}")
+    spark.createDataFrame([], "event_id long").write.parquet(f"{folder}/out/poll=-1")
+    rules = [{"all": [{"field": "value", "op": "gt", "value": 10}]}]
+    feed.run_feed(feed.after(stream, "event_id", start), rules, [(1, job)], f"{folder}/audit", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id long").parquet(f"{folder}/out").select("event_id")
+
+
+@query("apply_merge_default_keys", _MERGED.format(_CHANGES))
+def _(spark, d):
+    c = table(spark, d, "customer")
+    c.createOrReplaceTempView("customer")
+    keys = sql.default_keys(sql.list_columns(spark, "customer", keys=("c_custkey",)))
+    return apply(c, _changes(c), "merge", keys)
+
+
+@query("pipeline_two_starts", "SELECT 'orders' AS flow, o_orderkey AS id FROM orders UNION ALL SELECT 'customers', c_custkey FROM customer")
+def _(spark, d):
+    """Two start nodes: independent flows of one job, each over a source of its own."""
+    _views(spark, d, "orders", "customer")
+    one = _job("SELECT o_orderkey FROM orders", [col("id", "A.o_orderkey")], {"type": "db_output", "config": {"table": "a"}})
+    two = _job("SELECT c_custkey FROM customer", [col("id", "A.c_custkey")], {"type": "db_output", "config": {"table": "b"}})
+    for n in two["nodes"]:
+        n["id"] += "2"
+    links = [c | {"from": c["from"] + "2", "to": c["to"] + "2"} for c in two["connexions"]]
+    job = plan.build(spark, {"nodes": one["nodes"] + two["nodes"], "connexions": one["connexions"] + links})
+    assert job.sinks == ["o", "o2"] and not job.orphans
+    return job.result("o").select(F.lit("orders").alias("flow"), "id").unionByName(job.result("o2").select(F.lit("customers").alias("flow"), "id"))
+
+
+def _constraints(spark, d):
+    """An information schema of the given tables: columns from their schemas, one primary and one foreign key."""
+    rows = [("main", t, f.name, i, f.dataType.simpleString(), "YES", None, None, None, None) for t in TABLES for i, f in enumerate(table(spark, d, t).schema.fields, 1)]
+    kinds = "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, character_maximum_length long, numeric_precision int, numeric_scale int, column_default string"
+    uses = [("main", "customer", "c_custkey", "pk_customer"), ("main", "orders", "o_custkey", "fk_orders")]
+    return {
+        "columns": spark.createDataFrame(rows, kinds),
+        "key_column_usage": spark.createDataFrame(uses, "table_schema string, table_name string, column_name string, constraint_name string"),
+        "table_constraints": spark.createDataFrame([("main", "customer", "pk_customer", "PRIMARY KEY"), ("main", "orders", "fk_orders", "FOREIGN KEY")], "table_schema string, table_name string, constraint_name string, constraint_type string"),
+        "referential_constraints": spark.createDataFrame([("main", "fk_orders", "pk_customer", "NO ACTION", "CASCADE")], "constraint_schema string, constraint_name string, unique_constraint_name string, update_rule string, delete_rule string"),
+    }
+
+
+@query("describe_schema_profile", "SELECT 'o_custkey' AS \"column\", 'FOREIGN KEY' AS constraint_type, 'customer.c_custkey' AS refers_to, 'CASCADE' AS delete_rule, count(*) AS rows, count(o_custkey) AS filled FROM orders UNION ALL SELECT 'c_custkey', 'PRIMARY KEY', NULL, NULL, count(*), count(c_custkey) FROM customer")
+def _(spark, d):
+    """The keys of the schema, with how many rows their tables have and how many of them have the key."""
+    keys = sql.describe_schema(spark, views=_constraints(spark, d)).where("constraint_type is not null")
+    sizes = sql.filled(table(spark, d, "orders")).unionByName(sql.filled(table(spark, d, "customer")))
+    return keys.join(sizes, keys["column"] == sizes["name"]).select("column", "constraint_type", "refers_to", "delete_rule", "rows", "filled")

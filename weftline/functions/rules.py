@@ -6,13 +6,14 @@ holds; a rule holds when all of ``all`` and, if there are any, at least one of `
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .patterns import usable_pattern
+
 
 def field(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     """A dotted path through structs, maps and JSON text; a missing field is NULL."""
@@ -80,11 +81,8 @@ def condition(schema: T.StructType, spec: dict) -> Column:
     if op == "lt":
         return _number(column, kind) < _literal(value)
     if op == "regex":
-        try:
-            re.compile(str(value))
-        except re.error:
-            return false
-        return F.coalesce(text.rlike(str(value)), false)
+        pattern = usable_pattern(str(value))
+        return false if pattern is None else F.coalesce(text.rlike(pattern), false)
     if op == "exists":
         return column.isNotNull()
     if op == "notExists":

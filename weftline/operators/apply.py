@@ -37,17 +37,22 @@ def _cast(target: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame
     return source.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in columns])
 
 
-def _solid(df: DataFrame, keys: list[str]) -> DataFrame:
+def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
+def without_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a NULL in some key."""
+    return df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
+
+
 def insert(target: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
     return target.unionByName(_cast(target, source, columns), allowMissingColumns=True).select(*target.columns)
 
 
 def update(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], order_by: list[str] | None = None) -> DataFrame:
     """Set the non-key columns of matching rows; of several source rows of a key the last wins."""
-    new = last_by_key(_solid(source, keys), keys, order_by)
+    new = last_by_key(with_keys(source, keys), keys, order_by)
     new = _cast(target, new, list(dict.fromkeys([*keys, *columns]))).withColumn("_hit", F.lit(True))
     return target.alias("t").join(new.alias("s"), _on(keys), "left").select(*[
         (F.when(F.col("_hit"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in columns and c not in keys else F.col(f"t.{c}")).alias(c)
@@ -65,7 +70,7 @@ def merge(
     With no column but keys, rows are inserted if absent.
     """
     every = list(dict.fromkeys([*keys, *columns]))
-    solid = _solid(source, keys)
+    solid = with_keys(source, keys)
     if on_duplicate == "error":
         counted = solid.groupBy(*keys).agg(F.first(F.struct(*source.columns)).alias("r"), F.count(F.lit(1)).alias("n"))
         checked = F.when(F.col("n") > 1, F.raise_error(F.lit("merge: several source rows of one key")).cast("boolean")).otherwise(True)
@@ -78,8 +83,7 @@ def merge(
         (F.when(F.col("_t").isNull() | (F.col("_s") & F.lit(c not in keys)), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in every else F.col(f"t.{c}")).alias(c)
         for c in target.columns
     ])
-    loose = source.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
-    return insert(state, loose, every)
+    return insert(state, without_keys(source, keys), every)
 
 
 def delete(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,6 +96,7 @@ def truncate(target: DataFrame) -> DataFrame:
 
 
 def apply(target: DataFrame, source: DataFrame, mode: str, keys: list[str] | None = None, columns: list[str] | None = None, **options) -> DataFrame:
+    """The new state of ``target``; see the modes.  Take default keys of a table from sources.sql.default_keys."""
     keys, mode = list(keys or []), mode.lower()
     columns = list(columns if columns is not None else [c for c in source.columns if c in target.columns])
     validate(mode, target, columns, keys)

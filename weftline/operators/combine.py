@@ -18,18 +18,35 @@ from ..functions.types import spark_type
 KINDS = ("inner", "left", "right", "full", "cross", "union")
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _named(df: DataFrame, name: str) -> T.StructField:
+    """The column of a name, compared without case."""
+    found = next((f for f in df.schema.fields if f.name.lower() == name.lower()), None)
+    if found is None:
+        raise ValueError(f"no column {name!r}")
+    return found
+
+
 def last_by_key(df: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """The last row of each key by ``order_by`` (default: all other columns); NULL keys are a key."""
-    order = order_by or [c for c in df.columns if c not in keys] or keys
+    """The last row of each key by ``order_by`` (default: all other columns that have an order); NULL keys are a key."""
+    order = order_by or [f.name for f in df.schema.fields if f.name not in keys and _orderable(f.dataType)] or keys
     # an aggregate combines before the shuffle, which a window could not
     row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in order]))
     return df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(row.alias("r")).select("r.*")
 
 
 def _same_key(left: DataFrame, right: DataFrame, a: str, b: str, names: tuple[str, str]) -> Column:
-    x, y = F.col(f"{names[0]}.{a}"), F.col(f"{names[1]}.{b}")
-    if left.schema[a].dataType != right.schema[b].dataType:
-        both = isinstance(left.schema[a].dataType, T.NumericType) and isinstance(right.schema[b].dataType, T.NumericType)
+    p, q = _named(left, a), _named(right, b)
+    x, y = F.col(f"{names[0]}.`{p.name}`"), F.col(f"{names[1]}.`{q.name}`")
+    if p.dataType != q.dataType:
+        both = isinstance(p.dataType, T.NumericType) and isinstance(q.dataType, T.NumericType)
         if not both:
             x, y = x.cast("string"), y.cast("string")
     return x.eqNullSafe(y)
@@ -47,6 +64,7 @@ def lookup_join(
     if len(left_keys) != len(right_keys) or not left_keys:
         raise ValueError("a join needs as many left keys as right keys, and at least one")
     kind = kind if kind in KINDS else "left"
+    left_keys, right_keys = [_named(left, k).name for k in left_keys], [_named(right, k).name for k in right_keys]
     if match == "last":
         if kind in ("inner", "left", "full"):
             right = last_by_key(right, right_keys, order_by)
@@ -64,6 +82,16 @@ def project(joined: DataFrame, columns: list[dict], prefix: bool = False) -> Dat
     return joined.select(*[output_column(prefixed(c) if prefix else c) for c in columns])
 
 
+def add_all_columns(df: DataFrame, name: str, columns: list[dict] = ()) -> list[dict]:
+    """``columns`` and, once each, those of the input ``name`` that no output column has the name of, without case."""
+    out, taken = list(columns), {c["name"].lower() for c in columns}
+    for c in df.columns:
+        if c.lower() not in taken:
+            taken.add(c.lower())
+            out.append({"name": c, "ref": f"{name}.`{c}`"})
+    return out
+
+
 def union_by_lineage(left: DataFrame, right: DataFrame, columns: list[dict], names: tuple[str, str] = ("A", "B")) -> DataFrame:
     """All left rows, then all right rows; a column that refers to one input is NULL on the other's rows.
 

@@ -7,10 +7,11 @@ map node and the name of the input it feeds.  Only nodes that flow reaches from
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,16 @@ class Job:
     sinks: list[str]
     orphans: list[str]
     counts: dict[str, Observation] = field(default_factory=dict)
+    persisted: list[DataFrame] = field(default_factory=list)
 
     def result(self, node: str, output: str | None = None) -> DataFrame:
         frames = self.frames[node]
         return frames[output] if output else next(iter(frames.values()))
 
+    def release(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
+
     def progress(self) -> list[tuple[str, int]]:
         """(node, rows) of observed nodes, once their sinks have run."""
         return [(n, o.get["rows"]) for n, o in self.counts.items()]
@@ -92,8 +98,6 @@ def map_node(inputs: dict[str, DataFrame], config: dict) -> dict[str, DataFrame]
     names = list(inputs)
     if len(inputs) == 1:
         base = inputs[names[0]].alias(names[0])
-        if len(names) == 1 and names[0] != "input":
-            base = inputs[names[0]].alias(names[0])
         return {o["name"]: project(base, o["columns"]) for o in outputs}
     left, right = join.get("left", names[0]), join.get("right", names[1])
     pair, kind = (left, right), join.get("type", "left")
@@ -110,12 +114,13 @@ def map_node(inputs: dict[str, DataFrame], config: dict) -> dict[str, DataFrame]
 
 def build(
     spark: SparkSession, spec: dict, targets: Callable[[dict], DataFrame] | None = None,
-    given: dict[str, DataFrame] | None = None, observe: bool = False,
+    given: dict[str, DataFrame] | None = None, observe: bool = False, persist: bool = False,
 ) -> Job:
     """Fold a spec into DataFrames; nothing runs.
 
     ``targets`` gives the current state of a db_output's table (none: an empty one); ``given`` replaces the
-    rows of named nodes, which is how a trigger hands its events to a job.
+    rows of named nodes, which is how a trigger hands its events to a job.  With ``persist`` a frame that feeds
+    several nodes is computed once for all of them; ``Job.release`` gives its memory back.
     """
     validate(spec)
     nodes = {n["id"]: n for n in spec["nodes"]}
@@ -165,9 +170,18 @@ def build(
             job.counts[node_id] = Observation(f"node_{node_id}")
             out[name] = df.observe(job.counts[node_id], F.count(F.lit(1)).alias("rows"))
         busy.discard(node_id)
-        job.frames[node_id] = out
+        job.frames[node_id] = shared(node_id, out)
         return out
 
+    users = Counter((c["from"], c.get("output")) for n in reached for c in feeds[n])
+
+    def shared(node_id: str, outs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        for i, (name, df) in enumerate(outs.items()):
+            if persist and users[node_id, name] + (users[node_id, None] if i == 0 else 0) > 1:
+                outs[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
+                job.persisted.append(outs[name])
+        return outs
+
     for node_id in reached:
         frame(node_id)
     return job

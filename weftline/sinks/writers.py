@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import render
-from ..operators.apply import apply
-from ..sources.sql import identifier, jdbc_options
+from ..operators.apply import apply, validate, with_keys, without_keys
+from ..operators.combine import last_by_key
+from ..sources.sql import default_keys, identifier, jdbc_options, list_columns
 
 
 class ParquetTable:
@@ -47,14 +48,90 @@ class ParquetTable:
         self.replace(apply(target, source, mode, keys, columns, **options))
 
 
-def write_jdbc(df: DataFrame, table: str, connection: dict, mode: str = "insert", batch: int = 500) -> None:
-    """Insert into or truncate and refill a JDBC table; one transaction a partition, ``batch`` rows a statement."""
-    if mode not in ("insert", "truncate"):
-        raise ValueError("over JDBC write a staging table and run one set-based statement for update, merge or delete")
+def _run_sql(spark: SparkSession, connection: dict, statements: list[str]) -> None:
+    """Statements in one transaction, over a JDBC connection of the driver."""
+    jvm, options = spark._jvm, jdbc_options(connection)
+    if options.get("driver"):
+        jvm.java.lang.Class.forName(options["driver"])
+    login = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            login.setProperty(name, options[name])
+    link = jvm.java.sql.DriverManager.getConnection(options["url"], login)
+    try:
+        link.setAutoCommit(False)
+        try:
+            for text in [options[k] for k in ("sessionInitStatement",) if k in options] + statements:
+                statement = link.createStatement()
+                statement.execute(text)
+                statement.close()
+            link.commit()
+        except BaseException:
+            link.rollback()
+            raise
+    finally:
+        link.close()
+
+
+def change_statements(mode: str, table: str, stage: str, keys: list[str], columns: list[str], quote=lambda name: f'"{name}"') -> list[str]:
+    """Set-based statements that bring a table to the state that its staging table asks for.
+
+    Only forms that every supported database has; NULL keys match nothing.
+    """
+    on = " AND ".join(f"{table}.{quote(k)} = s.{quote(k)}" for k in keys)
+    match = f"SELECT 1 FROM {stage} s WHERE {on}"
+    if mode == "delete":
+        return [f"DELETE FROM {table} WHERE EXISTS ({match})"]
+    rest = [c for c in columns if c not in keys]
+    out = []
+    if rest:
+        values = ", ".join(f"{quote(c)} = (SELECT s.{quote(c)} FROM {stage} s WHERE {on})" for c in rest)
+        out.append(f"UPDATE {table} SET {values} WHERE EXISTS ({match})")
+    if mode == "merge":
+        names = list(dict.fromkeys([*keys, *columns]))
+        listed = ", ".join(map(quote, names))
+        out.append(f"INSERT INTO {table} ({listed}) SELECT {', '.join(f's.{quote(c)}' for c in names)} FROM {stage} s WHERE NOT EXISTS (SELECT 1 FROM {table} WHERE {on})")
+    return out
+
+
+def write_jdbc(
+    df: DataFrame, table: str, connection: dict, mode: str = "insert", batch: int = 500, keys: list[str] | None = None,
+    columns: list[str] | None = None, order_by: list[str] | None = None,
+) -> None:
+    """Write rows to a JDBC table.  Insert appends them, truncate empties the table.
+
+    Update, merge and delete load the rows, one a key, into a staging table in parallel and then change the table
+    by set-based statements in one transaction; the staging table goes in any case.  Keys default to the table's
+    primary key.  Names that are not qualified are those of the connection's schema.
+    """
+    spark, mode = df.sparkSession, mode.lower()
     options = {k: v for k, v in jdbc_options(connection).items() if k != "fetchsize"}
-    rows = df if mode == "insert" else df.limit(0)
-    rows.write.format("jdbc").options(**options).option("dbtable", identifier(table)).option("batchsize", batch).option(
-        "truncate", "true").mode("append" if mode == "insert" else "overwrite").save()
+    writer = lambda rows, name: rows.write.format("jdbc").options(**options).option("dbtable", name).option("batchsize", batch)
+    if "." not in table and connection.get("schema"):
+        table = f"{connection['schema']}.{table}"
+    identifier(table)
+    if mode in ("insert", "truncate"):
+        rows = df if mode == "insert" else df.limit(0)
+        writer(rows, table).option("truncate", "true").mode("append" if mode == "insert" else "overwrite").save()
+        return
+    target = spark.read.format("jdbc").options(**options).option("dbtable", table).load()
+    if keys is None:
+        keys = default_keys(list_columns(spark, table, connection))
+    columns = list(columns if columns is not None else [c for c in df.columns if c in target.columns])
+    validate(mode, target, columns, keys)
+    names = list(dict.fromkeys([*keys, *columns])) if mode != "delete" else list(keys)
+    solid = with_keys(df, keys)
+    rows = last_by_key(solid, keys, order_by) if mode != "delete" else solid.select(*keys).distinct()
+    if mode == "merge":  # rows with a NULL key match nothing and are inserted
+        rows = rows.unionByName(without_keys(df, keys))
+    rows = rows.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in names])
+    stage = f"{table}_{uuid.uuid4().hex[:12]}"
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier
+    writer(rows, stage).mode("errorifexists").save()
+    try:
+        _run_sql(spark, connection, change_statements(mode, table, stage, keys, columns, quote))
+    finally:
+        _run_sql(spark, connection, [f"DROP TABLE {stage}"])
 
 
 def printed(column: str, kind: T.DataType) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import usable_pattern
+
 
 def mail_events(
     messages: DataFrame, last_uid: int = 0, from_address: str | None = None, to_address: str | None = None,
@@ -22,11 +22,8 @@ def mail_events(
             low = address.lower()
             out = out.where(F.coalesce(F.exists(F.col(f"`{name}`"), lambda x: F.lower(x) == low), F.lit(False)))
     if subject:
-        try:
-            re.compile(subject)
-            out = out.where(F.coalesce(F.col("subject").rlike(subject), F.lit(False)))
-        except re.error:
-            out = out.where(F.lit(False))
+        pattern = usable_pattern(subject)
+        out = out.where(F.lit(False) if pattern is None else F.coalesce(F.col("subject").rlike(pattern), F.lit(False)))
     if cc:
         wanted = F.array(*[F.lit(a.lower()) for a in cc])
         out = out.where(F.coalesce(F.arrays_overlap(F.transform("cc", F.lower), wanted), F.lit(False)))

@@ -25,6 +25,17 @@ def identifier(name: str) -> str:
     return name
 
 
+def database_kind(connection: dict) -> str:
+    """The kind of database: as named, else as the URL says."""
+    return connection.get("type") or (connection.get("url", "").split(":") + ["", ""])[1].replace("postgresql", "postgres")
+
+
+def default_schema(connection: dict) -> str:
+    """Where unqualified names are looked up: the connection's schema, else the database's own rule."""
+    kind = database_kind(connection)
+    return connection.get("schema") or {"postgres": "public", "sqlserver": "dbo", "mysql": connection.get("database", "")}.get(kind, "")
+
+
 def jdbc_options(connection: dict) -> dict[str, str]:
     """Options of Spark's JDBC reader and writer; ``url`` overrides host, port and database."""
     url = connection.get("url")
@@ -38,8 +49,15 @@ def jdbc_options(connection: dict) -> dict[str, str]:
         if connection.get(ours) is not None:
             out[theirs] = str(connection[ours])
     if connection.get("schema"):
-        if connection.get("type", "postgres") == "postgres" and "postgres" in url:
-            out["sessionInitStatement"] = f"SET search_path TO {identifier(connection['schema'])}"
+        schema, kind = identifier(connection["schema"]), database_kind(connection)
+        if kind == "postgres":
+            out["sessionInitStatement"] = f"SET search_path TO {schema}"
+        elif kind == "mysql":
+            out["sessionInitStatement"] = f"USE {schema}"
+        elif kind == "derby":
+            out["sessionInitStatement"] = f"SET SCHEMA {schema}"
+        elif kind == "sqlserver" and schema.lower() != "dbo":
+            raise ValueError("SQL Server sessions have no schema of their own: qualify the names of the query")
     for k in ("partitionColumn", "lowerBound", "upperBound", "numPartitions"):
         if connection.get(k) is not None:
             out[k] = str(connection[k])
@@ -64,6 +82,13 @@ def infer_schema(spark: SparkSession, query: str, connection: dict | None = None
     return spark.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean")
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """(name, rows, filled): for each column how many rows there are and how many have a value, in one pass."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col("_rows").alias("rows"), F.col(f"_{i}").alias("filled")) for i, c in enumerate(df.columns)])
+    return counts.select(F.inline(each))
+
+
 def list_tables(spark: SparkSession, connection: dict | None = None, like: str | None = None) -> DataFrame:
     """(schema, name) of base tables, without system schemas, in order."""
     if connection is None:
@@ -81,6 +106,7 @@ def list_columns(spark: SparkSession, table: str, connection: dict | None = None
         rows = [(i, f.name, f.dataType.simpleString(), f.nullable, f.name in keys) for i, f in enumerate(fields, 1)]
         return spark.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean, is_primary boolean")
     schema, _, name = identifier(table).rpartition(".")
+    schema = schema or default_schema(connection)
     where = f"c.table_name = '{name}'" + (f" AND c.table_schema = '{schema}'" if schema else "")
     columns = sql_source(spark, f"SELECT c.column_name, c.ordinal_position, c.data_type, c.is_nullable FROM information_schema.columns c WHERE {where}", connection)
     uses = sql_source(spark, f"SELECT c.column_name, c.constraint_name FROM information_schema.key_column_usage c WHERE {where}", connection).toDF("name", "constraint")
@@ -92,13 +118,51 @@ def list_columns(spark: SparkSession, table: str, connection: dict | None = None
     ).orderBy("ordinal")
 
 
-def describe_schema(columns: DataFrame, constraints: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
-    """The column catalog with constraints (table, column, constraint_type, constraint_name, ...) and comments left-joined."""
-    out = columns
-    for extra in (constraints, comments):
-        if extra is not None:
-            out = out.join(extra, ["table", "column"], "left")
-    return out.orderBy("table", "ordinal")
+def default_keys(columns: DataFrame) -> list[str]:
+    """The primary key of a table, from its listed columns (see list_columns), in order."""
+    return [r["name"] for r in columns.where("is_primary").orderBy("ordinal").select("name").collect()]  # a key's columns: few
+
+
+#: Views of the standard's information schema that describe_schema reads, and their columns.
+METADATA = {
+    "columns": "table_schema table_name column_name ordinal_position data_type is_nullable character_maximum_length numeric_precision numeric_scale column_default",
+    "key_column_usage": "table_schema table_name column_name constraint_name",
+    "table_constraints": "table_schema table_name constraint_name constraint_type",
+    "referential_constraints": "constraint_schema constraint_name unique_constraint_name update_rule delete_rule",
+}
+
+
+def describe_schema(spark: SparkSession, connection: dict | None = None, views: dict[str, DataFrame] | None = None, comments: DataFrame | None = None) -> DataFrame:
+    """The column catalog: type, length, precision, scale, default, constraint, foreign-key target and its rules, comment.
+
+    The metadata views are read over JDBC, or given as ``views``; ``comments`` has (schema, table, column, comment).
+    One row a column and constraint; columns of system schemas are left out.
+    """
+    read = {}
+    for view, names in METADATA.items():
+        df = views[view] if views else sql_source(spark, f"SELECT {', '.join(names.split())} FROM information_schema.{view}", connection)
+        read[view] = df.toDF(*[c.lower() for c in df.columns]).select(*names.split())
+    columns = read["columns"].where(~F.lower("table_schema").isin(*SYSTEM_SCHEMAS))
+    uses = read["key_column_usage"].join(read["table_constraints"], ["table_schema", "table_name", "constraint_name"], "left")
+    # a foreign key names the unique constraint that it refers to, and that its table and column
+    target = read["key_column_usage"].select(
+        F.col("table_schema").alias("constraint_schema"), F.col("constraint_name").alias("unique_constraint_name"),
+        F.concat_ws(".", "table_name", "column_name").alias("refers_to"),
+    )
+    rules = read["referential_constraints"].join(target, ["constraint_schema", "unique_constraint_name"], "left").select(
+        F.col("constraint_schema").alias("table_schema"), "constraint_name", "refers_to", "update_rule", "delete_rule"
+    )
+    uses = uses.join(rules, ["table_schema", "constraint_name"], "left")
+    out = columns.join(uses, ["table_schema", "table_name", "column_name"], "left").select(
+        F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("column_name").alias("column"),
+        F.col("ordinal_position").cast("int").alias("ordinal"), F.col("data_type").alias("type"), (F.upper("is_nullable") == "YES").alias("nullable"),
+        F.col("character_maximum_length").cast("long").alias("length"), F.col("numeric_precision").cast("int").alias("precision"),
+        F.col("numeric_scale").cast("int").alias("scale"), F.col("column_default").cast("string").alias("default"),
+        "constraint_type", "constraint_name", "refers_to", "update_rule", "delete_rule",
+    )
+    if comments is not None:
+        out = out.join(comments, ["schema", "table", "column"], "left")
+    return out.orderBy("schema", "table", "ordinal", "constraint_name")
 
 
 # The watermark that stands for "nothing read yet" of each kind.

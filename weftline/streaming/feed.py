@@ -1,19 +1,25 @@
 """Event feeds: poll a growing table past a watermark, filter by rules, run linked jobs, keep an audit table.
 
-A feed is a Structured Streaming query: its source's offsets are the watermark and its checkpoint persists
-them.  Each micro-batch is one poll.
+A feed over files is a Structured Streaming query: its source's offsets are the watermark and its checkpoint
+persists them.  Each micro-batch is one poll.  A feed over a table that grows past a watermark column polls it
+tick by tick and keeps the watermark itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import rules_filter
+from ..plans.spec import build
+from ..sources.sql import encode_watermark, poll_increment
 
+Job = Callable[[DataFrame, int], None]
+WATERMARK = "poll long, watermark string"
 AUDIT = "poll long, status string, events long, matched long, error string, event_sample string"
 
 
@@ -27,43 +33,104 @@ def after(stream: DataFrame, column: str, start) -> DataFrame:
     return stream.where(F.col(column) > F.lit(start))
 
 
+def _audit(spark: SparkSession, path: str, row: tuple) -> None:
+    spark.createDataFrame([row], AUDIT).coalesce(1).write.mode("overwrite").parquet(f"{path}/poll={row[0]:012d}")
+
+
+def _fire(batch: DataFrame, number: int, rules: list[dict], jobs: list[tuple[int, Job]], audit_path: str) -> None:
+    """One poll: count and filter its events, run the jobs if any match, keep the audit row up to date."""
+    spark, events, matched, sample = batch.sparkSession, 0, 0, None
+    _audit(spark, audit_path, (number, "running", 0, 0, None, None))
+    batch = batch.persist()
+    try:
+        events = batch.count()
+        hit = rules_filter(batch, rules)
+        matched = hit.count()
+        if matched:
+            sample = hit.select(F.to_json(F.struct("*"))).first()[0]
+            for _, job in sorted(jobs, key=lambda j: j[0]):
+                job(hit, number)
+        _audit(spark, audit_path, (number, "completed" if matched else "no_events", events, matched, None, sample))
+    except Exception as error:
+        _audit(spark, audit_path, (number, "failed", events, matched, str(error)[:500], sample))
+        raise
+    finally:
+        batch.unpersist()
+
+
 def run_feed(
-    stream: DataFrame, rules: list[dict], jobs: list[tuple[int, Callable[[DataFrame, int], None]]],
+    stream: DataFrame, rules: list[dict], jobs: list[tuple[int, Job]],
     audit_path: str, checkpoint: str, available_now: bool = True, interval: str = "60 seconds",
 ):
     """Start the feed.  ``jobs`` are (priority, function of the matching events and the poll number).
 
-    The events of a poll are counted and sampled in one pass over the cached batch; jobs run by priority when
-    at least one event matches.  A failed poll is audited and stops the feed.  The audit row of a poll has a
-    folder of its own, so a poll that is run again after a failure replaces its row.
+    The events of a poll are counted and sampled over the cached batch; jobs run by priority when at least one
+    event matches.  A failed poll is audited with the counts it came to, and stops the feed.  The audit row of a
+    poll has a folder of its own, so a poll that is run again after a failure replaces its row.
     """
-
-    def poll(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        error = None
-        try:
-            hit = rules_filter(batch, rules)
-            matched = hit.count()
-            events = batch.count()
-            sample = hit.select(F.to_json(F.struct("*"))).first() if matched else None
-            if matched:
-                for _, job in sorted(jobs, key=lambda j: j[0]):
-                    job(hit, number)
-            row = (number, "completed" if matched else "no_events", events, matched, None, sample[0] if sample else None)
-        except Exception as e:  # noqa: BLE001 - audited, then raised again
-            error = e
-            row = (number, "failed", 0, 0, str(e)[:500], None)
-        finally:
-            batch.unpersist()
-        spark.createDataFrame([row], AUDIT).coalesce(1).write.mode("overwrite").parquet(f"{audit_path}/poll={number:012d}")
-        if error is not None:
-            raise error
-
+    poll = lambda batch, number: _fire(batch, number, rules, jobs, audit_path)
     writer = stream.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime=interval).start()
 
 
+def spec_job(spec: dict, node: str, sink: Callable[[DataFrame, str, int], None], targets: Callable[[dict], DataFrame] | None = None) -> Job:
+    """A job specification as a job of a feed: the events are the rows of its node ``node``.
+
+    Every sink's frame goes to ``sink``, with the sink's id and the poll number.
+    """
+
+    def job(events: DataFrame, number: int) -> None:
+        built = build(events.sparkSession, spec, targets, given={node: events})
+        for name in built.sinks:
+            sink(built.result(name), name, number)
+
+    return job
+
+
+def poll_table(
+    read: Callable[[], DataFrame], column: str, kind: str, rules: list[dict], jobs: list[tuple[int, Job]], state_path: str, batch: int = 100,
+    start: str | None = None, **options,
+) -> int:
+    """One poll of a growing table: its next rows past the watermark, filtered, handed to the jobs and audited.
+
+    The number of rows polled is returned.  The watermark is kept under ``state_path`` after the poll's jobs, and
+    only then: a poll that failed, or was lost, is made again with the same number.  ``start`` is the first
+    watermark (see initial_watermark for "from now").  ``read`` gives the table as it is now, from any source;
+    filter, order and limit reach it as far as Spark pushes them down.  ``options`` are those of poll_increment.
+    """
+    table = read()
+    spark, marks = table.sparkSession, f"{state_path}/watermark"
+    last = spark.read.schema(WATERMARK).option("recursiveFileLookup", True).parquet(marks) if _exists(spark, marks) else spark.createDataFrame([], WATERMARK)
+    row = last.orderBy(F.desc("poll")).first()
+    number, mark = (row["poll"] + 1, row["watermark"]) if row else (0, start)
+    events = poll_increment(table, column, mark, kind, batch=batch, **options).persist()
+    try:
+        _fire(events, number, rules, jobs, f"{state_path}/audit")
+        polled, top = events.agg(F.count(F.lit(1)), F.max(column)).first()
+    finally:
+        events.unpersist()
+    if polled:
+        new = spark.createDataFrame([(number, encode_watermark(top, kind))], WATERMARK)
+        new.coalesce(1).write.mode("overwrite").parquet(f"{marks}/poll={number:012d}")
+    return polled
+
+
+def run_table_feed(spark: SparkSession, checkpoint: str, interval: str = "60 seconds", **poll):
+    """Poll a table for ever: a streaming query whose ticks are polls (arguments of poll_table)."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (
+        ticks.writeStream.foreachBatch(lambda tick, number: poll_table(**poll) and None)
+        .option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    )
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT).parquet(f"{path}/poll=*")
 
