@@ -42,7 +42,7 @@ CHUNK = 8_000
 MEET_BYTES = 16 << 20
 COMPARED = 200_000
 #: Packed batches for each task of a shuffle: so many even out.
-SPREAD = 16
+SPREAD = 8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Kinds of scanned rows: an anchor, one that is known to be repeated, a witness of such, a covered span.
@@ -248,15 +248,20 @@ def _contexts(length: int, parts: int):
 
     def rows(data, at, start, end, hot, doc, key, hashes):
         prefix, h, least = hashes
-        lo, hi, segment = np.maximum(at - left, start), np.minimum(at + length, end), h[at].view(np.int64)
+        # only strings whose least k-mer is at the anchor need it; they follow each other
+        front, back = np.zeros(len(at), dtype=np.int64), np.full(len(at), left)
+        for o in range(left + 1):
+            p = at - o
+            mine = (p >= start) & (p < len(least))
+            mine[mine] = least[p[mine]] == h[at[mine]]
+            front[mine], back = o, np.where(mine, np.minimum(back, o), back)
+        lo, hi, segment = at - front, np.minimum(at - back + length, end), h[at].view(np.int64)
         s_key = s_lo = s_hi = np.zeros(0, dtype=np.int64)
         if hot.any():
-            # strings whose least k-mer is at the anchor
-            i = np.repeat(np.flatnonzero(hot), left + 1)
-            p = at[i] - np.tile(np.arange(left + 1), int(hot.sum()))
-            ok = (p >= start[i]) & (p + length <= end[i])
-            ok[ok] = least[p[ok]] == h[at[i[ok]]]
-            i, p, cold = i[ok], p[ok], np.flatnonzero(~hot)
+            each, cold = np.flatnonzero(hot), np.flatnonzero(~hot)
+            n = hi[each] - length - lo[each] + 1
+            i = np.repeat(each, n)
+            p = np.repeat(lo[each] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
             string = mix(span_hashes(prefix, p, p + length)).view(np.int64)
             n = len(cold)
             i, lo, hi = np.append(cold, i), np.append(lo[cold], p), np.append(hi[cold], p + length)
@@ -346,8 +351,25 @@ class SuffixSorter:
         return np.where(common >= self.longest, 0, np.sign(self.values[a, at].astype(np.int64) - self.values[b, at].astype(np.int64)))
 
     def sort(self, segment: np.ndarray) -> np.ndarray:
-        """The order of the rows (grouped by ``segment``) that sorts each segment."""
-        n = len(segment)
+        """The order of the rows (grouped by ``segment``) that sorts each segment.
+
+        Suffixes of a segment that are equal by the hash of their whole length are sorted as one.
+        """
+        x = np.arange(len(segment)) * self.longest
+        whole = (self.prefix[x + self.longest] - self.prefix[x]) * self.down[x]
+        whole = mix(whole) >> self.shift
+        alike = np.lexsort((whole, segment))
+        new = np.append(True, (segment[alike][1:] != segment[alike][:-1]) | (whole[alike][1:] != whole[alike][:-1]))
+        first = np.flatnonzero(new)
+        order = self._merged(alike[first], segment[alike[first]])
+        sizes = np.diff(np.append(first, len(alike)))
+        ends = np.cumsum(sizes[order])
+        at = np.repeat(first[order] - np.append(0, ends[:-1]), sizes[order]) + np.arange(len(alike))
+        return alike[at]
+
+    def _merged(self, rows: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """The order of ``rows`` (grouped by ``segment``) by merge sort."""
+        n = len(rows)
         perm = np.arange(n)
         first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
         sizes = np.diff(np.append(first, n))
@@ -362,7 +384,7 @@ class SuffixSorter:
             from_, mine, right = lo.copy(), perm[slot], (run & 1).astype(bool)
             while (open_ := np.flatnonzero(lo < hi)).size:
                 mid = (lo[open_] + hi[open_]) >> 1
-                sign = self.order(perm[base[slot[open_]] + mid], mine[open_])
+                sign = self.order(rows[perm[base[slot[open_]] + mid]], rows[mine[open_]])
                 below = (sign < 0) | ((sign == 0) & right[open_])
                 lo[open_] = np.where(below, mid + 1, lo[open_])
                 hi[open_] = np.where(below, hi[open_], mid)
@@ -493,7 +515,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         *([F.col("text").isNull().alias("was_null"), *carry] if carry else []),
     ).withColumn("key", F.xxhash64("doc_id", "text"))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = spark.sparkContext.defaultParallelism
     n = max(least, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // MEET_BYTES + 1)
     found = stored(
         docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "key")
