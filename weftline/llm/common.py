@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a word is a maximal run of anything but these separators.
 SEPARATOR_PATTERN = r"[\x20\x09-\x0D]+"
+SEPARATORS = " \t\n\x0b\x0c\r"
 
 #: Spark's own setting to delete the shuffle files of a query at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,11 +19,19 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BROADCAST_IDS = 1_000_000
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+def checkpoint_folder(spark: SparkSession, shared: bool = False) -> str:
+    """The shared folder of ``spark.checkpoint.dir``: its own part for this session, or (``shared``) as it is named.
+
+    Where it is unset, a temporary one in local mode only.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and named:
+        return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -49,18 +56,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, times: int = 3) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    Its cleaner acts when the driver's JVM collects garbage, which a small driver heap may put off until
-    long after the disk is needed.
-    """
-    for _ in range(times):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

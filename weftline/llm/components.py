@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -18,10 +18,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Nulls and self-links are ignored; repeated links and either direction are fine; no links give
     an empty table.  Each round is two joins on the node, so a node of many links is a skewed key
-    that adaptive execution splits; minima are combined before the shuffle.  The shuffle files of a
-    round are released behind its checkpoint.  Only a count and a checksum of the links reach the driver.
+    that adaptive execution splits; minima are combined before the shuffle.  Each round's links are a
+    stored table.  Only a count and a checksum of the links reach the driver.
     """
-    edges = checkpointed(
+    edges = stored(
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     before = _signature(edges)
@@ -32,9 +32,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _signature(edges)
-        release(edges.sparkSession, 1)
         if now == before:
             break
         before = now
