@@ -1,9 +1,13 @@
 """Embedding near-duplicates by a random-projection tree forest.
 
-Each tree splits the space by random directions at the median of a bounded sample.  A vector close to a
-split goes to both sides (spill), so that near vectors share a leaf of at least one tree.  Every row is
-routed through every tree; a task that holds an over-full leaf goes on splitting it at random; within the
-final leaves vectors are compared in double precision.
+Each tree splits the space by random directions at the median of a bounded sample, deeper the more rows there
+are.  A vector close to a split goes to both sides (spill), so that near vectors share a leaf of at least one
+tree.  Every row is routed through every tree, and within leaves all vectors are compared in double precision:
+a leaf of more than ``BLOCK`` vectors in pairs of blocks, each a task's group of its own.
+
+A row carries the leaves that it reaches, so a pair counts in the first leaf that both reach and nowhere else.
+A leaf gives one row for each vector with a link: how many links it found, and the first vector of the
+vectors that its links join, so no list of pairs is ever written.
 """
 
 from __future__ import annotations
@@ -13,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 from .components import connected_components
 
 #: Vectors the trees are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
+#: The most vectors of a leaf that are compared in one group.
+BLOCK = 2_048
+#: Routed rows in one task.
+TASK_ROWS = 100_000
 
 
 class Tree:
@@ -59,31 +67,6 @@ class Tree:
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def split(x: np.ndarray, index: np.ndarray, leaf: int, spill: float, rng, depth: int = 0) -> list[np.ndarray]:
-    """Go on splitting one leaf at random, with spill, until its parts are small or do not get smaller."""
-    if len(index) <= leaf or depth > 40:
-        return [index]
-    d = rng.normal(size=x.shape[1])
-    p = x[index] @ (d / np.linalg.norm(d))
-    t = np.median(p)
-    lo, hi = index[p < t + spill], index[p >= t - spill]
-    if max(len(lo), len(hi)) > 0.9 * len(index):
-        return [index]  # a tight cluster: compared whole, in blocks
-    return split(x, lo, leaf, spill, rng, depth + 1) + split(x, hi, leaf, spill, rng, depth + 1)
-
-
-def close_pairs(x: np.ndarray, index: np.ndarray, threshold: float, block: int = 1024):
-    """Pairs of rows of a final leaf with a cosine of at least the threshold; blocks bound the memory."""
-    for i in range(0, len(index), block):
-        a = index[i : i + block]
-        for j in range(i, len(index), block):
-            b = index[j : j + block]
-            r, c = np.nonzero(x[a] @ x[b].T >= threshold)
-            if i == j:
-                r, c = r[r < c], c[r < c]
-            yield a[r], b[c]
-
-
 def _unit(column: pa.Array) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -91,48 +74,118 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _route(shared, spill: float):
+    """The leaves of each row, numbered over all trees; a length without trees has the one leaf -1."""
+
     def run(batches):
-        forest = shared.value
+        forests = shared.value
         for batch in batches:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                x = _unit(part.column("embedding"))
-                trees = forest if forest and forest[0].directions.shape[1] == dim else []
-                for t, tree in enumerate(trees or [None]):
-                    row, leaf = tree.route(x, spill) if tree else (np.arange(len(x)), np.zeros(len(x), np.int64))
-                    own = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "label": own.column("label"), "dim": own.column("dim"), "tree": pa.array(np.full(len(row), t if tree else -1), pa.int32()),
-                            "leaf": pa.array(leaf, pa.int64()), "rep": own.column("rep"), "embedding": own.column("embedding"),
-                        }
-                    )
+                trees = forests.get(int(dim))
+                if trees is None:
+                    leaves = pa.array([[-1]] * part.num_rows, pa.list_(pa.int32()))
+                else:
+                    x, rows, numbers, first = _unit(part.column("embedding")), [], [], 0
+                    for tree in trees:
+                        row, leaf = tree.route(x, spill)
+                        rows.append(row)
+                        numbers.append(leaf + first)
+                        first += tree.leaves
+                    row, number = np.concatenate(rows), np.concatenate(numbers)
+                    order = np.lexsort((number, row))
+                    offsets = np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32)
+                    leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in ("label", "dim", "rep", "n", "embedding")] + [leaves], ["label", "dim", "rep", "n", "embedding", "leaves"]
+                )
 
     return run
 
 
-def _compare(threshold: float, leaf: int, spill: float):
-    names = ["label", "dim", "tree", "leaf"]
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of the rows that pairs (a, b) join each row to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
-    def run(batches):
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
+
+def leaf_links(x: np.ndarray, weight: np.ndarray, block: np.ndarray, earlier: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links found, first joined row) of each row of a group.
+
+    ``block`` deals the rows to two blocks that are compared with each other, or to one that is compared with
+    itself; ``earlier`` marks the leaves before this one that each row reaches: pairs that share one count there.
+    """
+    links, pairs = np.zeros(len(x), dtype=np.int64), []
+    kinds = np.unique(block)
+    one = np.flatnonzero(block == kinds[0])
+    other = np.flatnonzero(block == kinds[-1])
+    for i in range(0, len(one), 512):
+        a = one[i : i + 512]
+        r, c = np.nonzero(x[a] @ x[other].T >= threshold)
+        r, c = a[r], other[c]
+        ok = r < c if len(kinds) == 1 else np.ones(len(r), dtype=bool)
+        r, c = r[ok], c[ok]
+        for k in range(0, len(r), 1 << 16):
+            u, v = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+            own = ~(earlier[u] & earlier[v]).any(axis=1)
+            u, v = u[own], v[own]
+            np.add.at(links, u, weight[v])
+            np.add.at(links, v, weight[u])
+            pairs.append(np.stack([u, v]))
+    if not pairs:
+        return links, np.arange(len(x))
+    return links, _joined(len(x), *np.concatenate(pairs, axis=1))
+
+
+def _compare(threshold: float):
+    """Groups come in order; one is held at a time."""
+    names = ["label", "dim", "leaf", "p", "q"]
+
+    def compared(parts: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        if t.num_rows < 2:
             return
-        t = pa.Table.from_batches(kept).combine_chunks().sort_by([(n, "ascending") for n in [*names, "rep"]])
-        keys = np.stack([t[n].to_numpy() for n in names])
-        starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]).tolist() + [t.num_rows]
-        for lo, hi in zip(starts, starts[1:]):
-            if hi - lo < 2:
+        p, q = t["p"][0].as_py(), t["q"][0].as_py()
+        block = t["own"].to_numpy()
+        if p != q and len(np.unique(block)) < 2:
+            return
+        x, leaf = _unit(t["embedding"].combine_chunks()), t["leaf"][0].as_py()
+        lists = t["leaves"].combine_chunks()
+        number, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+        before = number < leaf
+        seen, place = np.unique(number[before], return_inverse=True)
+        bits = np.zeros((len(x), max(len(seen), 1)), dtype=bool)
+        bits[row[before], place] = True
+        links, first = leaf_links(x, t["n"].to_numpy(), block, np.packbits(bits, axis=1), threshold)
+        rep = t["rep"].to_numpy()
+        some = np.flatnonzero(links)
+        if len(some):
+            yield pa.RecordBatch.from_pydict({"a": rep[some], "b": rep[first[some]], "links": links[some]})
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            part = t.slice(lo, hi - lo)
-            x, rep = _unit(part["embedding"].combine_chunks()), part["rep"].to_numpy()
-            rng = np.random.default_rng(int(keys[2, lo]) + 2)
-            whole = keys[2, lo] < 0
-            for index in [np.arange(hi - lo)] if whole else split(x, np.arange(hi - lo), leaf, spill, rng):
-                for a, b in close_pairs(x, index, threshold):
-                    if len(a):
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+            keys = np.stack([batch.column(n).to_numpy() for n in names])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                key = tuple(keys[:, lo])
+                if held and key != last:
+                    yield from compared(held)
+                    held = []
+                last = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from compared(held)
 
     return run
 
@@ -145,57 +198,81 @@ def embedding_duplicates(
     Vectors are linked when their labels are equal and not null and their cosine, in double precision, is at
     least ``threshold``.  Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without an id, link with nothing.  Equal vectors of a label are one class: compared once, their links to
-    each other counted without listing them.  Vectors of another length than the sample's most frequent one
-    are compared whole by label.  component_id is the smallest vec_id reachable by links.  Repeated rows
-    (equal ids too) count as one vector.  Other columns are ignored; an empty table gives an empty result.
+    each other counted without listing them.  component_id is the smallest vec_id reachable by links.  Repeated
+    rows (equal ids too) count as one vector.  Other columns are ignored; an empty table gives an empty result.
+
+    The trees are fitted on at most ``sample`` vectors (the first by a hash); they are split down to the share
+    of the sample that stands for ``leaf`` rows of the table, but to no less than four vectors.  Lengths of fewer
+    than ``leaf`` sampled vectors have no trees and are compared whole, by label and in blocks.
     """
+    spark = embeddings.sparkSession
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     fine = (
         F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
     )
-    rows = checkpointed(
+    # single precision, if given, is kept until vectors are compared
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = stored(
         embeddings.select(
-            F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
-            F.col("embedding").cast("array<double>").alias("embedding"),
-        ).withColumn("fine", fine).withColumn("digest", F.when(F.col("fine"), F.xxhash64("embedding")))
+            F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"),
+        ).withColumn("fine", fine)
+        # minus zero equals zero
+        .withColumn("embedding", F.when(F.col("fine"), F.transform("embedding", lambda v: v + F.lit(0).cast(kind[6:-1]))))
     )
-    ids = rows.where("fine").select("label", "digest", "embedding", "vec_id").distinct()
-    classes = checkpointed(
-        ids.groupBy("label", "digest", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    ids = rows.where("fine").select("label", "embedding", "vec_id").distinct()
+    classes = stored(
+        ids.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
         .withColumn("dim", F.size("embedding").cast("long"))
+        # an id with several vectors stands for several classes
+        .withColumn("class", F.xxhash64("label", "embedding"))
+    )
+    count = classes.count()
+    picked = classes.orderBy(F.xxhash64("class"), "class").select("embedding", "dim").limit(sample).collect()
+    by_dim: dict[int, list] = {}
+    for r in picked:
+        by_dim.setdefault(r["dim"], []).append(r["embedding"])
+    forests = {}
+    for dim, vectors in sorted(by_dim.items()):
+        if len(vectors) >= leaf:
+            x = np.array(vectors, dtype=np.float64)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            share = max(leaf * len(picked) // max(count, 1), 4)
+            forests[dim] = [Tree(x, share, np.random.default_rng(1000 + t)) for t in range(trees)]
+    shared = spark.sparkContext.broadcast(forests)
+    routed = classes.select("label", "dim", F.col("class").alias("rep"), "n", "embedding").mapInArrow(
+        _route(shared, spill), f"label long, dim long, rep long, n long, embedding {kind}, leaves array<int>"
     )
-    picked = classes.orderBy(F.xxhash64("rep"), "rep").select("embedding", "dim").limit(sample).collect()
-    forest = []
-    if picked:
-        dims = [r["dim"] for r in picked]
-        dim = max(sorted(set(dims)), key=dims.count)
-        x = np.array([r["embedding"] for r in picked if r["dim"] == dim], dtype=np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        forest = [Tree(x, leaf, np.random.default_rng(1000 + t)) for t in range(trees)]
-    shared = embeddings.sparkSession.sparkContext.broadcast(forest)
-    n = max(int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    routed = classes.select("label", "dim", "rep", "embedding").mapInArrow(
-        _route(shared, spill), "label long, dim long, tree int, leaf long, rep long, embedding array<double>"
+    routed = stored(routed)
+    each = routed.select("label", "dim", F.explode("leaves").alias("leaf"))
+    sizes = each.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+    total = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("blocks")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS + 1)
+    dealt = (
+        routed.withColumn("leaf", F.explode("leaves")).join(sizes.drop("size"), ["label", "dim", "leaf"])
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("label", "dim", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "leaves", "embedding")
     )
-    pairs = checkpointed(
-        routed.repartition(n, "label", "dim", "tree", "leaf")
-        .mapInArrow(_compare(threshold, leaf, spill), "a long, b long").distinct()
+    key = ["label", "dim", "leaf", "p", "q"]
+    found = stored(
+        dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "a long, b long, links long")
     )
-    sizes = classes.select("rep", "n")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("n").alias("others"))
-    group = connected_components(pairs)
-    found = (
-        classes.join(links, F.col("rep") == F.col("a"), "left").join(group, F.col("rep") == F.col("node"), "left")
-        .select("label", "digest", "embedding", "rep", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component_id"))
+    group = connected_components(found)
+    links = found.groupBy("a").agg(F.sum("links").alias("others"))
+    out = (
+        classes.join(links, F.col("class") == F.col("a"), "left").join(group, F.col("class") == F.col("node"), "left")
+        .select("label", "embedding", "class", "rep", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                F.coalesce("component", "class").alias("component"))
     )
+    first = out.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = out.join(first, "component").select("label", "embedding", "n_links", "component_id")
     alone = rows.where("not fine").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
     )
-    linked = rows.where("fine").join(found, ["label", "digest", "embedding"]).select(
+    linked = rows.where("fine").join(out, ["label", "embedding"]).select(
         "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
     )
     return linked.unionByName(alone)
