@@ -1,9 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a key meet: a key is a line of at least ``min_words`` words, or two lines in a row,
-however many documents hold it, so that no verdict depends on the size of the input.  For each key a document
-meets only the smallest document that holds it; the line sequences of the two are aligned by patience diff, and the aligned common
-blocks are deleted from the later document.
+Documents that share a key meet: a key is a line of at least ``min_words`` words, or two lines in a row.  Two
+documents that meet are aligned by patience diff on their lines, and the aligned common blocks are deleted from
+the later one.
+
+First a document meets the smallest holder of each of its keys.  Where that leaves a line of a key, it also meets
+the other earlier holders: all of them if the key is rare (``rare`` documents at most), else ``rare`` of them, one of
+each group by a hash.  So however many documents hold a line, it is a key, and no line is ever left because of its
+number; what a common key cannot promise is that every crossing of its holders has been tried.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_PATTERN, checkpointed
+from .common import SEPARATOR_PATTERN, SEPARATORS, stored
 
 
 def longest_common(a: list, b: list) -> list[tuple[int, int]]:
@@ -118,60 +122,77 @@ def _align(min_words: int):
     return run
 
 
-def repeated_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, mark, n_partners, gone): for each document with deletions the positions of its deleted lines.
+def _keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, mark, key) of each document; with a column ``gone`` only keys of which a line is not among those."""
+    left = (lambda i: ~F.array_contains("gone", i)) if "gone" in docs.columns else (lambda i: F.lit(True))
+    at = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.element_at("words", i + 1).alias("n"), i.alias("i")))
+    solid = docs.select("doc_id", "mark", *(["gone"] if "gone" in docs.columns else []), F.filter(at, lambda x: x["line"].isNotNull()).alias("s"))
+    single = F.transform(F.filter("s", lambda x: (x["n"] >= min_words) & left(x["i"])), lambda x: x["line"])
+    pairs = F.zip_with(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    double = F.transform(F.filter(pairs, lambda p: left(p["x"]["i"]) | left(p["y"]["i"])), lambda p: F.xxhash64(p["x"]["line"], p["y"]["line"], F.lit(2)))
+    return solid.select("doc_id", "mark", F.explode(F.array_distinct(F.concat(single, double))).alias("key"))
+
+
+def _aligned(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, mark, gone) of each of the distinct pairs (doc_id, mark, head) with a common block."""
+    other = docs.select(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark"), F.col("lines").alias("head_lines"))
+    return (
+        pairs.join(docs, ["doc_id", "mark"])
+        .join(other, (F.col("head.doc_id") == F.col("h_id")) & (F.col("head.mark") == F.col("h_mark")))
+        .select("doc_id", "mark", "lines", "words", "head_lines")
+        .mapInArrow(_align(min_words), "doc_id long, mark long, gone array<int>").where(F.size("gone") > 0)
+    )
+
+
+def repeated_lines(documents: DataFrame, min_words: int = 5, rare: int = 64) -> DataFrame:
+    """(doc_id, mark, n_partners, gone): for each document with deletions the positions of its deleted lines, and
+    the number of earlier documents, among those it met, whose alignment deletes a line.
 
     mark is a hash of the text, so that rows that share an id but not a text keep their own findings.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SEPARATORS)))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), lines.alias("raw"))
     docs = docs.where("doc_id is not null").select(
         "doc_id", "mark",
         F.transform("raw", lambda x: F.size(F.array_remove(F.split(x, SEPARATOR_PATTERN), ""))).alias("words"),
-        F.transform("raw", lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x))).alias("lines"),
-    )
-    docs = checkpointed(docs.dropDuplicates(["doc_id", "mark"]))
-    each = docs.select("doc_id", "mark", F.posexplode(F.arrays_zip("lines", "words")).alias("i", "x"), "lines")
-    single = each.where((F.col("x.lines").isNotNull()) & (F.col("x.words") >= min_words)).select(
-        "doc_id", "mark", F.col("x.lines").alias("key"), F.lit(False).alias("double")
-    )
-    solid = docs.select("doc_id", "mark", F.filter("lines", lambda x: x.isNotNull()).alias("solid"))
-    double = solid.select(
-        "doc_id", "mark",
-        F.explode(F.transform(F.slice("solid", 1, F.greatest(F.size("solid") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.col("solid")[i + 1]))).alias("key"),
-        F.lit(True).alias("double"),
-    )
-    keys = single.unionByName(double).distinct()
-    heads = keys.groupBy("key", "double").agg(
-        F.min(F.struct("doc_id", "mark")).alias("head"), F.count(F.lit(1)).alias("df")
-    ).where(F.col("df") > 1)
-    pairs = (
-        keys.join(heads, ["key", "double"]).where(F.col("doc_id") > F.col("head.doc_id"))
-        .select("doc_id", "mark", "head").distinct()
-    )
-    other = docs.select(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark"), F.col("lines").alias("head_lines"))
-    aligned = (
-        pairs.join(docs, ["doc_id", "mark"])
-        .join(other, (F.col("head.doc_id") == F.col("h_id")) & (F.col("head.mark") == F.col("h_mark")))
-        .select("doc_id", "mark", "lines", "words", "head_lines")
-        .mapInArrow(_align(min_words), "doc_id long, mark long, gone array<int>")
+        F.transform("raw", lambda x: F.when(x != "", F.xxhash64(x))).alias("lines"),
     )
-    return aligned.where(F.size("gone") > 0).groupBy("doc_id", "mark").agg(
+    docs = stored(docs.dropDuplicates(["doc_id", "mark"]))
+    holder = F.struct("doc_id", "mark")
+    keys = _keys(docs, min_words)
+    heads = keys.groupBy("key").agg(F.min(holder).alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    heads = stored(heads)
+    later = keys.join(heads, "key").where(F.col("doc_id") > F.col("head.doc_id"))
+    tried = stored(later.select("doc_id", "mark", "head").distinct())
+    first = stored(_aligned(docs, tried, min_words))
+    # what the first round left
+    gone = first.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    met = tried.select("doc_id", "mark").distinct().join(gone, ["doc_id", "mark"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    alive = _keys(docs.join(met, ["doc_id", "mark"]), min_words).join(heads.where("df > 2").select("key", "df"), "key")
+    alive = stored(alive)
+    few = keys.join(alive.where(F.col("df") <= rare).select("key").distinct(), "key").select("key", holder.alias("head"))
+    groups = keys.join(alive.where(F.col("df") > rare).select("key").distinct(), "key")
+    groups = groups.groupBy("key", F.pmod(F.xxhash64("doc_id", "key"), F.lit(rare))).agg(F.min(holder).alias("head")).select("key", "head")
+    more = alive.join(few.unionByName(groups), "key").where(F.col("doc_id") > F.col("head.doc_id")).select("doc_id", "mark", "head").distinct()
+    more = more.join(tried, ["doc_id", "mark", "head"], "left_anti")
+    found = first.unionByName(_aligned(docs, more, min_words))
+    return found.groupBy("doc_id", "mark").agg(
         F.count(F.lit(1)).alias("n_partners"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")
     )
 
 
-def line_dedup(documents: DataFrame, min_words: int = 5) -> DataFrame:
+def line_dedup(documents: DataFrame, min_words: int = 5, rare: int = 64) -> DataFrame:
     """All columns of ``documents`` that a document has (doc_id, text, lang, source, n_chars), with the
     repeated blocks deleted from ``text``, and n_lines, n_deleted and n_partners.
 
-    Lines are compared without surrounding spaces; lines without a word are never deleted.  n_chars follows
+    Lines are compared without surrounding white space, ends of CRLF lines included; lines without a word are
+    never deleted.  n_chars follows
     a changed text.  Null texts stay null and have no lines; texts without deletions are unchanged, empty and
     very long ones included; a row without an id is left alone; documents of equal id never delete each
     other's lines; an empty table gives an empty result.
     """
-    gone = repeated_lines(documents, min_words).withColumnRenamed("doc_id", "g_id").withColumnRenamed("mark", "g_mark")
+    gone = repeated_lines(documents, min_words, rare).withColumnRenamed("doc_id", "g_id").withColumnRenamed("mark", "g_mark")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(*[c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in documents.columns])
     docs = docs.withColumn("_mark", F.xxhash64(text)).join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("_mark") == F.col("g_mark")), "left")
