@@ -1,8 +1,9 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic model over word and word-prefix presence.  For each labelled text that mentions an identity
-term, a counterfactual is made in which each term is swapped for another of its family; the loss adds a
-penalty on the squared difference of the two scores, so that a mention of a group cannot move a score.
+A logistic model over word and word-prefix presence.  Counterfactuals of labelled texts differ from them in
+identity terms only: each term is swapped for another of its family; the terms are taken out; and a text
+without such terms gets one.  The loss adds a penalty on the squared differences between the scores of a text
+and its counterfactuals, so that a mention of a group, of whichever one, cannot move a score.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
-#: Families of identity terms; a counterfactual swaps a term for the next of its family.
+#: Families of identity terms.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -35,10 +36,9 @@ IDENTITY_TERMS = (
 )
 #: Characters of the prefix features; they catch inflected and compounded forms.
 PREFIX = 5
-#: A feature counts when its share of toxic texts is so many standard deviations from the base rate.
-CLEAR = 4.0
 
 _SWAP = {t: family[(i + 1) % len(family)] for family in IDENTITY_TERMS for i, t in enumerate(family)}
+_TERMS = sorted(_SWAP)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,46 +48,53 @@ def tokens(text: str | None) -> set[str]:
     return words | {w[:PREFIX] + "*" for w in words if len(w) >= PREFIX}
 
 
-def counterfactual(features: set[str]) -> set[str] | None:
-    """The features after every identity term has been swapped, or None without such a term."""
+def _features(words) -> set[str]:
+    return {f for w in words for f in ((w, w[:PREFIX] + "*") if len(w) >= PREFIX else (w,))}
+
+
+def counterfactuals(features: set[str]) -> list[set[str]]:
+    """The features after every identity term has been swapped, and after all have gone; or with one term more."""
     found = features & _SWAP.keys()
     if not found:
-        return None
-    out = features - found - {w[:PREFIX] + "*" for w in found if len(w) >= PREFIX}
-    for w in found:
-        new = _SWAP[w]
-        out.add(new)
-        if len(new) >= PREFIX:
-            out.add(new[:PREFIX] + "*")
-    return out
+        # a term by rule, so that all terms are used about equally often
+        term = _TERMS[sum(len(f) for f in features) % len(_TERMS)]
+        return [features | _features([term])]
+    bare = features - _features(found)
+    return [bare | _features(_SWAP[w] for w in found), bare]
 
 
 def _explode(batches):
     for batch in batches:
-        for i in range(batch.num_rows):
-            found = sorted(tokens(batch.column("text")[i].as_py()))
-            y = batch.column("toxic")[i].as_py()
-            yield pa.RecordBatch.from_pydict({"token": pa.array(found, pa.string()), "toxic": pa.array([y] * len(found), pa.int32())})
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            found = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()) for t in sorted(tokens(text))]
+            yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in found], pa.string()), "toxic": pa.array([y for _, y in found], pa.int32())})
 
 
 def _encode(vocabulary: dict[str, int]):
     def run(batches):
         for batch in batches:
-            rows, swapped = [], []
-            for text in batch.column("text").to_pylist():
-                features = tokens(text)
-                other = counterfactual(features)
-                rows.append(sorted(vocabulary[t] for t in features & vocabulary.keys()))
-                swapped.append(None if other is None else sorted(vocabulary[t] for t in other & vocabulary.keys()))
-            yield pa.RecordBatch.from_pydict(
-                {"toxic": batch.column("toxic"), "x": pa.array(rows, pa.list_(pa.int32())), "swapped": pa.array(swapped, pa.list_(pa.int32()))}
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows, others = [], []
+                for text in part.column("text").to_pylist():
+                    features = tokens(text)
+                    known = {vocabulary[t] for t in features & vocabulary.keys()}
+                    rows.append(sorted(known))
+                    made = [{vocabulary[t] for t in other & vocabulary.keys()} for other in counterfactuals(features)]
+                    others.append([sorted(x - known) + sorted(-i - 1 for i in known - x) for x in made])
+                yield pa.RecordBatch.from_pydict(
+                    {"toxic": part.column("toxic"), "x": pa.array(rows, pa.list_(pa.int32())), "others": pa.array(others, pa.list_(pa.list_(pa.int32())))}
+                )
 
     return run
 
 
 def fit(rows: list, size: int, penalty: float = 10.0, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows of (label, feature ids, swapped feature ids or None), by Adam over all rows."""
+    """Weights and bias by Adam over all rows (label, feature ids, changes).
+
+    Each of the changes makes a counterfactual of the row: ids that come in, and ids that go as -id - 1.
+    """
     y = np.array([r[0] for r in rows], dtype=float)
     if not len(y):
         return np.zeros(size), 0.0
@@ -96,27 +103,28 @@ def fit(rows: list, size: int, penalty: float = 10.0, ridge: float = 1e-4, steps
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], dtype=np.int64)
 
     r, c = matrix([x[1] for x in rows])
-    pairs = [i for i, x in enumerate(rows) if x[2] is not None]
-    r2, c2 = matrix([rows[i][2] for i in pairs])
+    pairs = np.array([i for i, x in enumerate(rows) for _ in x[2]], dtype=np.int64)
+    r2, c2 = matrix([change for x in rows for change in x[2]])
+    sign, c2 = np.where(c2 < 0, -1.0, 1.0), np.where(c2 < 0, -c2 - 1, c2)
     n, m = len(y), max(len(pairs), 1)
     w = np.zeros(size + 1)
     w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     first, second = np.zeros_like(w), np.zeros_like(w)
 
-    def scores(row, col, k):
-        return 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(row, w[col], k), -30, 30)))
+    def chance(x):
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     for step in range(1, steps + 1):
-        p = scores(r, c, n)
+        raw = w[-1] + np.bincount(r, w[c], n)
+        p = chance(raw)
         g = np.zeros_like(w)
         e = (p - y) / n
-        if pairs:
-            a, b = p[pairs], scores(r2, c2, len(pairs))
+        if len(pairs):
+            a, b = p[pairs], chance(raw[pairs] + np.bincount(r2, sign * w[c2], len(pairs)))
             d = 2 * penalty * (a - b) / m
-            e[pairs] += d * a * (1 - a)
             back = -d * b * (1 - b)
-            g[:-1] += np.bincount(c2, back[r2], size)
-            g[-1] += back.sum()
+            np.add.at(e, pairs, d * a * (1 - a) + back)
+            g[:-1] += np.bincount(c2, sign * back[r2], size)
         g[:-1] += np.bincount(c, e[r], size) + ridge * w[:-1]
         g[-1] += e.sum()
         first = 0.9 * first + 0.1 * g
@@ -139,17 +147,20 @@ def _score(weights: dict[str, float], bias: float):
 
 
 def train(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: int = 1_500, penalty: float = 10.0
+    documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: int = 1_500, clear: float = 4.0, penalty: float = 10.0
 ) -> tuple[dict[str, float], float]:
     """Feature weights and bias, from at most ``max_rows`` labelled documents (the least by a hash of the id).
 
     The bound is the only sample: it keeps what reaches the driver (feature ids of those rows) at a few MB.
-    Rows without id or label are skipped; with no usable label every weight is 0 and the bias the base rate.
+    The model has at most ``features`` words and prefixes besides the identity terms: those whose share of toxic
+    texts lies most standard deviations, ``clear`` at least, from the base rate of the sample.  All identity terms
+    are features.  Rows without id or label are skipped; with no usable label every weight is 0 and the bias the
+    base rate.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = checkpointed(
+    sample = stored(
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(known), "doc_id")  # at most max_rows small rows
         .select("toxic", "text")
@@ -162,9 +173,9 @@ def train(
     # how far the share of toxic texts with the feature is from the base rate, in standard deviations
     rate = (p + 0.5) / (n + 1)
     strength = F.abs(F.col("q") - F.col("k") * rate) / F.sqrt(F.col("k") * F.lit(rate * (1 - rate)) + 1.0)
-    chosen = [r["token"] for r in seen.where(F.col("k") >= 3).where(strength >= CLEAR).orderBy(strength.desc(), "token").limit(features).collect()]
-    vocabulary = {t: i for i, t in enumerate(sorted({*chosen, *_SWAP}))}
-    rows = [tuple(r) for r in sample.mapInArrow(_encode(vocabulary), "toxic int, x array<int>, swapped array<int>").collect()]
+    chosen = [r["token"] for r in seen.where(F.col("k") >= 3).where(strength >= clear).orderBy(strength.desc(), "token").limit(features).collect()]
+    vocabulary = {t: i for i, t in enumerate(sorted({*chosen, *_features(_SWAP)}))}
+    rows = [tuple(r) for r in sample.mapInArrow(_encode(vocabulary), "toxic int, x array<int>, others array<array<int>>").collect()]
     weights, bias = fit(sorted(rows, key=repr), len(vocabulary), penalty)
     return {t: float(weights[i]) for t, i in vocabulary.items()}, bias
 
@@ -192,6 +203,5 @@ def toxicity(documents: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those predicted toxic; the model learns from all labels."""
-    scored = toxicity(documents, labels, ("lang", "source", "n_chars"), held_out_fold=None)
-    return scored.where("predicted = 0").select("doc_id", "text", "lang", "source", "n_chars")
+    """``documents`` without those predicted toxic; as in toxicity, the held-out fold's labels are not learnt from."""
+    return toxicity(documents, labels, ("lang", "source", "n_chars")).where("predicted = 0").select("doc_id", "text", "lang", "source", "n_chars")
