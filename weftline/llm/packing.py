@@ -97,40 +97,77 @@ def _pack(capacity: int):
         kept = [b for b in batches if b.num_rows]
         if not kept:
             return
-        t = pa.Table.from_batches(kept).sort_by("shard")
+        t = pa.Table.from_batches(kept).sort_by([("shard", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
         shard = t["shard"].to_numpy()
         edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
         for lo, hi in zip(edges, edges[1:]):
             part = t.slice(lo, hi - lo)
-            rows = pack(list(zip(*(part[c].to_pylist() for c in ("doc_id", "source", "cluster", "n_tokens")))), capacity)
+            # documents by their place, which is in the order of their ids
+            rows = pack(list(zip(range(len(part)), *(part[c].to_pylist() for c in ("source", "cluster", "n_tokens")))), capacity)
             base = int(shard[lo]) << 32
-            names = ["doc_id", "chunk", "start_token", "n_tokens", "bin_id"]
-            columns = list(zip(*rows))
-            columns[4] = [None if b is None else base + b for b in columns[4]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            place, *columns = zip(*rows)
+            columns[3] = [None if b is None else base + b for b in columns[3]]
+            own = part.select(["doc_id", "row"]).combine_chunks().take(pa.array(place, pa.int64()))
+            columns = [own["doc_id"].combine_chunks(), own["row"].combine_chunks(), *(pa.array(c, pa.int64()) for c in columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "chunk", "start_token", "n_tokens", "bin_id"])
 
     return run
 
 
-def best_fit(documents: DataFrame, capacity: int = 2048, shard_rows: int = 20_000) -> DataFrame:
-    """(doc_id, chunk, start_token, n_tokens, bin_id): each document's pieces and the bins they go to.
+def best_fit(
+    documents: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, tokens: str | None = None, cluster: str | None = None
+) -> DataFrame:
+    """(doc_id, row, chunk, start_token, n_tokens, bin_id): each document's pieces and the bins they go to.
 
-    Tokens are words.  A text longer than ``capacity`` is cut into pieces of that length and a rest.  No bin
-    holds two pieces of one source or of one duplicate cluster (texts equal but for letter case); pieces of
-    one document are of one cluster too.  Every document is packed: an empty or null text has one piece of no
-    tokens and no bin; rows without a source conflict by cluster only; repeated rows are packed as often as
-    they occur; other columns are ignored; an empty table gives an empty result.
+    ``row`` is a hash of id and text.  Tokens are words, or as many as the column ``tokens`` says (one of a tokenizer's counts); a duplicate cluster
+    is of texts equal but for letter case, or of equal values of the column ``cluster`` (one of components).  A
+    text longer than ``capacity`` is cut into pieces of that length and a rest.  No bin holds two pieces of one
+    source or of one cluster; pieces of one document are of one cluster too.  Every document is packed: an empty
+    or null text has one piece of no tokens and no bin; rows without a source conflict by cluster only; repeated
+    rows are packed as often as they occur; other columns are ignored; an empty table gives an empty result.
 
     Rows are dealt by a hash to shards of about ``shard_rows`` rows, as many as the count of rows asks for, so
-    neither a hot source nor a large cluster is gathered in one task.  Only ids and counts are shuffled.
+    neither a hot source nor a large cluster nor a row that repeats very often is gathered in one task.  Only ids
+    and counts are shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.xxhash64(F.lower(text)).alias("cluster"), F.size(word_array(text)).cast("long").alias("n_tokens"),
+        F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("source").cast("string").alias("source"),
+        (F.xxhash64(F.lower(text)) if cluster is None else F.xxhash64(F.col(cluster))).alias("cluster"),
+        (F.size(word_array(text)) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))).cast("long").alias("n_tokens"),
     )
     shards = max(1, -(-documents.count() // shard_rows))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    # repeated rows differ by their number, so they spread too
+    docs = docs.groupBy("doc_id", "row", "source", "cluster", "n_tokens").agg(F.count(F.lit(1)).alias("times"))
+    docs = docs.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64("row", "time"), F.lit(shards)))
     return docs.repartition(shards, "shard").mapInArrow(
-        _pack(capacity), "doc_id long, chunk long, start_token long, n_tokens long, bin_id long"
+        _pack(capacity), "doc_id long, row long, chunk long, start_token long, n_tokens long, bin_id long"
     )
+
+
+def piece_texts(documents: DataFrame, packed: DataFrame) -> DataFrame:
+    """``packed`` (best_fit over words) with the text of each piece: its words, joined by blanks.
+
+    A document without words has an empty piece.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.select(_row().alias("row"), "text").dropDuplicates(["row"])
+    words = F.coalesce(word_array(F.col("text")), F.array().cast("array<string>"))
+    piece = F.array_join(F.slice(words, F.col("start_token").cast("int") + 1, F.col("n_tokens").cast("int")), " ")
+    return packed.join(texts, "row").withColumn("text", piece).select("doc_id", "chunk", "start_token", "n_tokens", "bin_id", "text")
+
+
+def _row():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def bin_texts(pieces: DataFrame, capacity: int = 2048, boundary: str = "\n\n") -> DataFrame:
+    """One row a bin of ``piece_texts``: (bin_id, n_tokens, doc_ids, text), its pieces in the order of their ids.
+
+    A bin holds at most ``capacity`` tokens, so a row's size is bounded; pieces without a bin are left out.
+    """
+    rows = pieces.where("bin_id is not null").groupBy("bin_id").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("doc_id", "chunk", "text"))).alias("p")
+    )
+    return rows.select("bin_id", "n_tokens", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.array_join(F.transform("p", lambda x: x["text"]), boundary).alias("text"))

@@ -43,7 +43,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents"))
+    return best_fit(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
