@@ -3,8 +3,9 @@
 Prefix sums of turn tokens cut a conversation into slots of ``room`` tokens.  Turns that lie inside one slot
 form a window; a turn across a boundary has a window of its own.  So a window's own turns never hold more
 than ``room`` tokens unless a single turn does.  Each window starts with the conversation's system turn and
-repeats earlier turns of at most ``history`` tokens; only its own assistant texts are under the loss mask,
-so each target counts once.
+repeats earlier turns of at most ``history`` tokens; so its length is at most the system turn's, ``history``
+and ``room`` (or one longer turn).  Only its own assistant texts are under the loss mask, so each target counts
+once.  A window is put together from its own rows; only the digest by conversation holds a whole one.
 """
 
 from __future__ import annotations
@@ -62,42 +63,34 @@ def chat_windows(conversations: DataFrame, room: int = 512, history: int = 128)
     slot = F.struct(F.floor(F.col("start") / room).alias("a"), F.floor((F.col("end") - 1) / room).alias("b"))
     turns = turns.withColumn("slot", F.when(~F.col("system"), slot))
     opens = ~F.coalesce(F.lag("slot").over(by_pos) == F.col("slot"), F.lit(False)) & ~F.col("system")
-    turns = turns.withColumn("window", F.sum(opens.cast("int")).over(by_pos))
-    rows = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("system"), F.col("piece"))).alias("system"),
-        F.array_sort(F.collect_list(F.when(~F.col("system"), F.struct(
-            "pos", "window", "start", "end", "c_start", "c_end", "role", F.length("head").alias("skip"), F.length("body").alias("size"), "piece"
-        )))).alias("t"),
+    turns = turns.withColumn("opens", opens).withColumn("window", F.sum(opens.cast("int")).over(by_pos))
+    # the windows that repeat a turn begin within ``history`` tokens after its start: few, however long the conversation
+    near = W.partitionBy("conv_id").orderBy("start").rangeBetween(0, history)
+    begun = F.collect_list(F.when(F.col("opens"), F.struct("window", "start"))).over(near)
+    again = F.transform(F.filter(begun, lambda w: w["start"] > F.col("start")), lambda w: w["window"])
+    alone = F.col("system") & F.lead("pos").over(by_pos).isNull()
+    found = F.first(F.when(F.col("system"), F.col("piece")), ignorenulls=True).over(by_pos)
+    turns = turns.withColumn("lead", F.when(F.col("opens"), found).when(alone, F.lit(None).cast("string")))
+    turns = turns.withColumn("window", F.when(alone, 1).otherwise(F.col("window")))
+    turns = turns.withColumn("at", F.when(~F.col("system"), F.array_append(again, F.col("window"))).when(alone, F.array("window")))
+    each = turns.select(
+        "*", F.explode("at").alias("w")
+    ).select(
+        "conv_id", "w", "lead",
+        F.struct("pos", (F.col("w") == F.col("window")).alias("own"), "c_start", "role", F.length("head").alias("skip"), F.length("body").alias("size"), "piece").alias("t"),
     )
-    # windows as (number, first index, last index, first index of the history), all 1-based
-    firsts = F.filter(
-        F.transform("t", lambda x, i: F.when(F.coalesce(F.get("t", i - 1)["window"] != x["window"], F.lit(True)), i)), lambda i: i.isNotNull()
+    # a window's own first turn brings the system turn
+    rows = each.groupBy("conv_id", "w").agg(
+        F.max(F.when(F.col("t.own"), F.col("lead"))).alias("system"), F.array_sort(F.collect_list("t")).alias("t")
     )
-    rows = rows.withColumn("firsts", firsts)
-    windows = F.transform("firsts", lambda i, k: F.struct(
-        (k + 1).alias("window"), i.alias("first"), F.coalesce(F.get("firsts", k + 1), F.size("t")).alias("stop")
-    ))
-    rows = rows.withColumn("windows", F.when(F.size("t") > 0, windows).otherwise(
-        F.array(F.struct(F.lit(1).alias("window"), F.lit(0).alias("first"), F.lit(0).alias("stop")))
-    ))
-    each = rows.select("conv_id", "system", "t", F.explode("windows").alias("w"))
-    first, stop = F.col("w.first"), F.col("w.stop")
-    begins = F.get("t", first)["start"]
-    # the history is a run of turns right before the window: walk back through the prefix sums
-    earlier = F.slice("t", F.lit(1), first)
-    near = F.filter(earlier, lambda x: x["start"] >= begins - history)
-    each = each.withColumn("hist", F.when(first > 0, F.size(near)).otherwise(0))
-    span = F.slice("t", first - F.col("hist") + 1, stop - first + F.col("hist"))
-    system = F.coalesce("system", F.lit(""))
-    base = F.coalesce(F.get("t", first - F.col("hist"))["c_start"], F.lit(0))
+    system, base = F.coalesce("system", F.lit("")), F.col("t")[0]["c_start"]
     loss = F.transform(
-        F.filter(F.slice("t", first + 1, stop - first), lambda x: x["role"] == "assistant"),
+        F.filter("t", lambda x: x["own"] & (x["role"] == "assistant")),
         lambda x: F.struct((F.length(system) + x["c_start"] - base + x["skip"]).cast("long").alias("start"), x["size"].cast("long").alias("length")),
     )
-    repeats = F.col("hist") + F.when(F.col("system").isNotNull() & (F.col("w.window") > 1), 1).otherwise(0)
-    return each.select(
-        "conv_id", F.col("w.window").alias("window"),
-        F.concat(system, F.array_join(F.transform(span, lambda x: x["piece"]), "")).alias("text"),
+    repeats = F.size(F.filter("t", lambda x: ~x["own"])) + F.when(F.col("system").isNotNull() & (F.col("w") > 1), 1).otherwise(0)
+    return rows.select(
+        "conv_id", F.col("w").alias("window"), F.concat(system, F.array_join(F.transform("t", lambda x: x["piece"]), "")).alias("text"),
         repeats.cast("int").alias("n_repeated"), loss.alias("loss"),
     )
 
