@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxic documents go, repeated lines, near-duplicates and repeated strings go, the rest is packed."""
+"""The corpus pipeline: toxic documents go, repeated lines, near-duplicates and repeated strings go, the rest is packed.
+
+Every stage takes the columns doc_id, text, lang, source and n_chars (others, clashing names included, are
+ignored), and all but the last return them.  In any stage null and empty texts neither repeat anything nor are
+toxic and stay; rows without an id are judged by their text alone and stay unless it is toxic; an empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +15,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import checkpoint_folder, table
 from weftline.llm.line_dedup import line_dedup
-from weftline.llm.near_dedup import near_duplicates
-from weftline.llm.packing import best_fit
+from weftline.llm.near_dedup import drop_near_duplicates
+from weftline.llm.packing import best_fit, piece_texts
 from weftline.llm.suffix_dedup import suffix_dedup
 from weftline.llm.toxicity import drop_toxic
 
@@ -18,20 +24,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels of these documents, rejects go."""
+    """Documents that the classifier rejects go.
+
+    It learns from the labels of these documents, but for those of the held-out fold.  Repeated rows get equal
+    scores; without labels nothing is rejected unless most documents are toxic by the prior alone.
+    """
     return drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned blocks of lines are deleted from later documents; one of which no word is left goes."""
+    """Aligned blocks of lines are deleted from later documents; one of which no word is left goes.
+
+    Repeated rows of one id never delete each other's lines.
+    """
     cut = line_dedup(docs.select(*COLUMNS))
     return cut.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, stays of each group (five words, similarity 0.8)."""
-    gone = near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One document, that of the smallest id, stays of each group (five words, similarity 0.8).
+
+    Of repeated rows one stays; rows that share an id but not a text are documents of their own, and of such a
+    group the one of the smallest hash stays.
+    """
+    return drop_near_duplicates(docs.select(*COLUMNS), shingle_words=5, percent=80)
 
 
 def remove_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +56,11 @@ def remove_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit(docs)
+    """(doc_id, chunk, start_token, n_tokens, bin_id, text): the pieces of all documents, with their words, and their bins.
+
+    A document without words has one empty piece and no bin.
+    """
+    return piece_texts(docs, best_fit(docs))
 
 
 STAGES = [
@@ -55,13 +75,30 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result but the last is written as Parquet and read again."""
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """Apply all stages to ``documents``; each result but the last is written as Parquet and read again.
+
+    With a ``name`` the stages' tables are kept under it in the checkpoint folder, and a run that was lost goes on
+    behind its last whole table when it is started again by that name.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{number}-{name}")
-            docs = spark.read.parquet(f"{folder}/{number}-{name}")
+    folder = f"{checkpoint_folder(spark, shared=bool(name))}/pipeline-{name or uuid.uuid4().hex}"
+    for number, (stage_name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{stage_name}"
+        if number + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        if not (name and written(spark, path)):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a whole Parquet table stands at the path: Spark marks it when its last task is done."""
+    marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
+    try:
+        return not marks.load(path).select("path").isEmpty()
+    except Exception as error:  # noqa: BLE001 - a missing folder only
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return False
