@@ -42,14 +42,14 @@ CHUNK = 8_000
 MEET_BYTES = 8 << 20
 COMPARED = 100_000
 #: Packed batches for each task of a shuffle: so many even out.
-SPREAD = 8
+SPREAD = 4
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Kinds of scanned rows: an anchor, one that is known to be repeated, a witness of such, a covered span.
 PLAIN, SURE, WITNESS, SPAN = range(4)
 #: A row of a text, by its key: a span [pos, hi), else an anchor to compare, hot or not or (with its kmer) not
-#: known; without a key a hot k-mer.
-FOUND = "key long, pos int, hi int, kmer long, hot boolean"
+#: known; without a key a hot k-mer.  Of a k-mer half of its hash: hot is only how it is compared.
+FOUND = "key long, pos int, hi int, kmer int, hot boolean"
 
 
 def kmer_hashes(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def _found(key, pos, hi=None, kmer=None, hot=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "key": none if key is None else key, "pos": pa.array(pos, pa.int32()), "hi": none.cast(pa.int32()) if hi is None else pa.array(hi).cast(pa.int32()),
-            "kmer": none if kmer is None else kmer, "hot": pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot),
+            "kmer": none.cast(pa.int32()) if kmer is None else mix(kmer.view(np.uint64)).astype(np.uint32).view(np.int32), "hot": pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot),
         }
     )
 
@@ -236,7 +236,7 @@ def _meet(most: int):
     return run
 
 
-NO_ASKS = "cast(array() as array<struct<pos: int, hot: boolean>>)"
+NO_ASKS = "cast(array() as array<int>)"
 
 
 def _contexts(length: int, parts: int):
@@ -292,8 +292,8 @@ def _contexts(length: int, parts: int):
         last, held, size = None, [], 0
         for batch in batches:
             asks = batch.column("asks")
-            first, ask = asks.offsets.to_numpy(), asks.values
-            pos, hot = ask.field("pos").to_numpy(), ask.field("hot").to_numpy(zero_copy_only=False)
+            first, ask = asks.offsets.to_numpy(), asks.values.to_numpy()
+            pos, hot = ask >> 1, (ask & 1).astype(bool)
             # a row without an id asks for nothing; rows come sorted by key, so repeated ones follow each other
             ids, keys = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("key").to_numpy()
             new = np.append(len(keys) > 0 and keys[0] != last, keys[1:] != keys[:-1])[: len(keys)]
@@ -305,9 +305,9 @@ def _contexts(length: int, parts: int):
                     continue
                 part, text = first[lo] + own, text[own]
                 hashes = kmer_hashes(data, offs, length)
-                held.append(rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], hot[part].astype(bool), ids[lo + text], keys[lo + text], hashes))
+                held.append(rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], hot[part], ids[lo + text], keys[lo + text], hashes))
                 size += len(held[-1][0])
-                if size >= COMPARED:
+                if size >= 2 * COMPARED:
                     yield packed(held)
                     held, size = [], 0
         if held:
@@ -507,7 +507,7 @@ def _compare(length: int, bits: int):
 def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
     """Each row of ``documents`` as (doc_id, text, key, spans) and the columns to carry, with was_null.
 
-    ``spans`` lists the covered bytes, which may overlap; key is a hash of id and text, so that rows that share
+    ``spans`` lists the covered bytes as start * 2**32 + end; they may overlap.  key is a hash of id and text, so that rows that share
     an id but not a text keep their own findings.  ``bits`` of the hashes are used; fewer only cost time.
     """
     spark = documents.sparkSession
@@ -528,7 +528,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     if many:
         hot = hot.withColumn("known", F.lit(True))
         asked = asked.join(F.broadcast(hot) if many <= BROADCAST_IDS else hot, "kmer", "left").withColumn("hot", F.coalesce("hot", "known"))
-    asks = asked.groupBy("key").agg(F.collect_list(F.struct("pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
+    asks = asked.groupBy("key").agg(F.collect_list(F.col("pos") * 2 + F.coalesce("hot", F.lit(False)).cast("int")).alias("asks"))
     m = max(least, found.count() // COMPARED + 1)
     # both joins deal the same rows by the same key, so that Spark shuffles the texts once
     spans = (
@@ -536,7 +536,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
         .mapInArrow(_contexts(length, m * SPREAD), "part int, rows binary").repartition(m, "part")
         .mapInArrow(_compare(length, bits), "key long, lo int, hi int")
         .unionByName(found.where("hi is not null").select("key", F.col("pos").alias("lo"), "hi"))
-        .groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        .groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("spans"))
     )
     return docs.join(spans, "key", "left")
 
@@ -554,7 +554,8 @@ def runs_of(size: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.n
 def _texts(batch):
     """(bytes, run starts, run ends) of each row."""
     spans = batch.column("spans")
-    first, lo, hi = spans.offsets.to_numpy(), spans.values.field("lo").to_numpy(), spans.values.field("hi").to_numpy()
+    first, both = spans.offsets.to_numpy(), spans.values.to_numpy()
+    lo, hi = both >> 32, both & 0xFFFFFFFF
     none = np.zeros(0, dtype=np.int64)
     for i, text in enumerate(batch.column("text")):
         raw = text.as_buffer().to_pybytes()
