@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,16 +90,17 @@ def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
             return stage(spark, docs, sf_dir)
         if not (name and written(spark, path)):
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            if name:
+                spark.range(1).write.mode("overwrite").parquet(f"{path}-whole")
         docs = spark.read.parquet(path)
     return docs
 
 
 def written(spark: SparkSession, path: str) -> bool:
-    """Whether a whole Parquet table stands at the path: Spark marks it when its last task is done."""
-    marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
+    """Whether the table at the path was written to its end: another one beside it says so."""
     try:
-        return not marks.load(path).select("path").isEmpty()
-    except Exception as error:  # noqa: BLE001 - a missing folder only
-        if "PATH_NOT_FOUND" not in str(error):
+        return not spark.read.schema("id long").parquet(f"{path}-whole").isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return False
