@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, stored
+from .common import BROADCAST_IDS, partition_keys, stored
 from .textops import deal, dealt, mix, powers, prefix_hashes, slices, sliding, span_hashes
 
 KMER = 20
@@ -39,14 +39,13 @@ HOT = 20_000
 COMBINED = 400_000
 CHUNK = 8_000
 #: Text bytes whose anchors meet in one task, and contexts that are compared in one task.
-MEET_BYTES = 8 << 20
-COMPARED = 100_000
-#: Packed batches for each task of a shuffle: so many even out.
-SPREAD = 4
+MEET_BYTES = 16 << 20
+COMPARED = 200_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Kinds of scanned rows: an anchor, one that is known to be repeated, a witness of such, a covered span.
 PLAIN, SURE, WITNESS, SPAN = range(4)
+SCANNED = {"key": "i8", "pos": "i4", "kmer": "i8", "kind": "i1"}
 #: A row of a text, by its key: a span [pos, hi), else an anchor to compare, hot or not or (with its kmer) not
 #: known; without a key a hot k-mer.  Of a k-mer half of its hash: hot is only how it is compared.
 FOUND = "key long, pos int, hi int, kmer int, hot boolean"
@@ -127,7 +126,7 @@ def _firsts(x: np.ndarray) -> np.ndarray:
 class _Block:
     """Anchors of some slices of a task."""
 
-    def __init__(self, length: int, bits: int, parts: int):
+    def __init__(self, length: int, bits: int, parts: np.ndarray):
         self.length, self.shift, self.n, self.parts, self.data, self.held, self.size = length, 64 - bits, parts, [], [], 0, 0
 
     def add(self, data, offs, ids, keys) -> None:
@@ -170,7 +169,7 @@ class _Block:
         yield deal(columns, np.where(meets, columns["kmer"], columns["key"] + columns["pos"]), self.n)
 
 
-def _anchor_rows(length: int, bits: int, parts: int):
+def _anchor_rows(length: int, bits: int, parts: np.ndarray):
     def run(batches):
         block, seen = _Block(length, bits, parts), set()
         for batch in batches:
@@ -204,9 +203,8 @@ def _meet(most: int):
 
     def run(batches):
         kept = []
-        for rows in dealt(batches):
-            kind = rows.column("kind").to_numpy()
-            key, pos, kmer = (rows.column(c).to_numpy() for c in ("key", "pos", "kmer"))
+        for rows in dealt(batches, SCANNED):
+            key, pos, kmer, kind = (rows[c] for c in SCANNED)
             if (i := np.flatnonzero(kind == SPAN)).size:
                 yield _found(key[i], pos[i], hi=kmer[i])
             if (i := np.flatnonzero(kind == SURE)).size:
@@ -236,10 +234,14 @@ def _meet(most: int):
     return run
 
 
+def _context(length: int) -> dict:
+    return {"segment": "i8", "doc_id": "i8", "key": "i8", "pos": "i4", "before": "i4", "after": "i4", "bytes": ("u1", (2 * length - KMER,))}
+
+
 NO_ASKS = "cast(array() as array<int>)"
 
 
-def _contexts(length: int, parts: int):
+def _contexts(length: int, parts: np.ndarray):
     """The bytes around each anchor asked for, packed by k-mer; those of hot k-mers string by string.
 
     Rows whose ``before`` is -1 are spans [pos, after) that the task has found covered.
@@ -282,10 +284,7 @@ def _contexts(length: int, parts: int):
         )
 
     def packed(held):
-        *columns, raw = (np.concatenate(x) for x in zip(*held))
-        ends = np.arange(len(raw) + 1, dtype=np.int32) * (left + length)
-        columns = dict(zip(("segment", "doc_id", "key", "pos", "before", "after"), columns))
-        columns["bytes"] = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        columns = dict(zip(_context(length), (np.concatenate(x) for x in zip(*held))))
         return deal(columns, columns["segment"], parts)
 
     def run(batches):
@@ -307,7 +306,7 @@ def _contexts(length: int, parts: int):
                 hashes = kmer_hashes(data, offs, length)
                 held.append(rows(data, offs[:-1][text] + pos[part], offs[:-1][text], offs[1:][text], hot[part], ids[lo + text], keys[lo + text], hashes))
                 size += len(held[-1][0])
-                if size >= 2 * COMPARED:
+                if size >= COMPARED:
                     yield packed(held)
                     held, size = [], 0
         if held:
@@ -473,18 +472,15 @@ def _compare(length: int, bits: int):
 
     def run(batches):
         kept = []
-        for rows in dealt(batches):
-            wide = rows.column("before").to_numpy() >= 0
+        for rows in dealt(batches, _context(length)):
+            wide = rows["before"] >= 0
             if not wide.all():
-                known = rows.filter(pa.array(~wide))
-                yield spans(*(known.column(c).to_numpy() for c in ("key", "pos", "after")))
-                rows = rows.filter(pa.array(wide))
+                yield spans(*(rows[c][~wide] for c in ("key", "pos", "after")))
+                rows = {c: x[wide] for c, x in rows.items()}
             kept.append(rows)
         if not kept:
             return
-        segment = np.concatenate([b.column("segment").to_numpy() for b in kept])
-        doc, key, pos, before, after = (np.concatenate([b.column(c).to_numpy() for b in kept]) for c in ("doc_id", "key", "pos", "before", "after"))
-        raw = np.concatenate([np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8) for b in kept]).reshape(len(segment), width)
+        segment, doc, key, pos, before, after, raw = (np.concatenate([rows[c] for rows in kept]) for c in _context(length))
         del kept
         order, cols = np.argsort(segment, kind="stable"), np.arange(width)
         starts = _firsts(segment[order])
@@ -520,7 +516,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     n = max(least, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // MEET_BYTES + 1)
     found = stored(
         docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "key")
-        .mapInArrow(_anchor_rows(length, bits, n * SPREAD), "part int, rows binary").repartition(n, "part").mapInArrow(_meet(HOT), FOUND)
+        .mapInArrow(_anchor_rows(length, bits, np.array(partition_keys(spark, n))), "part int, rows binary").repartition(n, "part").mapInArrow(_meet(HOT), FOUND)
     )
     asked = found.where("key is not null and hi is null")
     hot = found.where("key is null").select("kmer").distinct()
@@ -533,7 +529,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     # both joins deal the same rows by the same key, so that Spark shuffles the texts once
     spans = (
         docs.join(asks, "key", "left").select("key", "doc_id", "text", F.coalesce("asks", F.expr(NO_ASKS)).alias("asks"))
-        .mapInArrow(_contexts(length, m * SPREAD), "part int, rows binary").repartition(m, "part")
+        .mapInArrow(_contexts(length, np.array(partition_keys(spark, m))), "part int, rows binary").repartition(m, "part")
         .mapInArrow(_compare(length, bits), "key long, lo int, hi int")
         .unionByName(found.where("hi is not null").select("key", F.col("pos").alias("lo"), "hi"))
         .groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("spans"))

@@ -140,28 +140,32 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def deal(columns: dict, key: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows packed as (part, rows): one compressed Arrow batch for each part that a 64-bit key is dealt to.
+def deal(columns: dict[str, np.ndarray], key: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """Rows packed as (part, rows): one compressed piece for each of ``parts`` that a 64-bit key is dealt to.
 
-    A shuffle of such batches moves columns, not single rows, which is several times cheaper.
+    A shuffle of such pieces moves columns, not single rows, which is several times cheaper.
     """
-    part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    part = (mix(key.view(np.uint64)) % np.uint64(len(parts))).astype(np.uint16 if len(parts) <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    table = pa.RecordBatch.from_pydict(columns).take(pa.array(order))
-    part = part[order]
+    sorted_, part = [c[order] for c in columns.values()], part[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else order
-    options, out = pa.ipc.IpcWriteOptions(compression="zstd"), []
+    out = []
     for lo, hi in zip(first, [*first[1:], len(part)]):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=options) as stream:
-            stream.write_batch(table.slice(lo, hi - lo))
-        out.append(sink.getvalue().to_pybytes())
-    return pa.RecordBatch.from_pydict({"part": pa.array(part[first], pa.int32()), "rows": pa.array(out, pa.binary())})
+        raw = b"".join(c[lo:hi].tobytes() for c in sorted_)
+        out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_pydict({"part": pa.array(parts[part[first]], pa.int32()), "rows": pa.array(out, pa.binary())})
 
 
-def dealt(batches) -> Iterator[pa.RecordBatch]:
-    """The rows that ``deal`` packed."""
+def dealt(batches, kinds: dict[str, np.dtype]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows that ``deal`` packed, as columns of the given kinds."""
+    kinds = {name: np.dtype(kind) for name, kind in kinds.items()}
+    width = sum(k.itemsize for k in kinds.values())
     for batch in batches:
         for rows in batch.column("rows"):
-            with pa.ipc.open_stream(rows.as_buffer()) as stream:
-                yield from stream
+            data = rows.as_buffer()
+            size = int.from_bytes(data[:8].to_pybytes(), "little")
+            raw, at, out = pa.decompress(data[8:], size, codec="zstd", asbytes=True), 0, {}
+            for name, kind in kinds.items():
+                out[name] = np.frombuffer(raw, kind, size // width, at)
+                at += kind.itemsize * (size // width)
+            yield out
