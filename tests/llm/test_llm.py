@@ -124,10 +124,10 @@ def test_suffix_dedup_very_hot_kmer():
     text = [bytes(x[0]) + kmer + bytes(x[1]) for x in noise]
     asks = pa.array([[30 * 2 + 1]] * n, pa.list_(pa.int32()))
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "key": pa.array(range(n)), "text": text, "asks": asks})
-    segments = np.concatenate([x.column("segment").to_numpy() for x in dealt(suffix._contexts(50, 64)(iter([batch])))])
+    segments = np.concatenate([x["segment"] for x in dealt(suffix._contexts(50, np.arange(64))(iter([batch])), suffix._context(50))])
     assert len(segments) > n and max(np.unique(segments, return_counts=True)[1]) == 1
     columns = {"key": np.arange(3), "pos": np.array([60_000, 50_000, 9], np.int32), "kmer": np.full(3, 7), "kind": np.array([suffix.WITNESS] * 2 + [suffix.PLAIN], np.int8)}
-    met = [r for b in suffix._meet(20_000)(iter([deal(columns, columns["kmer"], 4)])) for r in b.to_pylist()]
+    met = [r for b in suffix._meet(20_000)(iter([deal(columns, columns["kmer"], np.arange(4))])) for r in b.to_pylist()]
     assert [(r["key"], r["pos"], r["hot"]) for r in met] == [(2, 9, True), (None, None, None)] and met[1]["kmer"] is not None
 
 
@@ -388,9 +388,22 @@ def test_quality_repeats(spark):
     assert (row.n_repeat_words, row.n_symbols, row.n_dup_lines, row.base_failed) == (27, 1, 1, True)
 
 
+def test_quality_prior_moves_small_hosts_only(spark):
+    """One failure of one document says little where hosts fail alike; three in four of 400 say much."""
+    fine, failing = prose(25), " ".join(f"#{w}" for w in prose(25).split())
+    rows = [(f"h{h}", failing if i < 2 else fine) for h in range(30) for i in range(20)] + [("tiny", failing)]
+    doc = lambda rows: spark.createDataFrame([(i, t, "", h, 1, "") for i, (h, t) in enumerate(rows)], DOCS)
+    got = quality_rules.quality(doc(rows)).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in got) and all(r.kept for r in got)
+    rows += [("large", failing if i % 4 else fine) for i in range(400)]
+    got = quality_rules.quality(doc(rows)).orderBy("doc_id").collect()
+    assert [r.kept for r, (h, t) in zip(got, rows) if h == "large"] == [t == fine for h, t in rows if h == "large"]
+    assert all(r.kept for r, (h, t) in zip(got, rows) if h.startswith("h"))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be % kind <|im_end|>"), (1, 1, "user", "q" * 900), (1, 2, "assistant", "%3C| <|im_start|>"), (1, 2, "assistant", None), (2, None, None, "x"), (1, 9, "assistant", "é" * 3000), (1, 10, "user", "bye"), (None, 1, "user", "lost"), (3, 0, "system", "alone")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(*r, 0, "") for r in rows], "conv_id long, turn long, role string, text string, window int, t string")
     out = chat_windows.chat_windows(df, room=300, history=100)
     assert out.where("conv_id = 1").count() > 2
     got = {r.conv_id: r for r in chat_windows.read_back(out).collect()}
