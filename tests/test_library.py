@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import duckdb
@@ -223,6 +224,22 @@ def test_feed_failure_is_audited_and_made_again(spark, tmp_path):
     assert [r.poll for r in feed.recent(feed.read_audit(spark, f"{tmp_path}/audit"), 2).collect()] == [3, 2]
 
 
+def test_table_feed_polls_tick_by_tick(spark, tmp_path):
+    df = spark.createDataFrame([(i,) for i in range(1, 6)], "id int")
+    job = lambda hit, n: hit.write.mode("overwrite").parquet(f"{tmp_path}/out/poll={n}")
+    query = feed.run_table_feed(
+        spark, f"{tmp_path}/check", "1 second", read=lambda: df, column="id", kind="int", rules=[], jobs=[(1, job)], state_path=f"{tmp_path}/state", batch=2, start="0"
+    )
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if query.exception() or (query.lastProgress and query.lastProgress["batchId"] >= 5):
+                break
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").select("id").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_failed_stream_stops(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/in")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,33 +16,37 @@ from ..sources.sql import default_keys, identifier, jdbc_options, list_columns
 
 
 class ParquetTable:
-    """A table of versioned Parquet folders; a write makes a new version, then a one-line pointer names it.
+    """A table of versioned Parquet folders; a write makes a new version, then a row of a small log names it.
 
     A plan never overwrites a path it reads, and a failed write leaves the old version in place.  All access
-    goes through Spark's readers and writers, so any store that Spark can open will do.
+    goes through Spark's readers and writers, so any store that Spark can open will do.  One writer at a time.
     """
 
+    LOG = "number long, name string"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[str]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")
-        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    def _last(self) -> tuple[int, str | None]:
+        try:
+            row = self.spark.read.schema(self.LOG).parquet(f"{self.path}/log").orderBy(F.desc("number")).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            row = None
+        return tuple(row) if row else (-1, None)
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return self._last()[1] is not None
 
     def read(self) -> DataFrame:
-        last = self._versions()[-1]
-        return self.spark.read.parquet(f"{self.path}/data/{last}")
+        return self.spark.read.parquet(f"{self.path}/data/{self._last()[1]}")
 
     def replace(self, state: DataFrame) -> None:
-        held = self._versions()
-        name = f"{len(held):012d}-{uuid.uuid4().hex[:8]}"
+        number = self._last()[0] + 1
+        name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
         state.write.parquet(f"{self.path}/data/{name}")
-        self.spark.range(1).write.parquet(f"{self.path}/pointers/{name}")
+        self.spark.createDataFrame([(number, name)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def apply(self, source: DataFrame, mode: str, keys=None, columns=None, **options) -> None:
         target = self.read() if self.exists() else self.spark.createDataFrame([], source.schema)

@@ -100,8 +100,12 @@ def poll_table(
     """
     table = read()
     spark, marks = table.sparkSession, f"{state_path}/watermark"
-    last = spark.read.schema(WATERMARK).option("recursiveFileLookup", True).parquet(marks) if _exists(spark, marks) else spark.createDataFrame([], WATERMARK)
-    row = last.orderBy(F.desc("poll")).first()
+    try:
+        row = spark.read.schema(WATERMARK).option("recursiveFileLookup", True).parquet(marks).orderBy(F.desc("poll")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
     number, mark = (row["poll"] + 1, row["watermark"]) if row else (0, start)
     events = poll_increment(table, column, mark, kind, batch=batch, **options).persist()
     try:
@@ -124,13 +128,6 @@ def run_table_feed(spark: SparkSession, checkpoint: str, interval: str = "60 sec
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
-    except AnalysisException:
-        return False
-
-
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT).parquet(f"{path}/poll=*")
 
