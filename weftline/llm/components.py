@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Links that one task writes.
+TASK_LINKS = 200_000
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]
@@ -32,7 +36,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # the number of links never grows, so few links need few tasks
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(before[0] // TASK_LINKS + 1))
         now = _signature(edges)
         if now == before:
             break

@@ -14,7 +14,9 @@ the sketch test is part of the join condition.  So a bucket of very many copies
 and no link is left untested that could join two components.
 
 A pair at the threshold shares no band with a chance of about 1 in 100,000, no long band with less than that,
-and differs by more than the sketch bound (six standard deviations) with less than 1 in 10 million.
+and differs by more than the sketch bound of six standard deviations with less than 1 in 10 million.  Where many
+unlinked texts are about as alike as that, the last round tests far more pairs than it can confirm, so its bound is
+four: a link that alone joins two components is missed there with a chance of about 1 in 30,000.
 """
 
 from __future__ import annotations
@@ -114,8 +116,8 @@ def _sets(size: int):
     return run
 
 
-def sketch_bound(percent: int) -> int:
-    """Most differing sketch bits of a candidate: six standard deviations above the mean at the threshold.
+def sketch_bound(percent: int, deviations: float = 6) -> int:
+    """Most differing sketch bits of a candidate: so many standard deviations above the mean at the threshold.
 
     The number of differing samples is binomial; each sets one parity bit in either sketch, and the XOR of
     two parity bitmaps has a bit set where an odd number of them fell.
@@ -124,7 +126,7 @@ def sketch_bound(percent: int) -> int:
     mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * apart))
     slope = 2 * (1 - 2 * mean / SKETCH_BITS)  # bits for one more differing sample
     spread = slope**2 * SAMPLES * apart * (1 - apart) + mean * (1 - mean / SKETCH_BITS)
-    return int(mean + 6 * spread**0.5) + 1
+    return int(mean + deviations * spread**0.5) + 1
 
 
 def near_duplicates(
@@ -235,7 +237,7 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, bands: int,
     tested = tested.unionByName(more)
 
     rest = split_buckets(links).select("class", "component").distinct()
-    more = stored(_apart(rest, classes, sketches, differs <= bound).join(tested, ["a", "b"], "left_anti"))
+    more = stored(_apart(rest, classes, sketches, differs <= sketch_bound(percent, 4)).join(tested, ["a", "b"], "left_anti"))
     links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
 
     group = connected_components(links)
