@@ -6,16 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, quality_rules
+from . import chat_windows, fill_middle, quality_rules
 from .bpe import bpe
 from .common import table
 from .embedding_dedup import embedding_duplicates
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .packing import best_fit
+from .quality_classifier import quality_scores
 from .suffix_dedup import suffix_digest
 from .toxicity import toxicity
 from .unigram_counts import read_pieces, token_counts
+from .whitening import whiten
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85, bands=20, rows=5)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"), seed=7)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -80,9 +94,13 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash": op10_minhash,
+    "op11_whitening": op11_whitening,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op7_chat_windows": chat_windows.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
