@@ -233,7 +233,7 @@ def test_table_feed_polls_tick_by_tick(spark, tmp_path):
     try:
         for _ in range(60):
             time.sleep(1)
-            if query.exception() or (query.lastProgress and query.lastProgress["batchId"] >= 5):
+            if query.exception() or (query.lastProgress and query.lastProgress["batchId"] >= 2 and not query.status["isTriggerActive"]):
                 break
     finally:
         query.stop()

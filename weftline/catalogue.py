@@ -18,6 +18,7 @@ from .operators.apply import apply
 from .plans import spec as plan
 from .sinks.writers import ParquetTable, log_lines, messages
 from .sources import mail, sql
+from .sources.cursor import Cursor
 from .streaming import feed
 
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
@@ -84,7 +85,7 @@ source("sql_source_json", "SELECT event_id, CAST(get_json_object(props, '$.k') A
 @query("infer_schema_orders", "SELECT ordinal_position::INT AS ordinal, column_name AS name, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type, true AS nullable FROM (SELECT row_number() OVER () AS ordinal_position, column_name, column_type AS data_type FROM (DESCRIBE orders))")
 def _(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("orders")
-    return sql.infer_schema(spark, "SELECT * FROM orders;")
+    return sql.infer_schema(spark, "SELECT * FROM orders;").select("ordinal", "name", "type", "nullable")
 
 
 @query("list_tables_catalog", " UNION ALL ".join(f"SELECT '' AS schema, 'catalog_{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES))
@@ -300,6 +301,17 @@ rule_query("rule_regex_letters", [{"all": [{"field": "event_type", "op": "regex"
 rule_query("rule_regex_named", [{"all": [{"field": "event_type", "op": "regex", "value": "(?P<what>view|click)"}]}], "regexp_matches(event_type, 'view|click')")
 
 
+@query("rule_variant_path", "SELECT event_id, event_type FROM events WHERE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) > 50 AND json_extract_string(props, '$.k') NOT IN ('60', '61')")
+def _(spark, d):
+    """A path into VARIANT values: the rows that the same rules take from JSON text."""
+    events = table(spark, d, "events").withColumn("props", F.try_parse_json("props"))
+    rules = [{"all": [{"field": "props.k", "op": "gt", "value": 50}, {"field": "props.k", "op": "notIn", "value": [60, 61]}]}]
+    return rules_filter(events, rules).select("event_id", "event_type")
+
+
+rule_query("rule_below_zero", [{"all": [{"field": "value", "op": "gt", "value": -1}, {"field": "user_id", "op": "lt", "value": 40.5}]}], "coalesce(value, 0) > -1 AND coalesce(user_id, 0) < 40.5")
+
+
 # ---- incremental reads, messages
 
 QUERIES["poll_int"] = lambda spark, d: sql.poll_increment(table(spark, d, "events"), "event_id", "1000")
@@ -520,18 +532,93 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/out").drop("poll")
 
 
+def _growing(spark, d, folder):
+    """A table of part of the events, and a job that appends the rest of them while it runs for the first time."""
+    events, path = table(spark, d, "events"), f"{folder}/growing"
+    late = F.col("event_id") % 5 >= 3  # most of these lie past what the first poll has read
+    events.where(~late).write.parquet(path)
+    state = {"late": True}
+
+    def grow() -> None:
+        if state.pop("late", False):
+            top = spark.read.parquet(path).agg(F.max("event_id")).first()[0]
+            events.where(late).withColumn("event_id", F.col("event_id") + top).write.mode("append").parquet(path)
+
+    return lambda: spark.read.schema(events.schema).parquet(path), grow, events
+
+
+_GROWN = "SELECT event_id + CASE WHEN event_id % 5 >= 3 THEN (SELECT max(event_id) FROM events WHERE event_id % 5 < 3) ELSE 0 END AS event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 10"
+
+
 @query("stream_poll_table", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 10")
 def _(spark, d):
-    """A table polled past its watermark until nothing is new, in four polls or so."""
+    """A table polled as a stream past its watermark until nothing is new, in four polls or so."""
     folder, events = _folder(spark), table(spark, d, "events")
     job = lambda hit, n: hit.select("event_id", "user_id").write.mode("overwrite").parquet(f"{folder}/out/poll={n}")
     first, count = events.agg(F.min("event_id"), F.count(F.lit(1))).first()
-    poll = {"column": "event_id", "kind": "int", "rules": _PURCHASES, "jobs": [(1, job)], "state_path": folder, "batch": count // 4 + 1, "start": str(first - 1)}
-    while feed.poll_table(lambda: events, **poll):
+    feed.run_table_feed(spark, f"{folder}/checkpoint", read=lambda: events, column="event_id", kind="int", rules=_PURCHASES, jobs=[(1, job)],
+                        state_path=folder, batch=count // 4 + 1, start=str(first - 1), available_now=True)
+    return spark.read.parquet(f"{folder}/out").drop("poll")
+
+
+@query("stream_growing_table", _GROWN)
+def _(spark, d):
+    """Rows that are appended while a poll's job runs come with the polls after it."""
+    folder = _folder(spark)
+    read, grow, events = _growing(spark, d, folder)
+
+    def job(hit, n):
+        grow()
+        hit.select("event_id", "user_id").write.mode("overwrite").parquet(f"{folder}/out/poll={n}")
+
+    first, count = events.agg(F.min("event_id"), F.count(F.lit(1))).first()
+    feed.run_table_feed(spark, f"{folder}/checkpoint", read=read, column="event_id", kind="int", rules=_PURCHASES, jobs=[(1, job)], state_path=folder,
+                        batch=count // 3 + 1, start=str(first - 1), available_now=True)
+    return spark.read.parquet(f"{folder}/out").drop("poll")
+
+
+@query("poll_table_growing", _GROWN)
+def _(spark, d):
+    """The same, poll by poll without a streaming query."""
+    folder = _folder(spark)
+    read, grow, events = _growing(spark, d, folder)
+
+    def job(hit, n):
+        grow()
+        hit.select("event_id", "user_id").write.mode("overwrite").parquet(f"{folder}/out/poll={n}")
+
+    first, count = events.agg(F.min("event_id"), F.count(F.lit(1))).first()
+    while feed.poll_table(read, "event_id", "int", _PURCHASES, [(1, job)], folder, count // 3 + 1, str(first - 1)):
         pass
     return spark.read.parquet(f"{folder}/out").drop("poll")
 
 
+@query("stream_composite_cursor", "SELECT user_id, event_id, (row_number() OVER (ORDER BY user_id, event_id) - 1) // (SELECT count(*) // 6 + 1 FROM events) AS poll FROM events WHERE user_id > 0")
+def _(spark, d):
+    """A watermark whose values repeat: with a key behind it, polls of a bounded number of rows lose no ties."""
+    folder, events = _folder(spark), table(spark, d, "events")
+    job = lambda hit, n: hit.select("user_id", "event_id", F.lit(n).cast("long").alias("poll")).write.mode("overwrite").parquet(f"{folder}/out/{n}")
+    feed.run_table_feed(spark, f"{folder}/checkpoint", read=lambda: events, column="user_id", kind="int", key="event_id", rules=[], jobs=[(1, job)],
+                        state_path=folder, batch=events.count() // 6 + 1, available_now=True)
+    return spark.read.parquet(f"{folder}/out/*")
+
+
+@query("poll_composite", "SELECT user_id, event_id FROM events WHERE user_id > 5 OR (user_id = 5 AND event_id > 700) ORDER BY user_id, event_id LIMIT 100")
+def _(spark, d):
+    return Cursor("user_id", "int", "event_id").poll(table(spark, d, "events"), '["5", "700"]', 100, ["event_id"])
+
+
+@query("audit_idle_polls", "SELECT 0 AS poll, 'completed' AS status, count(*) AS events, 1 AS n FROM events UNION ALL SELECT 1, 'no_events', 0, 2")
+def _(spark, d):
+    """Each poll has an audit row, those without a new event too."""
+    folder, events = _folder(spark), table(spark, d, "events")
+    first, count = events.agg(F.min("event_id"), F.count(F.lit(1))).first()
+    for _ in range(3):
+        feed.poll_table(lambda: events, "event_id", "int", _PURCHASES, [], folder, count, str(first - 1))
+    audit = feed.read_audit(spark, f"{folder}/audit")
+    return audit.groupBy(F.col("poll").cast("int").alias("poll"), "status").agg(F.sum("events").alias("events"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query("stream_from_now", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'purchase') AND value > 10")
 def _(spark, d):
     """A feed that starts at a watermark: events after the last purchase."""
@@ -571,12 +658,12 @@ def _constraints(spark, d):
     """An information schema of the given tables: columns from their schemas, one primary and one foreign key."""
     rows = [("main", t, f.name, i, f.dataType.simpleString(), "YES", None, None, None, None) for t in TABLES for i, f in enumerate(table(spark, d, t).schema.fields, 1)]
     kinds = "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, character_maximum_length long, numeric_precision int, numeric_scale int, column_default string"
-    uses = [("main", "customer", "c_custkey", "pk_customer"), ("main", "orders", "o_custkey", "fk_orders")]
+    uses = [("main", "customer", "c_custkey", "pk_customer", 1, None), ("main", "orders", "o_custkey", "fk_orders", 1, 1)]
     return {
         "columns": spark.createDataFrame(rows, kinds),
-        "key_column_usage": spark.createDataFrame(uses, "table_schema string, table_name string, column_name string, constraint_name string"),
+        "key_column_usage": spark.createDataFrame(uses, "table_schema string, table_name string, column_name string, constraint_name string, ordinal_position int, position_in_unique_constraint int"),
         "table_constraints": spark.createDataFrame([("main", "customer", "pk_customer", "PRIMARY KEY"), ("main", "orders", "fk_orders", "FOREIGN KEY")], "table_schema string, table_name string, constraint_name string, constraint_type string"),
-        "referential_constraints": spark.createDataFrame([("main", "fk_orders", "pk_customer", "NO ACTION", "CASCADE")], "constraint_schema string, constraint_name string, unique_constraint_name string, update_rule string, delete_rule string"),
+        "referential_constraints": spark.createDataFrame([("main", "fk_orders", "main", "pk_customer", "NO ACTION", "CASCADE")], "constraint_schema string, constraint_name string, unique_constraint_schema string, unique_constraint_name string, update_rule string, delete_rule string"),
     }
 
 

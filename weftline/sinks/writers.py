@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions.expressions import render
 from ..operators.apply import apply, validate, with_keys, without_keys
 from ..operators.combine import last_by_key
-from ..sources.sql import default_keys, identifier, jdbc_options, list_columns
+from ..sources.metadata import jdbc_link, primary_key
+from ..sources.sql import identifier, jdbc_options
 
 
 class ParquetTable:
@@ -55,27 +56,13 @@ class ParquetTable:
 
 def _run_sql(spark: SparkSession, connection: dict, statements: list[str]) -> None:
     """Statements in one transaction, over a JDBC connection of the driver."""
-    jvm, options = spark._jvm, jdbc_options(connection)
-    if options.get("driver"):
-        jvm.java.lang.Class.forName(options["driver"])
-    login = jvm.java.util.Properties()
-    for name in ("user", "password"):
-        if name in options:
-            login.setProperty(name, options[name])
-    link = jvm.java.sql.DriverManager.getConnection(options["url"], login)
-    try:
+    with jdbc_link(spark, jdbc_options(connection)) as link:
         link.setAutoCommit(False)
-        try:
-            for text in [options[k] for k in ("sessionInitStatement",) if k in options] + statements:
-                statement = link.createStatement()
-                statement.execute(text)
-                statement.close()
-            link.commit()
-        except BaseException:
-            link.rollback()
-            raise
-    finally:
-        link.close()
+        for text in statements:
+            statement = link.createStatement()
+            statement.execute(text)
+            statement.close()
+        link.commit()
 
 
 def change_statements(mode: str, table: str, stage: str, keys: list[str], columns: list[str], quote=lambda name: f'"{name}"') -> list[str]:
@@ -121,7 +108,7 @@ def write_jdbc(
         return
     target = spark.read.format("jdbc").options(**options).option("dbtable", table).load()
     if keys is None:
-        keys = default_keys(list_columns(spark, table, connection))
+        keys = primary_key(spark, table, options)
     columns = list(columns if columns is not None else [c for c in df.columns if c in target.columns])
     validate(mode, target, columns, keys)
     names = list(dict.fromkeys([*keys, *columns])) if mode != "delete" else list(keys)

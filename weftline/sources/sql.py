@@ -6,8 +6,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from ..functions.types import dedupe_names
+from ..functions.types import dedupe_names, unique_names
+from . import metadata
 
 # Default ports and URL forms of the supported databases.
 DATABASES = {
@@ -15,7 +17,6 @@ DATABASES = {
     "sqlserver": (1433, "jdbc:sqlserver://{host}:{port};databaseName={database}"),
     "mysql": (3306, "jdbc:mysql://{host}:{port}/{database}"),
 }
-SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "sys", "mysql", "performance_schema")
 
 
 def identifier(name: str) -> str:
@@ -76,10 +77,23 @@ def sql_source(spark: SparkSession, query: str, connection: dict | None = None)
 
 
 def infer_schema(spark: SparkSession, query: str, connection: dict | None = None) -> DataFrame:
-    """(ordinal, name, type, nullable) of a query, without reading rows."""
-    schema = sql_source(spark, query, connection).schema
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(schema.fields, 1)]
-    return spark.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean")
+    """(ordinal, name, source_type, type, length, precision, scale, nullable) of a query, without running it.
+
+    Over the catalog the source type is Spark's own; a length comes from char and varchar columns.  Over JDBC the
+    driver prepares the query and tells what it would give; repeated names get numbers, as in ``sql_source``.
+    """
+    if connection is not None:
+        found = metadata.query_columns(spark, query, jdbc_options(connection))
+        names = unique_names([r["name"] for r in found.orderBy("ordinal").select("name").collect()])  # columns of a query
+        renamed = F.element_at(F.array(*map(F.lit, names)), F.col("ordinal"))
+        return found.withColumn("name", renamed)
+    rows = []
+    for i, f in enumerate(sql_source(spark, query).schema.fields, 1):
+        declared = f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", f.dataType.simpleString())
+        size = re.fullmatch(r"(?:var)?char\((\d+)\)", declared)
+        number = (f.dataType.precision, f.dataType.scale) if isinstance(f.dataType, DecimalType) else (None, None)
+        rows.append((i, f.name, declared, f.dataType.simpleString(), int(size[1]) if size else None, *number, f.nullable))
+    return spark.createDataFrame(rows, metadata.QUERY)
 
 
 def filled(df: DataFrame) -> DataFrame:
@@ -94,9 +108,7 @@ def list_tables(spark: SparkSession, connection: dict | None = None, like: str |
     if connection is None:
         found = [((t.namespace or [""])[-1], t.name) for t in spark.catalog.listTables(pattern=like)]
         return spark.createDataFrame(found, "schema string, name string").orderBy("schema", "name")
-    t = sql_source(spark, "SELECT table_schema, table_name, table_type FROM information_schema.tables", connection)
-    t = t.toDF("schema", "name", "type")
-    return t.where((F.col("type") == "BASE TABLE") & ~F.lower("schema").isin(*SYSTEM_SCHEMAS)).select("schema", "name").orderBy("schema", "name")
+    return metadata.tables(spark, jdbc_options(connection))
 
 
 def list_columns(spark: SparkSession, table: str, connection: dict | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -105,54 +117,57 @@ def list_columns(spark: SparkSession, table: str, connection: dict | None = None
         fields = spark.table(table).schema.fields
         rows = [(i, f.name, f.dataType.simpleString(), f.nullable, f.name in keys) for i, f in enumerate(fields, 1)]
         return spark.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean, is_primary boolean")
-    schema, _, name = identifier(table).rpartition(".")
-    schema = schema or default_schema(connection)
-    where = f"c.table_name = '{name}'" + (f" AND c.table_schema = '{schema}'" if schema else "")
-    columns = sql_source(spark, f"SELECT c.column_name, c.ordinal_position, c.data_type, c.is_nullable FROM information_schema.columns c WHERE {where}", connection)
-    uses = sql_source(spark, f"SELECT c.column_name, c.constraint_name FROM information_schema.key_column_usage c WHERE {where}", connection).toDF("name", "constraint")
-    kinds = sql_source(spark, f"SELECT c.constraint_name, c.constraint_type FROM information_schema.table_constraints c WHERE {where}", connection).toDF("constraint", "kind")
-    primary = uses.join(kinds, "constraint", "left").where("kind = 'PRIMARY KEY'").select("name", F.lit(True).alias("p")).distinct()
-    columns = columns.toDF("name", "ordinal", "type", "nullable")
-    return columns.join(primary, "name", "left").select(
-        "ordinal", "name", "type", (F.upper("nullable") == "YES").alias("nullable"), F.coalesce("p", F.lit(False)).alias("is_primary")
-    ).orderBy("ordinal")
+    return metadata.with_primary(metadata.columns(spark, identifier(table), jdbc_options(connection)))
 
 
 def default_keys(columns: DataFrame) -> list[str]:
-    """The primary key of a table, from its listed columns (see list_columns), in order."""
-    return [r["name"] for r in columns.where("is_primary").orderBy("ordinal").select("name").collect()]  # a key's columns: few
+    """The primary key of a table, from its listed columns (see list_columns), in the key's order where it is known."""
+    order = ["key_position", "ordinal"] if "key_position" in columns.columns else ["ordinal"]
+    return [r["name"] for r in columns.where("is_primary").orderBy(*order).select("name").collect()]  # a key's columns: few
 
 
 #: Views of the standard's information schema that describe_schema reads, and their columns.
 METADATA = {
     "columns": "table_schema table_name column_name ordinal_position data_type is_nullable character_maximum_length numeric_precision numeric_scale column_default",
-    "key_column_usage": "table_schema table_name column_name constraint_name",
+    "key_column_usage": "table_schema table_name column_name constraint_name ordinal_position position_in_unique_constraint",
     "table_constraints": "table_schema table_name constraint_name constraint_type",
-    "referential_constraints": "constraint_schema constraint_name unique_constraint_name update_rule delete_rule",
+    "referential_constraints": "constraint_schema constraint_name unique_constraint_schema unique_constraint_name update_rule delete_rule",
 }
+#: Columns that not every database has, by view: without them constraint names must be unique in a schema.
+MORE_METADATA = {"referential_constraints": ("table_name", "referenced_table_name")}
 
 
 def describe_schema(spark: SparkSession, connection: dict | None = None, views: dict[str, DataFrame] | None = None, comments: DataFrame | None = None) -> DataFrame:
     """The column catalog: type, length, precision, scale, default, constraint, foreign-key target and its rules, comment.
 
-    The metadata views are read over JDBC, or given as ``views``; ``comments`` has (schema, table, column, comment).
-    One row a column and constraint; columns of system schemas are left out.
+    With a connection the driver's metadata says it all, comments included.  Else ``views`` are frames of the
+    standard's information schema (say, exported from a database that Spark cannot reach), and ``comments`` has
+    (schema, table, column, comment).  One row a column and constraint; columns of system schemas are left out.  Each
+    column of a foreign key has the column of the same place in the key that it refers to.
     """
+    if connection is not None:
+        return metadata.describe(spark, jdbc_options(connection))
     read = {}
     for view, names in METADATA.items():
-        df = views[view] if views else sql_source(spark, f"SELECT {', '.join(names.split())} FROM information_schema.{view}", connection)
-        read[view] = df.toDF(*[c.lower() for c in df.columns]).select(*names.split())
-    columns = read["columns"].where(~F.lower("table_schema").isin(*SYSTEM_SCHEMAS))
+        df = views[view].toDF(*[c.lower() for c in views[view].columns])
+        read[view] = df.select(*names.split(), *[c for c in MORE_METADATA.get(view, ()) if c in df.columns])
+    columns = read["columns"].where(~F.lower("table_schema").isin(*metadata.SYSTEM_SCHEMAS))
     uses = read["key_column_usage"].join(read["table_constraints"], ["table_schema", "table_name", "constraint_name"], "left")
-    # a foreign key names the unique constraint that it refers to, and that its table and column
+    # a foreign key's column stands for the column at the same place of the key that it refers to
     target = read["key_column_usage"].select(
-        F.col("table_schema").alias("constraint_schema"), F.col("constraint_name").alias("unique_constraint_name"),
+        F.col("table_schema").alias("unique_constraint_schema"), F.col("constraint_name").alias("unique_constraint_name"),
+        F.col("ordinal_position").alias("position_in_unique_constraint"), F.col("table_name").alias("referenced_table_name"),
         F.concat_ws(".", "table_name", "column_name").alias("refers_to"),
     )
-    rules = read["referential_constraints"].join(target, ["constraint_schema", "unique_constraint_name"], "left").select(
-        F.col("constraint_schema").alias("table_schema"), "constraint_name", "refers_to", "update_rule", "delete_rule"
-    )
-    uses = uses.join(rules, ["table_schema", "constraint_name"], "left")
+    links = read["referential_constraints"].withColumnRenamed("constraint_schema", "table_schema")
+    by_name = [c for c in ("table_schema", "table_name", "constraint_name") if c in links.columns]
+    uses = uses.join(links, by_name, "left")
+    place = ["unique_constraint_schema", "unique_constraint_name", "position_in_unique_constraint"]
+    if "referenced_table_name" in links.columns:  # names like PRIMARY repeat from table to table
+        place.append("referenced_table_name")
+    else:
+        target = target.drop("referenced_table_name")
+    uses = uses.join(target, place, "left").drop("ordinal_position")
     out = columns.join(uses, ["table_schema", "table_name", "column_name"], "left").select(
         F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("column_name").alias("column"),
         F.col("ordinal_position").cast("int").alias("ordinal"), F.col("data_type").alias("type"), (F.upper("is_nullable") == "YES").alias("nullable"),
@@ -181,7 +196,7 @@ def encode_watermark(value, kind: str) -> str:
     """The stored form of a watermark: timestamps keep microseconds."""
     if value is None:
         return ZERO[kind]
-    return value.isoformat(sep=" ") if kind == "timestamp" else str(value)
+    return value.isoformat(sep=" ") if kind == "timestamp" and not isinstance(value, str) else str(value)
 
 
 def poll_increment(
