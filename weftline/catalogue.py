@@ -15,9 +15,12 @@ from .functions.rules import rules_filter
 from .functions.types import auto_match, conform, dedupe_names
 from .operators import combine
 from .operators.apply import apply
+from .operators.dimension import StoredDimension
+from .plans import runner
 from .plans import spec as plan
-from .sinks.writers import ParquetTable, log_lines, messages
-from .sources import mail, sql
+from .sinks.partitions import PartitionedTable
+from .sinks.writers import ParquetTable, all_messages, log_lines, messages, write_jdbc
+from .sources import mail, metadata, sql
 from .sources.cursor import Cursor
 from .streaming import feed
 
@@ -632,14 +635,233 @@ def _(spark, d):
     return spark.read.schema("event_id long").parquet(f"{folder}/out").select("event_id")
 
 
+# ---- databases: embedded ones of the driver, with the schema of the given tables and keys of their own
+
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+_KINDS = {"bigint": "BIGINT", "int": "INT", "double": "DOUBLE", "string": "VARCHAR(200)", "timestamp_ntz": "TIMESTAMP"}
+_KEYS = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "conversations": ["conv_id", "turn"]}
+_LINKS = {"customer": ("c_nationkey", "nation", "n_nationkey"), "orders": ("o_custkey", "customer", "c_custkey"), "lineitem": ("l_orderkey", "orders", "o_orderkey")}
+
+
+def _database(spark, d, names=tuple(_KEYS), links=True) -> dict:
+    """A connection to a new embedded database with empty tables like the given ones, keys included."""
+    link = {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": _DERBY, "type": "derby"}
+    statements = []
+    for t in names:
+        parts = [f'"{f.name}" {_KINDS[f.dataType.simpleString()]}' + (" NOT NULL" if f.name in _KEYS[t] else "") for f in table(spark, d, t).schema.fields]
+        parts.append(f'CONSTRAINT "pk_{t}" PRIMARY KEY (' + ", ".join(f'"{k}"' for k in _KEYS[t]) + ")")
+        if links and t in _LINKS:
+            own, other, key = _LINKS[t]
+            parts.append(f'CONSTRAINT "fk_{t}" FOREIGN KEY ("{own}") REFERENCES "{other}" ("{key}") ON DELETE CASCADE')
+        statements.append(f'CREATE TABLE "{t}" ({", ".join(parts)})')
+    with metadata.jdbc_link(spark, sql.jdbc_options(link)) as c:
+        for text in statements:
+            statement = c.createStatement()
+            statement.execute(text)
+            statement.close()
+    return link
+
+
+def _loaded(spark, d, *names) -> dict:
+    """Such a database with the rows of the tables in it; it lies in the driver, so in local mode only."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("an embedded database can only be filled in local mode; on a cluster name a server")
+    link = _database(spark, d, names, links=False)
+    for t in names:
+        table(spark, d, t).write.format("jdbc").options(**sql.jdbc_options(link)).option("dbtable", f'"{t}"').mode("append").save()
+    return link
+
+
 @query("apply_merge_default_keys", _MERGED.format(_CHANGES))
 def _(spark, d):
+    """The keys are those that a database with this table names."""
     c = table(spark, d, "customer")
-    c.createOrReplaceTempView("customer")
-    keys = sql.default_keys(sql.list_columns(spark, "customer", keys=("c_custkey",)))
+    keys = sql.default_keys(sql.list_columns(spark, "customer", _database(spark, d, ("nation", "customer"))))
     return apply(c, _changes(c), "merge", keys)
 
 
+@query("database_tables", " UNION ALL ".join(f"SELECT 'APP' AS schema, '{t}' AS name, count(*) AS rows FROM {t}" for t in _KEYS))
+def _(spark, d):
+    sizes = reduce(DataFrame.unionByName, [table(spark, d, t).agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(t)) for t in _KEYS])
+    return sql.list_tables(spark, _database(spark, d)).join(sizes, "name").select("schema", "name", "rows")
+
+
+@query("database_keys", " UNION ALL ".join(
+    [f"SELECT '{t}' AS \"table\", '{k}' AS \"column\", {i} AS position, 'PRIMARY KEY' AS constraint_type, NULL AS refers_to, NULL AS delete_rule, count(*) AS rows, count({k}) AS filled FROM {t}" for t, ks in _KEYS.items() for i, k in enumerate(ks, 1)]
+    + [f"SELECT '{t}', '{own}', 1, 'FOREIGN KEY', '{other}.{key}', 'CASCADE', count(*), count({own}) FROM {t}" for t, (own, other, key) in _LINKS.items()]))
+def _(spark, d):
+    """Every key that the database's driver tells of, with how many rows have it."""
+    keys = sql.describe_schema(spark, _database(spark, d)).where("constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')")
+    sizes = reduce(DataFrame.unionByName, [sql.filled(table(spark, d, t)).withColumn("table", F.lit(t)) for t in _KEYS])
+    joined = keys.join(sizes.withColumnRenamed("name", "column"), ["table", "column"])
+    return joined.select("table", "column", "position", "constraint_type", "refers_to", "delete_rule", "rows", "filled")
+
+
+@query("database_query_schema", " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{n}' AS name, '{s}' AS source_type, '{t}' AS type, {p} AS precision, {length} AS length, {null} AS nullable, count(*) AS rows, count({n}) AS filled FROM orders"
+    for i, (n, s, t, p, length, null) in enumerate((
+        ("o_orderkey", "BIGINT", "bigint", 19, "NULL", "false"), ("o_orderpriority", "VARCHAR", "string", "NULL", 200, "true"),
+        ("o_totalprice", "DOUBLE", "double", 15, "NULL", "true"), ("o_orderdate", "TIMESTAMP", "timestamp", "NULL", "NULL", "true")), 1)))
+def _(spark, d):
+    """What a query over the database would give, as its driver says, beside what the table holds."""
+    text = 'SELECT "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate" FROM "orders";'
+    found = sql.infer_schema(spark, text, _database(spark, d, ("nation", "customer", "orders")))
+    joined = found.join(sql.filled(table(spark, d, "orders")), "name")
+    return joined.select("ordinal", "name", "source_type", "type", "precision", "length", "nullable", "rows", "filled")
+
+
+@query("jdbc_merge_found_keys", _MERGED.format(_CHANGES))
+def _(spark, d):
+    """A merge over JDBC into a schema-qualified table, in small batches, by the primary key that it has."""
+    link, c = _loaded(spark, d, "customer"), table(spark, d, "customer")
+    write_jdbc(_changes(c), "APP.customer", link, "merge", batch=100)
+    return sql.sql_source(spark, 'SELECT * FROM APP."customer"', link)
+
+
+@query("jdbc_default_schema", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT -1, max(c_name) FROM customer")
+def _(spark, d):
+    """Unqualified names are looked up in the schema that the connection names."""
+    link = _loaded(spark, d, "nation")
+    with metadata.jdbc_link(spark, sql.jdbc_options(link)) as c:
+        for text in ("CREATE SCHEMA BACK", 'CREATE TABLE BACK."nation" ("n_nationkey" INT, "n_name" VARCHAR(200))'):
+            c.createStatement().execute(text)
+    last = table(spark, d, "customer").agg(F.lit(-1).alias("n_nationkey"), F.max("c_name").alias("n_name"))
+    last.write.format("jdbc").options(**sql.jdbc_options(link)).option("dbtable", 'BACK."nation"').mode("append").save()
+    text = 'SELECT "n_nationkey", "n_name" FROM "nation"'
+    front = sql.sql_source(spark, f'{text} WHERE "n_regionkey" = 1', link | {"schema": "APP"})
+    return front.unionByName(sql.sql_source(spark, text, link | {"schema": "BACK"}))
+
+
+@query("jdbc_parallel_read", "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, true AS even FROM orders")
+def _(spark, d):
+    """Orders by price in eight parts: none has more than twice the mean."""
+    rows = sql.parallel_source(spark, 'SELECT * FROM "orders"', _loaded(spark, d, "orders"), "o_totalprice", 8)
+    parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("k"))
+    return parts.agg(F.sum("n").alias("rows"), F.sum("k").alias("keys"), (F.max("n") <= 2 * F.sum("n") / 8).alias("even"))
+
+
+@query("jdbc_two_connections", "SELECT o_orderkey AS id, c_name AS customer FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    """One job that reads two databases and writes into one of them."""
+    one, two = _loaded(spark, d, "orders"), _loaded(spark, d, "customer")
+    spec = {
+        "nodes": [
+            {"id": "s", "type": "start"}, {"id": "a", "type": "db_input", "config": {"query": 'SELECT * FROM "orders"', "connection": one}},
+            {"id": "b", "type": "db_input", "config": {"query": 'SELECT * FROM "customer"', "connection": two}},
+            {"id": "m", "type": "map", "config": {"join": {"type": "left", "leftKey": "o_custkey", "rightKey": "c_custkey"}, "outputs": [{"name": "out", "columns": [col("id", "A.o_orderkey"), col("customer", "B.c_name")]}]}},
+            {"id": "o", "type": "db_output", "config": {"table": "APP.named", "connection": two, "mode": "insert", "batch": 500}},
+        ],
+        "connexions": [dict(zip(("from", "to", "type"), c)) for c in (("s", "a", "flow"), ("a", "m", "flow"), ("m", "o", "flow"), ("a", "m", "data"), ("b", "m", "data"), ("m", "o", "data"))],
+    }
+    runner.run(spark, spec)
+    return sql.sql_source(spark, "SELECT * FROM APP.named", two)
+
+
+@query("job_progress", " UNION ALL ".join(
+    f"SELECT '{n}' AS node, 'done' AS status, {c} AS rows" for n, c in (("0", "NULL"), ("i", "(SELECT count(*) FROM orders)"), ("m", "(SELECT count(*) FROM orders)"), ("o", "(SELECT count(*) FROM orders)"),
+                                                                       ("i2", "(SELECT count(*) FROM customer)"), ("m2", "(SELECT count(*) FROM customer)"), ("o2", "(SELECT count(*) FROM customer)"))))
+def _(spark, d):
+    """The last state of each node of a job of two flows, from the table that it wrote while it ran."""
+    _views(spark, d, "orders", "customer")
+    folder = _folder(spark)
+    runner.run(spark, _two_flows({"path": f"{folder}/a"}, {"path": f"{folder}/b"}), path=f"{folder}/progress")
+    return runner.latest(spark.read.schema(runner.PROGRESS).parquet(f"{folder}/progress")).select("node", "status", "rows")
+
+
+@query("job_two_flows", "SELECT 'a' AS sink, o_orderkey AS id FROM orders UNION ALL SELECT 'b', c_custkey FROM customer")
+def _(spark, d):
+    """What two flows that ran at once have written."""
+    _views(spark, d, "orders", "customer")
+    folder = _folder(spark)
+    runner.run(spark, _two_flows({"path": f"{folder}/a"}, {"path": f"{folder}/b"}))
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("sink"), "id") for n in "ab"])
+
+
+def _two_flows(a: dict, b: dict) -> dict:
+    one = _job("SELECT o_orderkey FROM orders", [col("id", "A.o_orderkey")], {"type": "db_output", "config": {"table": "a"} | a})
+    two = _job("SELECT c_custkey FROM customer", [col("id", "A.c_custkey")], {"type": "db_output", "config": {"table": "b"} | b})
+    for n in two["nodes"]:
+        n["id"] += "2"
+    links = [c | {"from": c["from"] + "2", "to": c["to"] + "2"} for c in two["connexions"]]
+    return {"nodes": one["nodes"] + two["nodes"], "connexions": one["connexions"] + links}
+
+
+# ---- partition-wise writes, stored lookup sides, templates
+
+_SOME = "(SELECT c_custkey, c_name || '*' AS c_name, c_nationkey FROM customer WHERE c_nationkey = 7)"
+
+
+@query("write_partitions_merge", f"SELECT t.c_custkey, coalesce(s.c_name, t.c_name) AS c_name, t.c_acctbal, t.c_mktsegment, t.c_nationkey, least(1, (SELECT count(*) FROM {_SOME})) AS written FROM customer t LEFT JOIN {_SOME} s USING (c_custkey)")
+def _(spark, d):
+    """A merge that changes one of 25 partitions writes one."""
+    c = table(spark, d, "customer")
+    target = PartitionedTable(spark, f"{_folder(spark)}/target", ["c_nationkey"])
+    target.apply(c, "insert")
+    written = target.apply(c.where("c_nationkey = 7").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), "c_nationkey"), "merge", ["c_custkey"])
+    return target.read().withColumn("written", F.lit(written).cast("long"))
+
+
+@query("write_partitions_delete", "SELECT * FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(spark, d):
+    """Deletes by a partition column (its folder goes) and by a key that occurs in all partitions."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    target = PartitionedTable(spark, f"{_folder(spark)}/target", ["o_orderstatus"], o.schema)
+    target.apply(o, "insert")
+    target.apply(o.where("o_orderstatus = 'P'").select("o_orderstatus").distinct(), "delete", ["o_orderstatus"])
+    target.apply(c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "delete", ["o_custkey"])
+    return target.read().select(*o.columns)
+
+
+def _dimension(spark, d) -> StoredDimension:
+    """The last order of each customer, bucketed by customer."""
+    kept = StoredDimension(spark, f"last_order_{uuid.uuid4().hex[:8]}", ["o_custkey"], 8)
+    kept.save(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], f"{_folder(spark)}/dimension")
+    return kept
+
+
+@query("lookup_stored_dimension", ORACLES["lookup_left_last"])
+def _(spark, d):
+    return combine.project(_dimension(spark, d).lookup(table(spark, d, "customer"), ["c_custkey"], "left"), _PICK)
+
+
+@query("stream_lookup_stored", f"SELECT event_id, o_orderkey AS order_id FROM events JOIN ({_LAST}) ON user_id = o_custkey WHERE event_type = 'purchase' AND value > 10")
+def _(spark, d):
+    """Each poll's events are looked up in a stored dimension."""
+    kept, (folder, stream) = _dimension(spark, d), _split_events(spark, d)
+
+    def job(hit, n):
+        found = kept.lookup(hit, ["user_id"], "inner")
+        combine.project(found, [col("event_id", "A.event_id"), col("order_id", "B.o_orderkey")]).write.mode("overwrite").parquet(f"{folder}/out/poll={n}")
+
+    feed.run_feed(stream, _PURCHASES, [(1, job)], f"{folder}/audit", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("poll")
+
+
+def _letters(spark, d) -> DataFrame:
+    """A customer with its nation (missing for some) and its large orders."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    o = table(spark, d, "orders").where("o_totalprice > 250000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))).alias("orders"))
+    nation = n.where("n_nationkey % 5 > 0").select(F.col("n_nationkey").alias("c_nationkey"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("nation"))
+    return c.join(nation, "c_nationkey", "left").join(o, "c_custkey", "left").select("c_custkey", "c_name", "c_acctbal", "nation", "orders")
+
+
+_SUBJECT = "{{if gt .c_acctbal 5000}}Dear{{else}}Hello{{end}} {{.CName}}"
+_BODY = "From {{.nation.name}}:{{range .orders}} {{.key}}{{if eq .status \"F\"}} (done){{end}}{{else}} no orders{{end}}."
+_LETTERS = "(SELECT c_custkey, c_name, c_acctbal, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 > 0)"
+
+
+@query("message_nested", f"SELECT 'a@b' AS \"to\", '' AS cc, '' AS bcc, (CASE WHEN c_acctbal > 5000 THEN 'Dear ' ELSE 'Hello ' END) || c_name AS subject, 'From ' || n_name || ':' || coalesce(t, ' no orders') || '.' AS body, 'text/plain' AS content_type FROM {_LETTERS} LEFT JOIN (SELECT o_custkey, string_agg(' ' || o_orderkey || CASE WHEN o_orderstatus = 'F' THEN ' (done)' ELSE '' END, '' ORDER BY o_orderkey) AS t FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey) ON o_custkey = c_custkey WHERE n_name IS NOT NULL")
+def _(spark, d):
+    """Templates with nested fields, conditions and a range; customers without a nation have no message."""
+    return all_messages(_letters(spark, d), _SUBJECT, _BODY, ["a@b"])[0]
+
+
+@query("message_rejected", f"SELECT c_custkey, '.nation.name: its parent is NULL' AS error FROM {_LETTERS} WHERE n_name IS NULL")
+def _(spark, d):
+    rejected = all_messages(_letters(spark, d), _SUBJECT, _BODY, ["a@b"])[1]
+    return rejected.select(F.get_json_object("row", "$.c_custkey").cast("long").alias("c_custkey"), "error")
+
+
 @query("pipeline_two_starts", "SELECT 'orders' AS flow, o_orderkey AS id FROM orders UNION ALL SELECT 'customers', c_custkey FROM customer")
 def _(spark, d):
     """Two start nodes: independent flows of one job, each over a source of its own."""

@@ -57,18 +57,3 @@ def prefixed(spec: dict) -> dict:
         side, column = spec["ref"].split(".", 1)
         return spec | {"name": f"{side.lower()}_{column}"}
     return spec
-
-
-def render(template: str, columns: list[str]) -> Column:
-    """A text template with {{.Field}} places as a column; fields match by name, snake_case or PascalCase."""
-    import re
-
-    have = {c.lower(): c for c in columns} | {c.replace("_", "").lower(): c for c in columns}
-    parts, last = [], 0
-    for m in re.finditer(r"\{\{\s*\.(\w+)\s*\}\}", template):
-        field = have.get(m[1].lower(), have.get(m[1].replace("_", "").lower()))
-        if field is None:
-            raise ValueError(f"template field {m[1]!r} is not a column")
-        parts += [F.lit(template[last : m.start()]), F.coalesce(F.col(field).cast("string"), F.lit(""))]
-        last = m.end()
-    return F.concat(*parts, F.lit(template[last:]))

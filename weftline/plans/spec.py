@@ -33,6 +33,18 @@ class Job:
     orphans: list[str]
     counts: dict[str, Observation] = field(default_factory=dict)
     persisted: list[DataFrame] = field(default_factory=list)
+    feeds: dict[str, DataFrame] = field(default_factory=dict)  # what each sink is given
+    above: dict[str, list[str]] = field(default_factory=dict)  # the nodes whose rows each node gets
+
+    def upstream(self, node: str) -> list[str]:
+        """The node and all whose rows it is made of."""
+        seen, todo = [], [node]
+        while todo:
+            name = todo.pop()
+            if name not in seen:
+                seen.append(name)
+                todo += self.above.get(name, [])
+        return seen
 
     def result(self, node: str, output: str | None = None) -> DataFrame:
         frames = self.frames[node]
@@ -118,7 +130,7 @@ def build(
 ) -> Job:
     """Fold a spec into DataFrames; nothing runs.
 
-    ``targets`` gives the current state of a db_output's table (none: an empty one); ``given`` replaces the
+    ``Job.feeds`` has the rows that each sink is to write.  ``targets`` gives the current state of a db_output's table (none: an empty one); ``given`` replaces the
     rows of named nodes, which is how a trigger hands its events to a job.  With ``persist`` a frame that feeds
     several nodes is computed once for all of them; ``Job.release`` gives its memory back.
     """
@@ -141,6 +153,7 @@ def build(
         node = nodes[node_id]
         config, kind = node.get("config", {}), node["type"]
         inputs = {}
+        job.above[node_id] = [c["from"] for c in feeds[node_id]]
         for i, c in enumerate(feeds[node_id]):
             outs = frame(c["from"])
             inputs[c.get("input") or chr(65 + i)] = outs[c["output"]] if c.get("output") else next(iter(outs.values()))
@@ -157,6 +170,7 @@ def build(
         elif kind == "db_output":
             source = next(iter(inputs.values()))
             target = targets(config) if targets else source.limit(0)
+            job.feeds[node_id] = source
             out = {"state": apply(target, source, config.get("mode", "insert"), config.get("keys"), config.get("columns"))}
         elif kind == "log":
             out = {"lines": log_lines(next(iter(inputs.values())), config.get("separator", " | "))}
@@ -169,6 +183,8 @@ def build(
             name, df = next(iter(out.items()))
             job.counts[node_id] = Observation(f"node_{node_id}")
             out[name] = df.observe(job.counts[node_id], F.count(F.lit(1)).alias("rows"))
+        if kind in ("log", "email_output"):
+            job.feeds[node_id] = next(iter(out.values()))
         busy.discard(node_id)
         job.frames[node_id] = shared(node_id, out)
         return out

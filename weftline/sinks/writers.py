@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import render
+from ..functions.templates import compiled
 from ..operators.apply import apply, validate, with_keys, without_keys
 from ..operators.combine import last_by_key
-from ..sources.metadata import jdbc_link, primary_key
+from ..sources.metadata import jdbc_link, primary_key, stored_name
 from ..sources.sql import identifier, jdbc_options
 
 
@@ -94,7 +94,7 @@ def write_jdbc(
 
     Update, merge and delete load the rows, one a key, into a staging table in parallel and then change the table
     by set-based statements in one transaction; the staging table goes in any case.  Keys default to the table's
-    primary key.  Names that are not qualified are those of the connection's schema.
+    primary key.  A table is found in the case it was given in, else in upper, else in lower case.  Names that are not qualified are those of the connection's schema.
     """
     spark, mode = df.sparkSession, mode.lower()
     options = {k: v for k, v in jdbc_options(connection).items() if k != "fetchsize"}
@@ -102,11 +102,12 @@ def write_jdbc(
     if "." not in table and connection.get("schema"):
         table = f"{connection['schema']}.{table}"
     identifier(table)
+    there = stored_name(spark, table, options) or table
     if mode in ("insert", "truncate"):
         rows = df if mode == "insert" else df.limit(0)
-        writer(rows, table).option("truncate", "true").mode("append" if mode == "insert" else "overwrite").save()
+        writer(rows, there).option("truncate", "true").mode("append" if mode == "insert" else "overwrite").save()
         return
-    target = spark.read.format("jdbc").options(**options).option("dbtable", table).load()
+    target = spark.read.format("jdbc").options(**options).option("dbtable", there).load()
     if keys is None:
         keys = primary_key(spark, table, options)
     columns = list(columns if columns is not None else [c for c in df.columns if c in target.columns])
@@ -121,7 +122,7 @@ def write_jdbc(
     quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier
     writer(rows, stage).mode("errorifexists").save()
     try:
-        _run_sql(spark, connection, change_statements(mode, table, stage, keys, columns, quote))
+        _run_sql(spark, connection, change_statements(mode, there, stage, keys, columns, quote))
     finally:
         _run_sql(spark, connection, [f"DROP TABLE {stage}"])
 
@@ -138,9 +139,21 @@ def log_lines(df: DataFrame, separator: str = " | ") -> DataFrame:
 
 
 def messages(df: DataFrame, subject: str, body: str, to: list[str], cc: list[str] = (), bcc: list[str] = (), html: bool = False) -> DataFrame:
-    """(to, cc, bcc, subject, body, content_type) for each row; field names are checked when the plan is made."""
-    return df.select(
+    """(to, cc, bcc, subject, body, content_type) for each row whose templates do not fail; fields are checked when the plan is made."""
+    return all_messages(df, subject, body, to, cc, bcc, html)[0]
+
+
+def all_messages(
+    df: DataFrame, subject: str, body: str, to: list[str], cc: list[str] = (), bcc: list[str] = (), html: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The messages, and the rows whose templates fail: (row as JSON, error).
+
+    Both come from one plan over ``df``; persist it if both are used and it is dear.
+    """
+    (head, head_error), (text, text_error) = compiled(subject, df.schema), compiled(body, df.schema)
+    error = F.coalesce(head_error, text_error)
+    sent = df.where(error.isNull()).select(
         F.lit(",".join(to)).alias("to"), F.lit(",".join(cc)).alias("cc"), F.lit(",".join(bcc)).alias("bcc"),
-        render(subject, df.columns).alias("subject"), render(body, df.columns).alias("body"),
-        F.lit("text/html" if html else "text/plain").alias("content_type"),
+        head.alias("subject"), text.alias("body"), F.lit("text/html" if html else "text/plain").alias("content_type"),
     )
+    return sent, df.where(error.isNotNull()).select(F.to_json(F.struct("*")).alias("row"), error.alias("error"))

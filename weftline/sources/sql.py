@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,72 @@ def sql_source(spark: SparkSession, query: str, connection: dict | None = None)
     return dedupe_names(spark.read.format("jdbc").options(**options).option("query", query).load())
 
 
+def split_points(df: DataFrame, column: str, parts: int, accuracy: int = 100_000) -> list:
+    """Values that cut the rows into ``parts`` of about equal size, at most ``parts - 1``, in order; NULLs aside.
+
+    Quantiles of the column by a sketch of bounded size: no row comes to the driver.  A value that fills several
+    parts is one split point, so fewer come back.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(F.col(f"`{column}`"), F.array(*map(F.lit, shares)), accuracy)).first()[0]
+    return sorted(set(found or []))
+
+
+def _literal(value, kind: str) -> str:
+    """A number, date or time in the database's SQL."""
+    if not isinstance(value, dt.date):
+        return str(value)
+    if not isinstance(value, dt.datetime):
+        return f"CAST('{value}' AS DATE)"
+    stamp = {"mysql": "DATETIME(6)", "sqlserver": "DATETIME2"}.get(kind, "TIMESTAMP")
+    return f"CAST('{value:%Y-%m-%d %H:%M:%S.%f}' AS {stamp})"
+
+
+def split_predicates(points: list, column: str, connection: dict) -> list[str]:
+    """Conditions in the database's SQL, one a part, that hold for each row exactly once; NULLs are in the first."""
+    kind = database_kind(connection)
+    c = quoted(column, kind)
+    values = [_literal(v, kind) for v in points]
+    if not values:
+        return [f"{c} = {c} OR {c} IS NULL"]
+    first = [f"{c} <= {values[0]} OR {c} IS NULL"]
+    middle = [f"{c} > {lo} AND {c} <= {hi}" for lo, hi in zip(values, values[1:])]
+    return [*first, *middle, f"{c} > {values[-1]}"]
+
+
+def quoted(name: str, kind: str) -> str:
+    return {"mysql": "`{}`", "sqlserver": "[{}]"}.get(kind, '"{}"').format(name)
+
+
+def parallel_source(spark: SparkSession, query: str, connection: dict, column: str, parts: int = 8, scan_parts: int | None = None) -> DataFrame:
+    """``sql_source`` read in parallel, in parts of about equal numbers of rows whatever the distribution of ``column``.
+
+    The column (a number, date or timestamp of the query's) is read alone first, for its quantiles: in
+    ``scan_parts`` even intervals between its ends, or over one connection.  A value that more than one part's share
+    of the rows has stays in one part: choose a column whose values are many.
+    """
+    query = query.strip().rstrip(";")
+    kind = database_kind(connection)
+    alone = f"SELECT {quoted(column, kind)} FROM ({query}) q"
+    narrow = {k: v for k, v in connection.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    points = split_points(sql_source(spark, alone, _even(spark, alone, narrow, column, scan_parts)), column, parts)
+    options = jdbc_options(narrow)
+    options.pop("url")
+    rows = spark.read.options(**options).jdbc(jdbc_options(narrow)["url"], f"({query}) q", predicates=split_predicates(points, column, connection), properties={})
+    return dedupe_names(rows)
+
+
+def _even(spark: SparkSession, query: str, connection: dict, column: str, parts: int | None) -> dict:
+    """The connection with even intervals between the ends of a column, for a first look at it."""
+    if not parts or parts < 2:
+        return connection
+    c = quoted(column, database_kind(connection))
+    low, high = sql_source(spark, f"SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM ({query}) e", connection).first()
+    if low is None or low == high:
+        return connection
+    return connection | {"partitionColumn": c, "lowerBound": low, "upperBound": high, "numPartitions": parts}
+
+
 def infer_schema(spark: SparkSession, query: str, connection: dict | None = None) -> DataFrame:
     """(ordinal, name, source_type, type, length, precision, scale, nullable) of a query, without running it.
 
