@@ -14,16 +14,19 @@ the sketch test is part of the join condition.  So a bucket of very many copies
 and no link is left untested that could join two components.
 
 A pair at the threshold shares no band with a chance of about 1 in 100,000, no long band with less than that,
-and differs by more than the sketch bound of six standard deviations with less than 1 in 10 million.  Where many
-unlinked texts are about as alike as that, the last round tests far more pairs than it can confirm, so its bound is
-four: a link that alone joins two components is missed there with a chance of about 1 in 30,000.
+and differs by more than a sketch bound, which always lies six standard deviations off, with less than 1 in 10
+million.  Where many unlinked texts are nearly as alike as the threshold, the sketches of all samples cannot tell
+them apart, so the classes of the last round get finer ones, of six times as many samples.
+
+Full sets are compared as 64-bit hashes of their shingles; classes are equal sets by two such digests, joined on one
+64-bit hash of both.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only_ids, stored
@@ -33,8 +36,10 @@ from .textops import lower_ascii, mix, shingle_sets, slices
 SAMPLES = 384
 SKETCH_BITS = 1024
 PIVOTS = 4
+#: Samples and bits of the finer sketches of the last round.
+FINE_SAMPLES, FINE_BITS = 2304, 3072
 #: Number and length of the long bands, and the most classes that meet in one block.
-LONG_BANDS, LONG_ROWS, BLOCK = 40, 6, 500
+LONG_BANDS, LONG_ROWS, BLOCK = 25, 6, 500
 #: Sets of at most so many shingles in all (8 bytes each, so 16 MB) are broadcast; larger ones are shuffled.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -66,6 +71,30 @@ def _fold(sets: list[np.ndarray], bands: int, rows: int, seed: int = 7) -> tuple
     return band, long, np.packbits(bits, axis=1).view(np.uint64)
 
 
+def _fine(size: int, seed: int = 11):
+    """Rows (d1, d2, f0, f1, …) of the finer odd sketches of texts."""
+    rng = np.random.default_rng(seed)
+    mult = rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint32)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column("text")):
+                sets = [s for s in shingle_sets(lower_ascii(data), offs, size) if len(s)]
+                if not sets:
+                    continue
+                values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+                at = np.cumsum([0] + [len(s) for s in sets[:-1]])
+                bits, each = np.zeros((len(sets), FINE_BITS), dtype=np.uint8), np.arange(len(sets))
+                for k in range(FINE_SAMPLES):
+                    low = np.minimum.reduceat(values * mult[k] + add[k], at).astype(np.uint64)
+                    bits[each, (mix(low + np.uint64((k + 1) << 32)) % np.uint64(FINE_BITS)).astype(np.int64)] ^= 1
+                words = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_pydict({**_digests(sets), **{f"f{i}": words[:, i] for i in range(words.shape[1])}})
+
+    return run
+
+
 def _digests(sets: list[np.ndarray]) -> dict[str, pa.Array]:
     return {
         "d1": pa.array([int(np.add.reduce(mix(s)).astype(np.int64)) for s in sets], pa.int64()),
@@ -116,19 +145,25 @@ def _sets(size: int):
     return run
 
 
-def sketch_bound(percent: int, deviations: float = 6) -> int:
+def sketch_bound(percent: int, deviations: float = 6, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """Most differing sketch bits of a candidate: so many standard deviations above the mean at the threshold.
 
     The number of differing samples is binomial; each sets one parity bit in either sketch, and the XOR of
     two parity bitmaps has a bit set where an odd number of them fell.
     """
     apart = 1 - percent / 100
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * apart))
-    slope = 2 * (1 - 2 * mean / SKETCH_BITS)  # bits for one more differing sample
-    spread = slope**2 * SAMPLES * apart * (1 - apart) + mean * (1 - mean / SKETCH_BITS)
+    mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * apart))
+    slope = 2 * (1 - 2 * mean / bits)  # bits for one more differing sample
+    spread = slope**2 * samples * apart * (1 - apart) + mean * (1 - mean / bits)
     return int(mean + deviations * spread**0.5) + 1
 
 
+def _differs(names: list[str]) -> Column:
+    """How many bits of the sketches of x and y differ."""
+    each = [F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names]
+    return sum(each[1:], each[0])
+
+
 def near_duplicates(
     documents: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 28, rows: int = 5
 ) -> DataFrame:
@@ -203,10 +238,7 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, bands: int,
     members = stored(members.join(heads.select("bucket", "head"), "bucket"))
 
     bound = sketch_bound(percent)
-    differs = sum(
-        (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, words)),
-        F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))),
-    )
+    differs = _differs([f"s{i}" for i in range(words)])
 
     def close(pairs: DataFrame) -> DataFrame:
         return (
@@ -236,8 +268,8 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, bands: int,
     links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
     tested = tested.unionByName(more)
 
-    rest = split_buckets(links).select("class", "component").distinct()
-    more = stored(_apart(rest, classes, sketches, differs <= sketch_bound(percent, 4)).join(tested, ["a", "b"], "left_anti"))
+    rest = stored(split_buckets(links).select("class", "component").distinct())
+    more = stored(_apart(rest, classes, _fine_sketches(docs, classes, rest, shingle_words), percent).join(tested, ["a", "b"], "left_anti"))
     links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
 
     group = connected_components(links)
@@ -248,8 +280,18 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, bands: int,
     return signed, found.join(first, "component").select("class", F.col("first.rep").alias("found"), (F.col("class") == F.col("first.class")).alias("leads"))
 
 
-def _apart(rest: DataFrame, classes: DataFrame, sketches: DataFrame, close) -> DataFrame:
-    """Pairs (a, b) of different components that share a long band and whose sketches are close.
+def _fine_sketches(docs: DataFrame, classes: DataFrame, rest: DataFrame, size: int) -> DataFrame:
+    """(class, f0, f1, …): finer sketches of the classes in ``rest``."""
+    wanted = stored(classes.select("class", "rep").join(rest.select("class").distinct(), "class", "left_semi"))
+    texts = only_ids(docs, "doc_id", wanted.select(F.col("rep").alias("doc_id")).distinct())
+    names = [f"f{i}" for i in range(FINE_BITS // 64)]
+    fine = texts.mapInArrow(_fine(size), "d1 long, d2 long, " + ", ".join(f"{n} long" for n in names)).withColumn("class", F.xxhash64("d1", "d2"))
+    fine = fine.join(wanted.select("class"), "class", "left_semi").select("class", *names)
+    return stored(fine.dropDuplicates(["class"]))
+
+
+def _apart(rest: DataFrame, classes: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a long band and whose finer sketches are close.
 
     A long band of many classes is compared in blocks: each class goes to the pairs of blocks that hold its own.
     """
@@ -260,7 +302,8 @@ def _apart(rest: DataFrame, classes: DataFrame, sketches: DataFrame, close) -> D
     at = at.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     at = at.select("class", "component", "band", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    at = stored(at).join(classes.select("class", "long_bands"), "class").join(sketches, "class")
+    close = _differs([c for c in fine.columns if c != "class"]) <= sketch_bound(percent, 6, FINE_SAMPLES, FINE_BITS)
+    at = stored(at).join(classes.select("class", "long_bands"), "class").join(fine, "class")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
     once = F.when(F.col("x.p") == F.col("x.q"), F.col("x.class") < F.col("y.class")).otherwise(
         (F.col("x.own") == F.col("x.p")) & (F.col("y.own") == F.col("y.q"))
