@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,25 +22,77 @@ from pyspark.sql import functions as F
 from .common import SEPARATOR_PATTERN, SEPARATORS, stored
 
 
-def longest_common(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, last first; a bit of a row is 0 where its length grows."""
-    where: dict = {}
+#: Up to so many pairs of lines are aligned with a row of bits kept for each line (2 MB); more by halves.
+KEPT_BITS = 1 << 24
+
+
+def _rows(a: list, b: list, keep: bool):
+    """Rows of bits of the common subsequences of prefixes of ``a`` with b: bit j is 0 where the length grows at b[j].
+
+    All rows, or only the last one.  A line's mask of places in b is made when it is needed; only those of lines
+    that fill much of b, of which there are few, are kept.
+    """
+    places: dict = {}
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
+        places.setdefault(x, []).append(j)
+    masks: dict = {}
+
+    def mask(x) -> int:
+        if x not in places:
+            return 0
+        if x in masks:
+            return masks[x]
+        bits = np.zeros(len(b), dtype=np.uint8)
+        bits[places[x]] = 1
+        made = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if len(places[x]) * 64 >= len(b):
+            masks[x] = made
+        return made
+
     full = (1 << len(b)) - 1
-    rows = [full]
+    row, rows = full, [full]
     for x in a:
-        both = rows[-1] & where.get(x, 0)
-        rows.append(((rows[-1] + both) | (rows[-1] - both)) & full)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[i] >> (j - 1) & 1:
-            j -= 1
-        elif not rows[i - 1] >> (j - 1) & 1:
-            i -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+        both = row & mask(x)
+        row = ((row + both) | (row - both)) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else row
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """The lengths of common subsequences with each prefix of b, from its row of bits."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def longest_common(a: list, b: list, kept_bits: int = KEPT_BITS) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, last first.
+
+    Long sequences are halved: a longest one runs through the place of b at which those of a's halves add up to
+    the most, which the last rows of bits alone tell.  So memory follows the lines, not their pairs.
+    """
+    out, stack = [], [(0, len(a), 0, len(b))]
+    while stack:
+        al, ah, bl, bh = stack.pop()
+        if al >= ah or bl >= bh:
+            continue
+        if ah - al > 1 and (ah - al) * (bh - bl) > kept_bits:
+            mid = (al + ah) // 2
+            left = _lengths(_rows(a[al:mid], b[bl:bh], False), bh - bl)
+            right = _lengths(_rows(a[mid:ah][::-1], b[bl:bh][::-1], False), bh - bl)
+            cut = bl + int((left + right[::-1]).argmax())
+            stack += [(al, mid, bl, cut), (mid, ah, cut, bh)]  # the later half comes off first
+            continue
+        rows = _rows(a[al:ah], b[bl:bh], True)
+        i, j = ah - al, bh - bl
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((al + i, bl + j))
     return out
 
 
