@@ -56,12 +56,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partition_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of n partitions an integer that ``repartition(n, key)`` deals to it, so that n keys fill n partitions."""
-    hashed = spark.range(n * 40, numPartitions=1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
-    return [r["k"] for r in hashed.groupBy("p").agg(F.min("k").alias("k")).orderBy("p").collect()]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, partition_keys, stored
+from .common import BROADCAST_IDS, stored
 from .textops import deal, dealt, mix, powers, prefix_hashes, slices, sliding, span_hashes
 
 KMER = 20
@@ -126,7 +126,7 @@ def _firsts(x: np.ndarray) -> np.ndarray:
 class _Block:
     """Anchors of some slices of a task."""
 
-    def __init__(self, length: int, bits: int, parts: np.ndarray):
+    def __init__(self, length: int, bits: int, parts: int):
         self.length, self.shift, self.n, self.parts, self.data, self.held, self.size = length, 64 - bits, parts, [], [], 0, 0
 
     def add(self, data, offs, ids, keys) -> None:
@@ -169,7 +169,7 @@ class _Block:
         yield deal(columns, np.where(meets, columns["kmer"], columns["key"] + columns["pos"]), self.n)
 
 
-def _anchor_rows(length: int, bits: int, parts: np.ndarray):
+def _anchor_rows(length: int, bits: int, parts: int):
     def run(batches):
         block, seen = _Block(length, bits, parts), set()
         for batch in batches:
@@ -241,7 +241,7 @@ def _context(length: int) -> dict:
 NO_ASKS = "cast(array() as array<int>)"
 
 
-def _contexts(length: int, parts: np.ndarray):
+def _contexts(length: int, parts: int):
     """The bytes around each anchor asked for, packed by k-mer; those of hot k-mers string by string.
 
     Rows whose ``before`` is -1 are spans [pos, after) that the task has found covered.
@@ -516,7 +516,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     n = max(least, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // MEET_BYTES + 1)
     found = stored(
         docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "key")
-        .mapInArrow(_anchor_rows(length, bits, np.array(partition_keys(spark, n))), "part int, rows binary").repartition(n, "part").mapInArrow(_meet(HOT), FOUND)
+        .mapInArrow(_anchor_rows(length, bits, n), "part int, rows binary").repartitionById(n, "part").mapInArrow(_meet(HOT), FOUND)
     )
     asked = found.where("key is not null and hi is null")
     hot = found.where("key is null").select("kmer").distinct()
@@ -529,7 +529,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     # both joins deal the same rows by the same key, so that Spark shuffles the texts once
     spans = (
         docs.join(asks, "key", "left").select("key", "doc_id", "text", F.coalesce("asks", F.expr(NO_ASKS)).alias("asks"))
-        .mapInArrow(_contexts(length, np.array(partition_keys(spark, m))), "part int, rows binary").repartition(m, "part")
+        .mapInArrow(_contexts(length, m), "part int, rows binary").repartitionById(m, "part")
         .mapInArrow(_compare(length, bits), "key long, lo int, hi int")
         .unionByName(found.where("hi is not null").select("key", F.col("pos").alias("lo"), "hi"))
         .groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("spans"))

@@ -140,12 +140,12 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def deal(columns: dict[str, np.ndarray], key: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+def deal(columns: dict[str, np.ndarray], key: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows packed as (part, rows): one compressed piece for each of ``parts`` that a 64-bit key is dealt to.
 
     A shuffle of such pieces moves columns, not single rows, which is several times cheaper.
     """
-    part = (mix(key.view(np.uint64)) % np.uint64(len(parts))).astype(np.uint16 if len(parts) <= 1 << 16 else np.int64)
+    part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     sorted_, part = [c[order] for c in columns.values()], part[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else order
@@ -153,7 +153,7 @@ def deal(columns: dict[str, np.ndarray], key: np.ndarray, parts: np.ndarray) ->
     for lo, hi in zip(first, [*first[1:], len(part)]):
         raw = b"".join(c[lo:hi].tobytes() for c in sorted_)
         out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
-    return pa.RecordBatch.from_pydict({"part": pa.array(parts[part[first]], pa.int32()), "rows": pa.array(out, pa.binary())})
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[first].astype(np.int32), pa.int32()), "rows": pa.array(out, pa.binary())})
 
 
 def dealt(batches, kinds: dict[str, np.dtype]) -> Iterator[dict[str, np.ndarray]]:
