@@ -8,6 +8,9 @@ stays empty.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import sys
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -80,26 +83,40 @@ def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """Apply all stages to ``documents``; each result but the last is written as Parquet and read again.
 
     With a ``name`` the stages' tables are kept under it in the checkpoint folder, and a run that was lost goes on
-    behind its last whole table when it is started again by that name.
+    behind its last whole table when it is started again by that name.  Tables of other rows or of other code are
+    not taken up: they are written again.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark, shared=bool(name))}/pipeline-{name or uuid.uuid4().hex}"
+    mark = fingerprint(spark, sf_dir) if name else ""
     for number, (stage_name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{stage_name}"
         if number + 1 == len(STAGES):
             return stage(spark, docs, sf_dir)
-        if not (name and written(spark, path)):
+        if not (name and written(spark, path, mark)):
+            if name:  # while the table is being written, nothing says that it is whole
+                spark.createDataFrame([], "mark string").write.mode("overwrite").parquet(f"{path}-whole")
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
             if name:
-                spark.range(1).write.mode("overwrite").parquet(f"{path}-whole")
+                spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{path}-whole")
         docs = spark.read.parquet(path)
     return docs
 
 
-def written(spark: SparkSession, path: str) -> bool:
-    """Whether the table at the path was written to its end: another one beside it says so."""
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the rows that the stages read and of the code that they run."""
+    rows = []
+    for name, columns in (("documents", COLUMNS), ("labels", ["doc_id", "toxic"])):
+        hashed = table(spark, sf_dir, name).select(F.xxhash64(*columns).alias("h"))
+        rows.append(tuple(hashed.agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()))
+    code = [inspect.getsource(sys.modules[m]) for m in sorted(sys.modules) if m.startswith("weftline.llm.")]
+    return hashlib.sha256(repr((rows, code, inspect.getsource(sys.modules[__name__]))).encode()).hexdigest()
+
+
+def written(spark: SparkSession, path: str, mark: str) -> bool:
+    """Whether the table at the path was written to its end, by this code and from these rows: another one beside it says so."""
     try:
-        return not spark.read.schema("id long").parquet(f"{path}-whole").isEmpty()
+        return [r["mark"] for r in spark.read.schema("mark string").parquet(f"{path}-whole").collect()] == [mark]  # one row
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
