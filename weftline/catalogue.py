@@ -493,17 +493,19 @@ def _(spark, d):
 
 @query("stream_apply_merge", "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' AND value > 10 GROUP BY user_id")
 def _(spark, d):
+    """Each poll merges its users into the table; only the partitions that hold them are read and written."""
     folder, stream = _split_events(spark, d, 3)
-    target = ParquetTable(spark, f"{folder}/target")
+    target = PartitionedTable(spark, f"{folder}/target", ["part"])
 
     def job(hit, n):
-        new = hit.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+        new = hit.groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("part", F.pmod("user_id", F.lit(16)).cast("int"))
         if target.exists():
-            new = new.unionByName(target.read()).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-        target.apply(new, "merge", ["user_id"]) if target.exists() else target.apply(new, "insert")
+            known = target.read().where(F.col("part").isin([r["part"] for r in new.select("part").distinct().collect()]))  # 16 at most
+            new = new.unionByName(known.join(new.select("user_id"), "user_id", "left_semi").select(*new.columns)).groupBy("user_id", "part").agg(F.max("event_id").alias("event_id"))
+        target.apply(new, "merge", ["part", "user_id"])
 
     feed.run_feed(stream, _PURCHASES, [(1, job)], f"{folder}/audit", f"{folder}/checkpoint").awaitTermination()
-    return target.read()
+    return target.read().select("user_id", "event_id")
 
 
 @query("stream_audit", "SELECT 'completed' AS status, CAST(count(*) AS BIGINT) AS events, count(*) FILTER (WHERE event_type = 'purchase' AND value > 10) AS matched FROM events")
