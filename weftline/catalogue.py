@@ -700,7 +700,7 @@ def _(spark, d):
 
 
 @query("database_query_schema", " UNION ALL ".join(
-    f"SELECT {i} AS ordinal, '{n}' AS name, '{s}' AS source_type, '{t}' AS type, {p} AS precision, {length} AS length, {null} AS nullable, count(*) AS rows, count({n}) AS filled FROM orders"
+    f"SELECT {i} AS ordinal, '{n}' AS name, '{s}' AS source_type, '{t}' AS type, {p} AS precision, {length}::BIGINT AS length, {null} AS nullable, count(*) AS rows, count({n}) AS filled FROM orders"
     for i, (n, s, t, p, length, null) in enumerate((
         ("o_orderkey", "BIGINT", "bigint", 19, "NULL", "false"), ("o_orderpriority", "VARCHAR", "string", "NULL", 200, "true"),
         ("o_totalprice", "DOUBLE", "double", 15, "NULL", "true"), ("o_orderdate", "TIMESTAMP", "timestamp", "NULL", "NULL", "true")), 1)))
