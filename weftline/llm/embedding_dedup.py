@@ -2,8 +2,10 @@
 
 Each tree splits the space by random directions at the median of a bounded sample, deeper the more rows there
 are.  A vector close to a split goes to both sides (spill), so that near vectors share a leaf of at least one
-tree.  Every row is routed through every tree, and within leaves all vectors are compared in double precision:
-a leaf of more than ``BLOCK`` vectors in pairs of blocks, each a task's group of its own.
+tree.  Every row is routed through every tree.  The sample bounds the leaves of a tree, not the rows: a leaf that
+holds more than ``FULL`` rows of a label is split further, level by level, at medians of its own rows that Spark
+finds.  Within leaves all vectors are compared in double precision: a leaf that no direction divides, of more than
+``BLOCK`` vectors, in pairs of blocks, each a task's group of its own.
 
 A row carries the leaves that it reaches, so a pair counts in the first leaf that both reach and nowhere else.
 A leaf gives one row for each vector with a link: how many links it found, and the first vector of the
@@ -24,6 +26,11 @@ from .components import connected_components
 SAMPLE = 20_000
 #: The most vectors of a leaf that are compared in one group.
 BLOCK = 2_048
+#: Rows of a label from which a leaf is split further, and the most levels of that.
+FULL = 1_024
+LEVELS = 24
+#: A split stands if its sides, spill included, have at most this share of the node's pairs.
+SHARE = 0.8
 #: Routed rows in one task.
 TASK_ROWS = 100_000
 
@@ -84,7 +91,7 @@ def _route(shared, spill: float):
                 part = batch.filter(pa.array(sizes == dim))
                 trees = forests.get(int(dim))
                 if trees is None:
-                    leaves = pa.array([[-1]] * part.num_rows, pa.list_(pa.int32()))
+                    leaves = pa.array([[-1]] * part.num_rows, pa.list_(pa.int64()))
                 else:
                     x, rows, numbers, first = _unit(part.column("embedding")), [], [], 0
                     for tree in trees:
@@ -95,7 +102,7 @@ def _route(shared, spill: float):
                     row, number = np.concatenate(rows), np.concatenate(numbers)
                     order = np.lexsort((number, row))
                     offsets = np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32)
-                    leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[order].astype(np.int32)))
+                    leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[order].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("label", "dim", "rep", "n", "embedding")] + [leaves], ["label", "dim", "rep", "n", "embedding", "leaves"]
                 )
@@ -103,6 +110,75 @@ def _route(shared, spill: float):
     return run
 
 
+def _project(levels: int):
+    """``levels`` projections of each vector, on directions that its leaf gives."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.take(pa.array(np.lexsort((batch.column("leaf").to_numpy(), batch.column("dim").to_numpy()))))
+            dims, leaves = batch.column("dim").to_numpy(), batch.column("leaf").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(dims) != 0) | (np.diff(leaves) != 0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                d = np.random.default_rng([7, int(leaves[lo])]).normal(size=(int(dims[lo]), levels))
+                at = (_unit(part.column("embedding")) @ (d / np.linalg.norm(d, axis=0))).reshape(-1)
+                at = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) + 1, levels, dtype=np.int32)), pa.array(at))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "dim", "rep", "leaf")] + [at], ["label", "dim", "rep", "leaf", "at"])
+
+    return run
+
+
+def split_full_leaves(routed: DataFrame, base: int, spill: float, full: int) -> DataFrame:
+    """``routed`` with every leaf of more than ``full`` rows of a label replaced by the nodes that it is split to.
+
+    All nodes of a level are split at once, each at the median of its own rows on its leaf's direction of that
+    level, and rows close to it go to both sides, as in the trees.  A node that a direction does not divide (copies
+    of one cluster) keeps its rows and tries the next level's.  Nodes are numbered as in a heap from ``base``, a
+    power of two above all leaves' numbers, so that no two are alike.  Lengths without trees (leaf -1) are left
+    whole.  The vectors are read once, for the projections on all levels; after that only numbers move.
+    """
+    each = routed.select("label", "dim", F.explode("leaves").alias("leaf")).where("leaf >= 0")
+    over = stored(each.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > full))
+    largest = over.agg(F.max("size")).first()[0]
+    if largest is None:
+        return routed
+    # a few levels more than halving needs: spill makes sides larger than halves
+    levels = min(int(np.ceil(1.5 * np.log2(largest / full))) + 3, LEVELS)
+    key = ["label", "dim", "node"]
+    active = stored(
+        routed.select("label", "dim", "rep", "embedding", F.explode("leaves").alias("leaf"))
+        .join(over.select("label", "dim", "leaf"), ["label", "dim", "leaf"])
+        .select("label", "dim", "rep", "leaf", "embedding")
+        .mapInArrow(_project(levels), "label long, dim long, rep long, leaf long, at array<double>")
+        .withColumn("node", F.col("leaf") + base)
+    )
+    ended = []
+    for level in range(levels):
+        x = F.element_at("at", level + 1)
+        cuts = active.groupBy(*key).agg(F.percentile_approx(x, 0.5, 1000).alias("t"), F.count(F.lit(1)).alias("size")).where(F.col("size") > full)
+        sides = active.withColumn("x", x).join(cuts, key)
+        low, high = F.col("x") < F.col("t") + spill, F.col("x") >= F.col("t") - spill
+        counted = sides.groupBy(*key).agg(F.count_if(low).alias("low"), F.count_if(high).alias("high"), F.first("t").alias("t"), F.first("size").alias("size"))
+        counted = stored(counted.withColumn("stands", F.pow("low", F.lit(2)) + F.pow("high", F.lit(2)) <= F.pow("size", F.lit(2)) * SHARE))
+        if counted.limit(1).count() == 0:
+            break
+        moved = active.withColumn("x", x).join(counted.select(*key, "t", "stands"), key, "left")
+        children = F.filter(F.array(F.when(low, F.col("node") * 2), F.when(high, F.col("node") * 2 + 1)), lambda n: n.isNotNull())
+        nodes = F.when(F.col("stands"), children).otherwise(F.array("node"))
+        moved = stored(moved.select("label", "dim", "rep", "leaf", "at", F.explode(nodes).alias("node"), F.col("t").isNotNull().alias("more")))
+        ended.append(moved.where("not more").drop("more", "at"))
+        active = moved.where("more").drop("more")
+    ended.append(active.drop("at"))
+    final = ended[0]
+    for part in ended[1:]:
+        final = final.unionByName(part)
+    final = final.groupBy("label", "dim", "rep").agg(F.collect_set("leaf").alias("gone"), F.collect_list("node").alias("nodes"))
+    left = F.when(F.col("nodes").isNull(), F.col("leaves")).otherwise(F.concat(F.array_except("leaves", "gone"), "nodes"))
+    return routed.join(final, ["label", "dim", "rep"], "left").select("label", "dim", "rep", "n", "embedding", left.alias("leaves"))
+
+
 def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The first of the rows that pairs (a, b) join each row to."""
     root = np.arange(n)
@@ -191,7 +267,8 @@ def _compare(threshold: float):
 
 
 def embedding_duplicates(
-    embeddings: DataFrame, threshold: float = 0.93, trees: int = 10, leaf: int = 256, spill: float = 0.03, sample: int = SAMPLE
+    embeddings: DataFrame, threshold: float = 0.93, trees: int = 10, leaf: int = 256, spill: float = 0.03, sample: int = SAMPLE,
+    full: int = FULL,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``embeddings`` (vec_id, embedding, label).
 
@@ -202,8 +279,9 @@ def embedding_duplicates(
     rows (equal ids too) count as one vector.  Other columns are ignored; an empty table gives an empty result.
 
     The trees are fitted on at most ``sample`` vectors (the first by a hash); they are split down to the share
-    of the sample that stands for ``leaf`` rows of the table, but to no less than four vectors.  Lengths of fewer
-    than ``leaf`` sampled vectors have no trees and are compared whole, by label and in blocks.
+    of the sample that stands for ``leaf`` rows of the table, but to no less than four vectors; leaves of more than
+    ``full`` rows of a label are split on by their own rows.  Lengths of fewer than ``leaf`` sampled vectors have no
+    trees and are compared whole, by label and in blocks.
     """
     spark = embeddings.sparkSession
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -242,8 +320,10 @@ def embedding_duplicates(
             forests[dim] = [Tree(x, share, np.random.default_rng(1000 + t)) for t in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
     routed = classes.select("label", "dim", F.col("class").alias("rep"), "n", "embedding").mapInArrow(
-        _route(shared, spill), f"label long, dim long, rep long, n long, embedding {kind}, leaves array<int>"
+        _route(shared, spill), f"label long, dim long, rep long, n long, embedding {kind}, leaves array<long>"
     )
+    most = max((sum(t.leaves for t in trees) for trees in forests.values()), default=1)
+    routed = split_full_leaves(stored(routed), 1 << most.bit_length(), spill, full)
     routed = stored(routed)
     each = routed.select("label", "dim", F.explode("leaves").alias("leaf"))
     sizes = each.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
