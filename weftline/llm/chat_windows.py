@@ -3,9 +3,10 @@
 Prefix sums of turn tokens cut a conversation into slots of ``room`` tokens.  Turns that lie inside one slot
 form a window; a turn across a boundary has a window of its own.  So a window's own turns never hold more
 than ``room`` tokens unless a single turn does.  Each window starts with the conversation's system turn and
-repeats earlier turns of at most ``history`` tokens; so its length is at most the system turn's, ``history``
-and ``room`` (or one longer turn).  Only its own assistant texts are under the loss mask, so each target counts
-once.  A window is put together from its own rows; only the digest by conversation holds a whole one.
+repeats earlier turns of at most ``history`` tokens.  With a ``budget`` all three together keep it: a long system
+turn makes its conversation's room smaller, a long turn its window's history shorter.  Only a window's own
+assistant texts are under the loss mask, so each target counts once.  A window is put together from its own
+rows; only the digest by conversation holds a whole one.
 """
 
 from __future__ import annotations
@@ -32,42 +33,63 @@ def turn_tokens(text: Column) -> Column:
     return (F.ceil(F.length(text) / 4) + 4).cast("long")
 
 
-def chat_windows(conversations: DataFrame, room: int = 512, history: int = 128) -> DataFrame:
-    """One row a window: (conv_id, window, text, n_repeated, loss).
+def chat_windows(
+    conversations: DataFrame, room: int = 512, history: int = 128, budget: int | None = None, tokens: str | None = None
+) -> DataFrame:
+    """One row a window: (conv_id, window, text, n_repeated, n_tokens, loss).
 
     ``text`` is the formatted window; its first ``n_repeated`` turns repeat the system turn or history;
-    ``loss`` lists (start, length) of the masked-in assistant texts, in code points of ``text``.
+    ``n_tokens`` counts all its turns; ``loss`` lists (start, length) of the masked-in assistant texts, in code
+    points of ``text``.  Tokens of a turn are those of ``turn_tokens``, or as many as the column ``tokens`` says
+    (a tokenizer's counts, marks included; null or negative: none).
+
+    No window has more than ``budget`` tokens, unless one turn of its own leaves it no other way: a turn that is
+    longer than the budget less the system turn has a window without history.  A system turn of more than half
+    the budget is not repeated; it counts as any other turn.  Without a budget the system turn is repeated
+    whatever its length, beside ``room`` and ``history``.
+
+    Very long texts stay whole: a turn is never cut.
 
     Turns are ordered by turn, role and text, so ties and repeated rows have a fixed order; a null turn comes
     first; null roles and texts are empty; rows without a conv_id form one conversation.  Other columns are
     ignored; an empty table gives no windows.
     """
+    if budget is not None and budget <= 2 * history:
+        raise ValueError("a budget must be more than twice the history")
+    counted = turn_tokens(F.col("text")) if tokens is None else F.col("counted")
+    given = [] if tokens is None else [F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("counted")]
     turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        *given, F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("%0A")), F.lit("\n"))
     turns = turns.select(
-        "conv_id", "role", F.row_number().over(order).alias("pos"), turn_tokens(F.col("text")).alias("tokens"),
+        "conv_id", "role", F.row_number().over(order).alias("pos"), counted.alias("tokens"),
         head.alias("head"), escape(F.col("text")).alias("body"),
     )
-    turns = turns.withColumn("system", (F.col("pos") == 1) & (F.col("role") == "system"))
+    system = (F.col("pos") == 1) & (F.col("role") == "system")
+    turns = turns.withColumn("system", system if budget is None else system & (F.col("tokens") * 2 <= budget))
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     # the system turn stands outside the prefix sums
     by_pos = W.partitionBy("conv_id").orderBy("pos")
     own = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
+    # what the system turn takes, and what it leaves to a window's own turns
+    led = F.coalesce(F.first(F.when(F.col("system"), F.col("tokens")), ignorenulls=True).over(by_pos), F.lit(0))
+    turns = turns.withColumn("led", led).withColumn("room", F.lit(room) if budget is None else F.least(F.lit(room), budget - history - F.col("led")))
     size = F.when(F.col("system"), 0).otherwise(F.length("piece")).cast("long")
     turns = turns.withColumn("end", F.sum(own).over(by_pos)).withColumn("start", F.col("end") - own)
     turns = turns.withColumn("c_end", F.sum(size).over(by_pos)).withColumn("c_start", F.col("c_end") - size)
-    slot = F.struct(F.floor(F.col("start") / room).alias("a"), F.floor((F.col("end") - 1) / room).alias("b"))
+    slot = F.struct(F.floor(F.col("start") / F.col("room")).alias("a"), F.floor((F.col("end") - 1) / F.col("room")).alias("b"))
     turns = turns.withColumn("slot", F.when(~F.col("system"), slot))
     opens = ~F.coalesce(F.lag("slot").over(by_pos) == F.col("slot"), F.lit(False)) & ~F.col("system")
     turns = turns.withColumn("opens", opens).withColumn("window", F.sum(opens.cast("int")).over(by_pos))
     # the windows that repeat a turn begin within ``history`` tokens after its start: few, however long the conversation
     near = W.partitionBy("conv_id").orderBy("start").rangeBetween(0, history)
-    begun = F.collect_list(F.when(F.col("opens"), F.struct("window", "start"))).over(near)
-    again = F.transform(F.filter(begun, lambda w: w["start"] > F.col("start")), lambda w: w["window"])
+    # a window of more than one turn has room for the whole history; a long turn leaves less
+    left = F.lit(history) if budget is None else F.greatest(F.least(F.lit(history), budget - F.col("led") - F.col("tokens")), F.lit(0))
+    begun = F.collect_list(F.when(F.col("opens"), F.struct("window", "start", (F.col("start") - left).alias("since")))).over(near)
+    again = F.transform(F.filter(begun, lambda w: (w["start"] > F.col("start")) & (w["since"] <= F.col("start"))), lambda w: w["window"])
     alone = F.col("system") & F.lead("pos").over(by_pos).isNull()
     found = F.first(F.when(F.col("system"), F.col("piece")), ignorenulls=True).over(by_pos)
     turns = turns.withColumn("lead", F.when(F.col("opens"), found).when(alone, F.lit(None).cast("string")))
@@ -76,12 +98,13 @@ def chat_windows(conversations: DataFrame, room: int = 512, history: int = 128)
     each = turns.select(
         "*", F.explode("at").alias("w")
     ).select(
-        "conv_id", "w", "lead",
+        "conv_id", "w", "lead", "led", "tokens",
         F.struct("pos", (F.col("w") == F.col("window")).alias("own"), "c_start", "role", F.length("head").alias("skip"), F.length("body").alias("size"), "piece").alias("t"),
     )
     # a window's own first turn brings the system turn
     rows = each.groupBy("conv_id", "w").agg(
-        F.max(F.when(F.col("t.own"), F.col("lead"))).alias("system"), F.array_sort(F.collect_list("t")).alias("t")
+        F.max(F.when(F.col("t.own"), F.col("lead"))).alias("system"), F.array_sort(F.collect_list("t")).alias("t"),
+        F.sum("tokens").alias("tokens"), F.max(F.when(F.col("lead").isNotNull(), F.col("led")).otherwise(0)).alias("led"),
     )
     system, base = F.coalesce("system", F.lit("")), F.col("t")[0]["c_start"]
     loss = F.transform(
@@ -91,7 +114,7 @@ def chat_windows(conversations: DataFrame, room: int = 512, history: int = 128)
     repeats = F.size(F.filter("t", lambda x: ~x["own"])) + F.when(F.col("system").isNotNull() & (F.col("w") > 1), 1).otherwise(0)
     return rows.select(
         "conv_id", F.col("w").alias("window"), F.concat(system, F.array_join(F.transform("t", lambda x: x["piece"]), "")).alias("text"),
-        repeats.cast("int").alias("n_repeated"), loss.alias("loss"),
+        repeats.cast("int").alias("n_repeated"), (F.col("tokens") + F.col("led")).cast("long").alias("n_tokens"), loss.alias("loss"),
     )
 
 
@@ -131,13 +154,14 @@ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
   ceil(length(text) / 4.0)::BIGINT + 4 AS tok,
   12 + length(replace(replace(replace(role, '%', '%25'), '<|', '%3C|'), chr(10), '%0A')) + 1
     + length(replace(replace(text, '%', '%25'), '<|', '%3C|')) + 11 AS chars FROM c),
-s AS (SELECT *, pos = 1 AND role = 'system' AS sys FROM o),
+s AS (SELECT *, pos = 1 AND role = 'system' AND 2 * tok <= 768 AS sys FROM o),
 t AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY pos)::BIGINT AS e FROM s),
-u AS (SELECT *, e - CASE WHEN sys THEN 0 ELSE tok END AS b FROM t),
-k AS (SELECT *, (b // 512) || '/' || ((e - 1) // 512) AS slot FROM u WHERE NOT sys),
+u AS (SELECT *, e - CASE WHEN sys THEN 0 ELSE tok END AS b, max(CASE WHEN sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM t),
+r AS (SELECT *, least(512, 768 - 128 - led) AS room FROM u),
+k AS (SELECT *, (b // room) || '/' || ((e - 1) // room) AS slot FROM r WHERE NOT sys),
 f AS (SELECT *, coalesce(lag(slot) OVER (PARTITION BY conv_id ORDER BY pos) <> slot, true) AS first FROM k),
 hist AS (SELECT a.conv_id, sum(h.chars) AS chars FROM f a JOIN k h ON a.conv_id = h.conv_id AND a.first AND h.pos < a.pos
-  AND h.b >= a.b - 128 GROUP BY a.conv_id),
+  AND h.b >= a.b - greatest(least(128, 768 - a.led - a.tok), 0) GROUP BY a.conv_id),
 wins AS (SELECT conv_id, greatest(count(*) FILTER (WHERE first), 1) AS n FROM
   (SELECT conv_id, first FROM f UNION ALL SELECT conv_id, false FROM u WHERE sys) GROUP BY conv_id),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS turns,

@@ -55,7 +55,7 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
     )
-    return chat_windows.read_back(chat_windows.chat_windows(rows.unionByName(tricky)))
+    return chat_windows.read_back(chat_windows.chat_windows(rows.unionByName(tricky), budget=768))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
