@@ -128,7 +128,7 @@ def best_fit(
 
     Rows are dealt by a hash to shards of about ``shard_rows`` rows, as many as the count of rows asks for, so
     neither a hot source nor a large cluster nor a row that repeats very often is gathered in one task.  Only ids
-    and counts are shuffled.
+    and counts are shuffled, so very long texts cost their words' count alone.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(
@@ -141,21 +141,30 @@ def best_fit(
     docs = docs.groupBy("doc_id", "row", "source", "cluster", "n_tokens").agg(F.count(F.lit(1)).alias("times"))
     docs = docs.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("row", "time"), F.lit(shards)))
-    return docs.repartition(shards, "shard").mapInArrow(
+    packed = docs.repartition(shards, "shard").mapInArrow(
         _pack(capacity), "doc_id long, row long, chunk long, start_token long, n_tokens long, bin_id long"
     )
+    return packed.withMetadata("n_tokens", {"capacity": capacity})  # for piece_texts, which cuts alike
 
 
 def piece_texts(documents: DataFrame, packed: DataFrame) -> DataFrame:
     """``packed`` (best_fit over words) with the text of each piece: its words, joined by blanks.
 
-    A document without words has an empty piece.
+    A document without words has an empty piece.  A text is cut into its pieces once, before the shuffle, so a
+    very long one travels as rows of at most as many words as a bin holds; repeated rows share their pieces.
     """
+    capacity = packed.schema["n_tokens"].metadata["capacity"]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.select(_row().alias("row"), "text").dropDuplicates(["row"])
     words = F.coalesce(word_array(F.col("text")), F.array().cast("array<string>"))
-    piece = F.array_join(F.slice(words, F.col("start_token").cast("int") + 1, F.col("n_tokens").cast("int")), " ")
-    return packed.join(texts, "row").withColumn("text", piece).select("doc_id", "chunk", "start_token", "n_tokens", "bin_id", "text")
+
+    def pieces(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(capacity))
+        return F.transform(starts, lambda at: F.array_join(F.slice(w, at, F.lit(capacity)), " "))
+
+    # the outer lambda splits a text once for all of its pieces
+    cut = texts.select(_row().alias("row"), F.posexplode(F.transform(F.array(words), pieces)[0]).alias("chunk", "text"))
+    cut = cut.select("row", F.col("chunk").cast("long").alias("chunk"), "text").groupBy("row", "chunk").agg(F.first("text").alias("text"))
+    return packed.join(cut, ["row", "chunk"]).select("doc_id", "chunk", "start_token", "n_tokens", "bin_id", "text")
 
 
 def _row():

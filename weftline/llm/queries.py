@@ -12,7 +12,7 @@ from .common import table
 from .embedding_dedup import embedding_duplicates
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
-from .packing import best_fit
+from .packing import best_fit, piece_texts
 from .quality_classifier import quality_scores
 from .suffix_dedup import suffix_digest
 from .toxicity import toxicity
@@ -45,7 +45,9 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents")).drop("row")
+    docs = table(spark, sf_dir, "documents")
+    pieces = piece_texts(docs, best_fit(docs))
+    return pieces.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
