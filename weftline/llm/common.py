@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,19 +44,63 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Where each table of ``stored`` lies, and how many writes of a session are under way with what the user had set.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_WRITING: dict[SparkSession, tuple[int, str | None]] = {}
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession):
+    """Shuffle files go at the end of each write; the user's own setting is back after the last of several at once."""
+    with _LOCK:
+        depth, own = _WRITING.get(spark) or (0, spark.conf.get(SHUFFLE_CLEANUP, None))
+        _WRITING[spark] = depth + 1, own
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            depth, own = _WRITING.pop(spark)
+            if depth > 1:
+                _WRITING[spark] = depth - 1, own
+            elif own is None:
+                spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                spark.conf.set(SHUFFLE_CLEANUP, own)
+
+
+def _at(spark: SparkSession, folder: str):
+    """File system and path of a folder, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the checkpoint folder: it cuts the lineage, and a lost executor loses none of it.
 
-    Spark deletes the shuffle files of the write as soon as the table stands.
+    Spark deletes the shuffle files of the write as soon as the table stands.  The table lasts until ``discard``,
+    at most until the driver ends: what a driver that crashes leaves lies in ``tables`` of its own part of the folder.
     """
-    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    spark = df.sparkSession
+    tables = f"{checkpoint_folder(spark)}/tables"
+    path = f"{tables}/{uuid.uuid4().hex}"
+    with _cleaned_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    files, folder = _at(spark, tables)
+    files.deleteOnExit(folder)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` from which nothing is read any more; other frames are left alone."""
+    for table in tables:
+        place = _PLACES.pop(table, None)
+        if place:
+            files, path = _at(table.sparkSession, place)
+            files.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 #: Links that one task writes.
@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Nulls and self-links are ignored; repeated links and either direction are fine; no links give
     an empty table.  Each round is two joins on the node, so a node of many links is a skewed key
     that adaptive execution splits; minima are combined before the shuffle.  Each round's links are a
-    stored table.  Only a count and a checksum of the links reach the driver.
+    stored table, which replaces that of the round before.  Only a count and a checksum of the links reach the driver.
     """
     edges = stored(
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -37,7 +37,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # the number of links never grows, so few links need few tasks
+        old = edges
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(before[0] // TASK_LINKS + 1))
+        discard(old)
         now = _signature(edges)
         if now == before:
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import connected_components
 
 #: Vectors the trees are fitted on, at most; every vector is indexed.
@@ -323,8 +323,9 @@ def embedding_duplicates(
         _route(shared, spill), f"label long, dim long, rep long, n long, embedding {kind}, leaves array<long>"
     )
     most = max((sum(t.leaves for t in trees) for trees in forests.values()), default=1)
-    routed = split_full_leaves(stored(routed), 1 << most.bit_length(), spill, full)
-    routed = stored(routed)
+    whole = stored(routed)
+    routed = stored(split_full_leaves(whole, 1 << most.bit_length(), spill, full))
+    discard(whole)
     each = routed.select("label", "dim", F.explode("leaves").alias("leaf"))
     sizes = each.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
@@ -340,6 +341,7 @@ def embedding_duplicates(
     found = stored(
         dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "a long, b long, links long")
     )
+    discard(routed, sizes)
     group = connected_components(found)
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
     out = (

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_ids, stored
+from .common import discard, only_ids, stored
 from .components import connected_components
 from .textops import lower_ascii, mix, shingle_sets, slices
 
@@ -252,10 +252,12 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, bands: int,
         at = members.select("bucket", "class").join(connected_components(links), F.col("class") == F.col("node"), "left")
         at = stored(at.select("bucket", "class", F.coalesce("component", "class").alias("component")))
         split = at.groupBy("bucket").agg(F.min("component").alias("core"), F.max("component").alias("other"))
-        return stored(at.join(split.where("core != other").select("bucket", "core"), "bucket"))
+        out = stored(at.join(split.where("core != other").select("bucket", "core"), "bucket"))
+        discard(at)
+        return out
 
     star = members.where("class != head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    tested = stored(close(star))
+    tested = first_tested = stored(close(star))
     links = _confirmed(docs, classes, tested, shingle_words, percent)
 
     rest = split_buckets(links)
@@ -268,9 +270,13 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, bands: int,
     links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
     tested = tested.unionByName(more)
 
-    rest = stored(split_buckets(links).select("class", "component").distinct())
-    more = stored(_apart(rest, classes, _fine_sketches(docs, classes, rest, shingle_words), percent).join(tested, ["a", "b"], "left_anti"))
-    links = links.unionByName(_confirmed(docs, classes, more, shingle_words, percent))
+    mixed = split_buckets(links)
+    left = stored(mixed.select("class", "component").distinct())
+    discard(members, mixed, rest)
+    fine = _fine_sketches(docs, classes, left, shingle_words)
+    last = stored(_apart(left, classes, fine, percent).join(tested, ["a", "b"], "left_anti"))
+    links = links.unionByName(_confirmed(docs, classes, last, shingle_words, percent))
+    discard(first_tested, more, last, left, fine)
 
     group = connected_components(links)
     found = classes.select("class", "rep").join(group, F.col("class") == F.col("node"), "left").select(
@@ -287,7 +293,9 @@ def _fine_sketches(docs: DataFrame, classes: DataFrame, rest: DataFrame, size: i
     names = [f"f{i}" for i in range(FINE_BITS // 64)]
     fine = texts.mapInArrow(_fine(size), "d1 long, d2 long, " + ", ".join(f"{n} long" for n in names)).withColumn("class", F.xxhash64("d1", "d2"))
     fine = fine.join(wanted.select("class"), "class", "left_semi").select("class", *names)
-    return stored(fine.dropDuplicates(["class"]))
+    out = stored(fine.dropDuplicates(["class"]))
+    discard(wanted)
+    return out
 
 
 def _apart(rest: DataFrame, classes: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +328,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     wanted = stored(classes.select("class", "rep", "n_shingles").join(ids, "class", "left_semi"))
     total = wanted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     if not total:
-        return pairs.limit(0)
+        discard(wanted)
+        return stored(pairs.limit(0))
     texts = only_ids(docs, "doc_id", wanted.select(F.col("rep").alias("doc_id")).distinct())
     sets = texts.mapInArrow(_sets(size), "doc_id long, d1 long, d2 long, shingles array<long>").withColumn("class", F.xxhash64("d1", "d2"))
     # an id may have several texts, and a text several rows
@@ -332,8 +341,10 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     if total <= BROADCAST_SHINGLES:
         x, y = F.broadcast(x), F.broadcast(y)
     shared = F.size(F.array_intersect("s", "t"))
-    return stored(
+    out = stored(
         pairs.join(y, "b").join(x, "a")
         .where(shared * 100 >= (F.size("s") + F.size("t") - shared) * percent)
         .select("a", "b").distinct()
     )
+    discard(wanted, sets)
+    return out
