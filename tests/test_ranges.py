@@ -1,0 +1,39 @@
+"""Counts of a join by range, against the pairs themselves."""
+
+import math
+
+import pytest
+
+import __spark_entry__ as entry
+from plans import formatted
+from weftline.operators import ranges
+
+NAN, INF = float("nan"), float("inf")
+VALUES = [None, NAN, NAN, -INF, INF, 0.0, -0.0, 1.5, 1.5, 2.0, 2.0, 2.0] + [i / 7 for i in range(-40, 60)]
+ENDS = [(None, 3.0), (1.0, None), (NAN, NAN), (2.0, NAN), (-INF, INF), (-INF, -INF), (0.0, 0.0), (-0.0, 1.5), (2.0, 2.0), (2.0, 1.0), (50.0, 60.0), (1.5, 2.0), (1.5, 2.0)] + [(i / 3, i / 3 + 1) for i in range(-20, 20)]
+
+
+def at_most(a, b):  # NaN is the greatest
+    return math.isnan(b) or (not math.isnan(a) and a <= b)
+
+
+@pytest.mark.parametrize("ordered", [ranges.ORDERED, 3])
+def test_counts_equal_the_pairs(spark, monkeypatch, ordered):
+    monkeypatch.setattr(ranges, "ORDERED", ordered)
+    right = spark.createDataFrame([(v,) for v in VALUES], "v double")
+    left = spark.createDataFrame([(i, *e) for i, e in enumerate(ENDS)], "id long, lo double, hi double")
+    got = sorted((r.id, r.n) for r in ranges.count_between(left, right, "lo", "hi", "v").collect())
+    pairs = [(i, sum(v is not None and None not in e and at_most(e[0], v) and at_most(v, e[1]) for v in VALUES)) for i, e in enumerate(ENDS)]
+    assert got == [(i, n) for i, n in pairs if n]
+    assert ranges.count_between(left, right.where("false"), "lo", "hi", "v").count() == 0
+    assert ranges.count_between(left.where("false"), right, "lo", "hi", "v").count() == 0
+
+
+def test_whole_numbers_meet_fractions(spark):
+    left = spark.createDataFrame([(1.5, 3.5), (3.0, 3.0), (3.1, 3.9)], "lo double, hi double")
+    assert sorted(tuple(r) for r in ranges.count_between(left, spark.range(10), "lo", "hi", "id").collect()) == [(1.5, 3.5, 2), (3.0, 3.0, 1)]
+
+
+def test_range_join_makes_no_pairs(spark):
+    plan = formatted(entry.queries()["sql_source_range_join"](spark, "/root/testdata/sf0.001"))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
