@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, stored
-from .textops import deal, dealt, mix, powers, prefix_hashes, slices, sliding, span_hashes
+from .textops import deal, dealt, lean, mix, powers, prefix_hashes, slices, sliding, span_hashes
 
 KMER = 20
 #: The most contexts of one k-mer that are sorted together.
@@ -175,7 +175,8 @@ def _anchor_rows(length: int, bits: int, parts: int):
         for batch in batches:
             keys = batch.column("key").to_pylist()
             new = [k not in seen and not seen.add(k) for k in keys]  # repeated rows
-            batch = batch.filter(pa.array(new, pa.bool_()))
+            if not all(new):  # a filter copies the texts
+                batch = batch.filter(pa.array(new, pa.bool_()))
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
             for lo, hi, data, offs in slices(batch.column("text")):
                 block.add(data, offs, ids[lo:hi], keys[lo:hi])
@@ -284,7 +285,11 @@ def _contexts(length: int, parts: int):
         )
 
     def packed(held):
-        columns = dict(zip(_context(length), (np.concatenate(x) for x in zip(*held))))
+        pieces, columns = [list(x) for x in zip(*held)], {}
+        held.clear()
+        for name, own in zip(_context(length), pieces):
+            columns[name] = np.concatenate(own)
+            own.clear()
         return deal(columns, columns["segment"], parts)
 
     def run(batches):
@@ -308,7 +313,7 @@ def _contexts(length: int, parts: int):
                 size += len(held[-1][0])
                 if size >= COMPARED:
                     yield packed(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield packed(held)
 
@@ -462,6 +467,16 @@ def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, l
     return np.stack([np.concatenate(rows), np.concatenate(offsets)], axis=1)
 
 
+def _gathered(pieces: list[np.ndarray], ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The numbered rows of pieces laid end to end, which ``ends`` says the ends of."""
+    out = np.empty((len(rows), pieces[0].shape[1]), pieces[0].dtype)
+    order = np.argsort(rows, kind="stable")
+    edges = np.searchsorted(rows[order], np.append(0, ends))
+    for piece, end, lo, hi in zip(pieces, ends, edges, edges[1:]):
+        out[order[lo:hi]] = piece[rows[order[lo:hi]] - (end - len(piece))]
+    return out
+
+
 def _compare(length: int, bits: int):
     """Sort the contexts of a partition, whole segments at a time, and report covered spans."""
     left = length - KMER
@@ -480,8 +495,10 @@ def _compare(length: int, bits: int):
             kept.append(rows)
         if not kept:
             return
-        segment, doc, key, pos, before, after, raw = (np.concatenate([rows[c] for rows in kept]) for c in _context(length))
-        del kept
+        raw = [rows.pop("bytes") for rows in kept]  # most of the memory: a chunk's are put together when it comes up
+        segment, doc, key, pos, before, after = (np.concatenate([rows.pop(c) for rows in kept]) for c in list(kept[0]))
+        del kept, rows, wide
+        ends = np.cumsum([len(x) for x in raw])
         order, cols = np.argsort(segment, kind="stable"), np.arange(width)
         starts = _firsts(segment[order])
         bounds = [0]
@@ -490,7 +507,7 @@ def _compare(length: int, bits: int):
             bounds.append(int(starts[k]) if k < len(starts) else len(segment))
         for lo, hi in zip(bounds, bounds[1:]):
             i = order[lo:hi]
-            values = raw[i].astype(np.uint16) + 1
+            values = _gathered(raw, ends, i).astype(np.uint16) + 1
             values[(cols < (left - before[i])[:, None]) | (cols >= (left + after[i])[:, None])] = 0
             hits = repeated_strings(segment[i], doc[i], values, length, bits)
             row = i[hits[:, 0]]
@@ -516,7 +533,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     n = max(least, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // MEET_BYTES + 1)
     found = stored(
         docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text", "key")
-        .mapInArrow(_anchor_rows(length, bits, n), "part int, rows binary").repartitionById(n, "part").mapInArrow(_meet(HOT), FOUND)
+        .mapInArrow(lean(_anchor_rows(length, bits, n)), "part int, rows binary").repartitionById(n, "part").mapInArrow(lean(_meet(HOT)), FOUND)
     )
     asked = found.where("key is not null and hi is null")
     hot = found.where("key is null").select("kmer").distinct()
@@ -529,8 +546,8 @@ def repeated_spans(documents: DataFrame, length: int = 50, carry: tuple[str, ...
     # both joins deal the same rows by the same key, so that Spark shuffles the texts once
     spans = (
         docs.join(asks, "key", "left").select("key", "doc_id", "text", F.coalesce("asks", F.expr(NO_ASKS)).alias("asks"))
-        .mapInArrow(_contexts(length, m), "part int, rows binary").repartitionById(m, "part")
-        .mapInArrow(_compare(length, bits), "key long, lo int, hi int")
+        .mapInArrow(lean(_contexts(length, m)), "part int, rows binary").repartitionById(m, "part")
+        .mapInArrow(lean(_compare(length, bits)), "key long, lo int, hi int")
         .unionByName(found.where("hi is not null").select("key", F.col("pos").alias("lo"), "hi"))
         .groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("spans"))
     )
@@ -585,7 +602,7 @@ def suffix_digest(documents: DataFrame, length: int = 50, bits: int = 64) -> Dat
     an empty result.  Other columns are ignored.
     """
     spans = repeated_spans(documents, length, bits=bits)
-    return spans.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.mapInArrow(lean(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _rewrite(batches):
@@ -618,5 +635,5 @@ def suffix_dedup(documents: DataFrame, length: int = 50) -> DataFrame:
     """
     spans = repeated_spans(documents, length, ("lang", "source", "n_chars"))
     columns = "doc_id long, text string, lang string, source string, n_chars long, was_null boolean"
-    cuts = spans.mapInArrow(_rewrite, columns).where("text is not null")
+    cuts = spans.mapInArrow(lean(_rewrite), columns).where("text is not null")
     return cuts.withColumn("text", F.when(~F.col("was_null"), F.col("text"))).drop("was_null")

@@ -8,6 +8,7 @@ single text longer than the bound makes a larger slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,11 +148,11 @@ def deal(columns: dict[str, np.ndarray], key: np.ndarray, parts: int) -> pa.Reco
     """
     part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    sorted_, part = [c[order] for c in columns.values()], part[order]
+    part = part[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else order
     out = []
     for lo, hi in zip(first, [*first[1:], len(part)]):
-        raw = b"".join(c[lo:hi].tobytes() for c in sorted_)
+        raw = b"".join(c[order[lo:hi]].tobytes() for c in columns.values())  # a piece at a time: no sorted copy of all columns
         out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
     return pa.RecordBatch.from_pydict({"part": pa.array(part[first].astype(np.int32), pa.int32()), "rows": pa.array(out, pa.binary())})
 
@@ -169,3 +170,18 @@ def dealt(batches, kinds: dict[str, np.dtype]) -> Iterator[dict[str, np.ndarray]
                 out[name] = np.frombuffer(raw, kind, size // width, at)
                 at += kind.itemsize * (size // width)
             yield out
+
+
+def lean(run):
+    """``run`` over the batches of a task; at its end what it has freed goes back to the system.
+
+    A Python worker waits for its next task with all that its allocators still hold, beside the JVM of its executor.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return task
