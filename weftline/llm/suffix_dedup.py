@@ -427,18 +427,22 @@ def suffix_array(values: np.ndarray, segment: np.ndarray, bits: int = 64) -> tup
     return perm, np.where(same, common, -1)
 
 
-def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
+def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, length: int, bits: int = 64, which: np.ndarray | None = None) -> np.ndarray:
     """(row, offset) pairs: the string of ``length`` that starts ``offset`` before the row's anchor is repeated.
 
-    ``values`` has one context a row with the anchor at column ``length - KMER``; rows come sorted by segment.
+    ``values`` has one context a row with the anchor at column ``length - KMER``, sorted by segment.  With ``which``
+    the contexts are different ones, and it numbers that of each row of ``doc``.
     """
     left, n = length - KMER, len(segment)
-    if n < 2:
+    if len(doc) < 2:
         return np.zeros((0, 2), dtype=np.int64)
+    which = np.arange(n) if which is None else which
+    copied, least = np.bincount(which, minlength=n) > 1, np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
     sides = []
     for part in (np.ascontiguousarray(values[:, left:]), np.ascontiguousarray(values[:, left - 1 :: -1])):
         perm, common = suffix_array(part, segment, bits)
-        longest = np.zeros(n, dtype=np.int64)
+        longest = np.where(copied, part.shape[1], 0)
         np.maximum.at(longest, perm[1:], common)
         np.maximum.at(longest, perm[:-1], common)
         sides.append((perm, common, longest, (part > 0).sum(axis=1)))
@@ -448,7 +452,7 @@ def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, l
         rest = length - offset
         # both sides must be shared with some other context, and no byte may be missing
         ok = np.flatnonzero((b_longest >= offset) & (a_longest >= rest) & (b_room >= offset) & (a_room >= rest))
-        if len(ok) < 2:
+        if not len(ok):
             continue
         # contexts between which every extension is long enough are a class, on either side
         group = np.empty(n, dtype=np.int64)
@@ -458,8 +462,9 @@ def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, l
         key = group[ok] * n + other[ok]
         order = np.argsort(key)
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        owner = np.minimum.reduceat(doc[ok[order]], first)
-        hit = ok[order][doc[ok[order]] > np.repeat(owner, np.diff(np.append(first, len(order))))]
+        owner = np.full(n, np.iinfo(np.int64).max)
+        owner[ok[order]] = np.repeat(np.minimum.reduceat(least[ok[order]], first), np.diff(np.append(first, len(order))))
+        hit = np.flatnonzero(doc > owner[which])
         rows.append(hit)
         offsets.append(np.full(len(hit), offset))
     if not rows:
@@ -467,6 +472,29 @@ def repeated_strings(segment: np.ndarray, doc: np.ndarray, values: np.ndarray, l
     return np.stack([np.concatenate(rows), np.concatenate(offsets)], axis=1)
 
 
+def distinct_contexts(segment: np.ndarray, contexts, most: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments and values of the different contexts, sorted by segment, and the number of each row's own.
+
+    ``contexts(lo, hi)`` gives the values of some rows, so that no more than ``most`` are laid out at a time.
+    """
+    found, which, n = [], [], 0
+    for lo in range(0, len(segment), most):
+        own = np.ascontiguousarray(segment[lo : lo + most])
+        rows = np.concatenate([own.view(np.uint16).reshape(len(own), 4), contexts(lo, lo + len(own))], axis=1)
+        width = rows.shape[1]
+        some, at = np.unique(rows.view(np.dtype((np.void, 2 * width))).ravel(), return_inverse=True)
+        found.append(some)
+        which.append(at.ravel() + n)
+        n += len(some)
+    some, at = np.unique(np.concatenate(found), return_inverse=True)
+    flat = some.view(np.uint16).reshape(len(some), width)
+    segment = np.ascontiguousarray(flat[:, :4]).view(np.int64).ravel()
+    order = np.argsort(segment, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return segment[order], flat[order, 4:], rank[at.ravel()][np.concatenate(which)]
+
+
 def _gathered(pieces: list[np.ndarray], ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The numbered rows of pieces laid end to end, which ``ends`` says the ends of."""
     out = np.empty((len(rows), pieces[0].shape[1]), pieces[0].dtype)
@@ -500,6 +528,12 @@ def _compare(length: int, bits: int):
         del kept, rows, wide
         ends = np.cumsum([len(x) for x in raw])
         order, cols = np.argsort(segment, kind="stable"), np.arange(width)
+
+        def contexts(i):
+            values = _gathered(raw, ends, i).astype(np.uint16) + 1
+            values[(cols < (left - before[i])[:, None]) | (cols >= (left + after[i])[:, None])] = 0
+            return values
+
         starts = _firsts(segment[order])
         bounds = [0]
         while bounds[-1] < len(segment):
@@ -507,9 +541,11 @@ def _compare(length: int, bits: int):
             bounds.append(int(starts[k]) if k < len(starts) else len(segment))
         for lo, hi in zip(bounds, bounds[1:]):
             i = order[lo:hi]
-            values = _gathered(raw, ends, i).astype(np.uint16) + 1
-            values[(cols < (left - before[i])[:, None]) | (cols >= (left + after[i])[:, None])] = 0
-            hits = repeated_strings(segment[i], doc[i], values, length, bits)
+            if hi - lo <= CHUNK + HOT:
+                hits = repeated_strings(segment[i], doc[i], contexts(i), length, bits)
+            else:  # a string that texts repeat within themselves: its contexts are nearly all equal
+                some, values, which = distinct_contexts(segment[i], lambda a, b, i=i: contexts(i[a:b]))
+                hits = repeated_strings(some, doc[i], values, length, bits, which)
             row = i[hits[:, 0]]
             at = pos[row] - hits[:, 1]
             yield spans(*united(key[row], at, at + length))
